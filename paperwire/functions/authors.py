@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperwire import constants as K
-from paperwire.functions.text import or_blank
+from paperwire.functions.text import let, or_blank
 
 
 def split_authors(authors: Column) -> Column:
@@ -59,9 +59,9 @@ def short_list(named: Column, count: Column) -> Column:
 
 def author_label(authors: Column, institutions: Column) -> Column:
     """Label of position-paired arrays; pairs stop at the shorter array."""
-    pairs = F.least(F.size(authors), F.size(institutions))
+    shorter = F.least(F.size(authors), F.size(institutions))
     named = F.zip_with(
-        F.slice(authors, F.lit(1), pairs), F.slice(institutions, F.lit(1), pairs),
+        F.slice(authors, F.lit(1), shorter), F.slice(institutions, F.lit(1), shorter),
         with_institution,
     )
-    return short_list(named, F.size(authors))
+    return let(named, lambda pairs: short_list(pairs, F.size(authors)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ _STRIP = rf"(?U)\A{_BLANK}+|{_BLANK}+\z"
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """``text`` without surrounding white space of any script."""
     return F.regexp_replace(text, _STRIP, "")
@@ -47,18 +53,15 @@ def phrase(words: str, *texts: Column) -> Column:
 
 def all_words(term: str, *texts: Column) -> Column:
     """True where every piece of ``term`` occurs in one of the texts, ignoring case."""
-    joined = F.array(F.lower(F.concat_ws("\n", *texts)))
-    return F.exists(
-        joined,
-        lambda text: reduce(
-            Column.__and__, [F.contains(text, F.lit(k)) for k in term.lower().split(" ")]
-        ),
+    keywords = term.lower().split(" ")
+    return let(
+        F.lower(F.concat_ws("\n", *texts)),
+        lambda text: reduce(Column.__and__, [F.contains(text, F.lit(k)) for k in keywords]),
     )
 
 
 def relevance(term: str, *texts: Column) -> Column:
     """Number of occurrences of the pieces of ``term``, ignoring case."""
-    joined = F.array(F.lower(F.concat_ws("\n", *texts)))
     pieces = [k for k in term.lower().split(" ") if k]
 
     def hits(text: Column) -> Column:
@@ -70,7 +73,7 @@ def relevance(term: str, *texts: Column) -> Column:
         ]
         return reduce(Column.__add__, counts, F.lit(0).cast("bigint"))
 
-    return F.get(F.transform(joined, hits), F.lit(0))
+    return let(F.lower(F.concat_ws("\n", *texts)), hits)
 
 
 def citation_source(citation: Column) -> Column:
@@ -93,8 +96,6 @@ def doi_link(doi: Column) -> Column:
     return F.concat(F.lit(K.DOI_LINK), doi)
 
 
-def words(text: Column, min_chars: int) -> Column:
-    """Lowered runs of letters and digits, ``min_chars`` long or longer, in text order."""
-    return F.filter(
-        F.split(F.lower(text), _NOT_WORD), lambda w: F.char_length(w) >= min_chars
-    )
+def words(text: Column) -> Column:
+    """Lowered runs of letters and digits in text order; may hold ``''`` at the ends."""
+    return F.split(F.lower(text), _NOT_WORD)

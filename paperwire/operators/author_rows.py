@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paperwire.functions.authors import short_list, with_institution
-from paperwire.operators.topk import first_per_group
+from paperwire.functions.text import let
 
 
 def author_labels(authors: DataFrame, key: str, *order: str) -> DataFrame:
@@ -16,24 +17,28 @@ def author_labels(authors: DataFrame, key: str, *order: str) -> DataFrame:
     Only those and the count are gathered, whatever the number of authors of one key, and
     both are cut down in each task before the shuffle.
     """
-    rank = F.struct(*order, "name", "institution")
+    place = (*order, "name", "institution")
     named = authors.select(
-        key, rank.alias("rank"), with_institution(F.col("name"), F.col("institution")).alias("named")
+        key, *place, with_institution(F.col("name"), F.col("institution")).alias("named")
     )
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*place))
     heads = (
-        first_per_group(named, 3, key, "rank")
+        named.select(key, "named", first.alias("place"))
+        .where(F.col("place") <= 3)
         .groupBy(key)
         # Three rows per key at most.
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "named"))).alias("heads"))
+        .agg(F.sort_array(F.collect_list(F.struct("place", "named"))).alias("heads"))
     )
     tails = named.groupBy(key).agg(
-        F.count("*").alias("authors"), F.max(F.struct("rank", "named")).alias("tail")
+        F.count("*").alias("authors"), F.max_by("named", F.struct(*place)).alias("tail")
     )
     shown = F.when(
         F.col("authors") > 3,
-        F.concat(F.slice(F.col("heads")["named"], 1, 2), F.array(F.col("tail")["named"])),
+        F.concat(F.slice(F.col("heads")["named"], 1, 2), F.array("tail")),
     ).otherwise(F.col("heads")["named"])
     # Both sides are already partitioned by the key.
     return heads.join(tails, key).select(
-        key, "authors", short_list(shown, F.col("authors")).alias("author_label")
+        key,
+        "authors",
+        let(shown, lambda names: short_list(names, F.col("authors"))).alias("author_label"),
     )

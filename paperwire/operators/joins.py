@@ -12,20 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperwire.operators.sizing import fits_broadcast
+from paperwire.session import write_once
+
 # A key is hot if it holds more than 1/MAX_HOT_KEYS of the rows; there are fewer than
 # MAX_HOT_KEYS such keys, whatever the data.
 MAX_HOT_KEYS = 2000
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the optimizer's size estimate is within ``autoBroadcastJoinThreshold``."""
-    threshold = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    jvm = df.sparkSession._jvm
-    limit = jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(threshold)
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit
-
-
 def hot_keys(counts: DataFrame, key: str, rows: str) -> DataFrame:
     """The keys of ``counts`` holding more than 1/MAX_HOT_KEYS of all ``rows``."""
     total = counts.agg(F.sum(rows).alias("total")).scalar()
@@ -37,11 +31,12 @@ def attach_hot_safe(
 ) -> DataFrame:
     """Left join on a null-safe key; ``right`` has one row per key, ``hot`` is bounded.
 
-    A hot row takes its values from the broadcast table and goes through the shuffle under
-    a salt that no right row has, so no task gets a hot key whole.
+    A hot row takes its values from the broadcast table and goes through the shuffle in a
+    slot of its own choice instead of its key's, so no task gets a hot key whole.
     """
     values = [c for c in right.columns if c != key]
-    hot = hot.select(F.col(key).alias("_hot_key"))
+    # Read twice below, and costly to find: written once.
+    hot = write_once(hot.select(F.col(key).alias("_hot_key")), "hot-keys")
     # One row per hot key at most on either side.
     small = right.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot_key")), "left_semi")
     small = small.select(F.col(key).alias("_small_key"), F.struct(*values).alias("_small"))
@@ -52,16 +47,17 @@ def attach_hot_safe(
     salt = F.monotonically_increasing_id() if spread is None else F.xxhash64(spread)
     salted = left.join(
         F.broadcast(answers), F.col(key).eqNullSafe(F.col("_hot_key")), "left"
-    ).withColumn("_salt", F.when(F.col("_is_hot"), salt))
+    ).withColumn("_slot", F.when(F.col("_is_hot"), salt).otherwise(F.xxhash64(key)))
     cold = right.select(
         F.col(key).alias("_cold_key"),
         F.struct(*values).alias("_cold"),
-        F.lit(None).cast("bigint").alias("_cold_salt"),
+        # Not a constant, which the optimizer would take out of the join keys.
+        F.xxhash64(key).alias("_cold_slot"),
     )
     joined = salted.join(
         cold,
         F.col(key).eqNullSafe(F.col("_cold_key"))
-        & F.col("_salt").eqNullSafe(F.col("_cold_salt")),
+        & (F.col("_slot") == F.col("_cold_slot")),
         "left",
     )
     found = F.when(F.col("_is_hot"), F.col("_small")).otherwise(F.col("_cold"))

@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from paperwire.functions import text as X
 from paperwire.operators.joins import MAX_HOT_KEYS, attach_hot_safe
+from paperwire.operators.sizing import fits_broadcast, spread_small
+from paperwire.session import write_once
 
 KEYWORDS = 10
 MIN_CHARS = 3
@@ -17,37 +19,59 @@ MIN_CHARS = 3
 Extractor = Callable[[DataFrame], DataFrame]
 
 
+# Counted as one more word of every abstract, so that its document frequency is the number
+# of abstracts and the texts need not be read again to count them.
+EVERY = ""
+
+
 def term_counts(papers: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``paper_key, term, tf``: how often each word occurs in an abstract.
+    """``paper_key, term, tf``: how often each word occurs in an abstract (E5: if it has one).
 
-    An abstract lies in one row, so its words are sorted and run-length counted there; no
-    shuffle by paper is needed.  Empty abstracts are skipped (E5).
+    The texts are partitioned by paper first.  That moves less than the far more numerous
+    counts would, and these then stay where they are until they meet the frequencies.
     """
-    sorted_words = (
+    return (
         papers.where(F.col("Abstract") != "")
-        .select(
-            "paper_key", F.sort_array(X.words(F.col("Abstract"), min_chars)).alias("words")
-        )
-        .where(F.size("words") > 0)
+        .select("paper_key", "Abstract")
+        .repartition("paper_key")
+        .select("paper_key", F.explode(X.words(F.col("Abstract"))).alias("term"))
+        .where(F.char_length("term") >= min_chars)
+        .groupBy("paper_key", "term")
+        .agg(F.count("*").alias("tf"))
     )
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size("words") - 1),
-        lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1)),
-    )
-    runs = sorted_words.select("paper_key", "words", starts.alias("starts"))
-    counted = F.transform(
-        "starts",
-        lambda at, i: F.struct(
-            F.get("words", at).alias("term"),
-            (F.coalesce(F.get("starts", i + 1), F.size("words")) - at).alias("tf"),
-        ),
+
+
+def document_frequencies(papers: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``term, df``: in how many abstracts each word occurs, and their number as ``EVERY``.
+
+    Repeats within an abstract go in its own row, and each task adds up its words before
+    the shuffle, so common words cost no more than rare ones.
+    """
+    texts = papers.where(F.col("Abstract") != "").select("paper_key", "Abstract")
+    distinct = F.array_distinct(F.array_append(X.words(F.col("Abstract")), F.lit(EVERY)))
+    return (
+        spread_small(texts, "paper_key")
+        .select(F.explode(distinct).alias("term"))
+        .where((F.char_length("term") >= min_chars) | (F.col("term") == EVERY))
+        .groupBy("term")
+        .agg(F.count("*").alias("df"))
     )
-    return runs.select("paper_key", F.inline(counted))
 
 
-def document_frequencies(terms: DataFrame) -> DataFrame:
-    """``term, df``; counted map-side first, so common words cost no more than rare ones."""
-    return terms.groupBy("term").agg(F.count("*").alias("df"))
+def weigh(terms: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """Attach ``df`` to each term count; common words are the hot keys of this join.
+
+    Words of one abstract only, most of any vocabulary, are left out of the right side: a
+    term that finds no partner there is one of them.
+    """
+    repeated = frequencies.where(F.col("df") > 1)
+    if fits_broadcast(repeated):
+        weighed = terms.join(repeated, "term", "left")
+    else:
+        rows = frequencies.where(F.col("term") != EVERY).agg(F.sum("df").alias("rows")).scalar()
+        common = repeated.where(F.col("df") > rows / MAX_HOT_KEYS).select("term")
+        weighed = attach_hot_safe(terms, repeated, "term", common, spread="paper_key")
+    return weighed.withColumn("df", F.coalesce("df", F.lit(1)))
 
 
 def tfidf_keywords(
@@ -55,26 +79,20 @@ def tfidf_keywords(
 ) -> DataFrame:
     """``paper_key, SummaryAbstract``: the best words of each abstract joined by ``", "``.
 
-    Score = tf * ln(n / df) to six places, ties in word order.
+    Score = tf * ln(n / df) to six places, ties in word order.  The frequencies are
+    written once; everything else is one lazy plan over them and the texts.
     """
-    terms = term_counts(papers, min_chars)
-    frequencies = document_frequencies(terms)
-    total = papers.where(F.col("Abstract") != "").agg(F.count("*").alias("n")).scalar()
-    # Common words are the hot keys of this join, and their counts are at hand.
-    rows = frequencies.agg(F.sum("df").alias("rows")).scalar()
-    common = frequencies.where(F.col("df") > rows / MAX_HOT_KEYS).select("term")
-    scored = attach_hot_safe(
-        terms, frequencies, "term", common, spread="paper_key"
-    ).withColumn(
-        "score", F.round(F.col("tf") * F.log(total / F.col("df")), 6)
-    )
+    frequencies = write_once(document_frequencies(papers, min_chars), "frequencies")
+    total = frequencies.where(F.col("term") == EVERY).select("df").scalar()
+    score = F.round(F.col("tf") * F.log(total / F.col("df")), 6)
+    scored = weigh(term_counts(papers, min_chars), frequencies).withColumn("score", score)
     best = Window.partitionBy("paper_key").orderBy(F.desc("score"), "term")
     return (
         scored.withColumn("place", F.row_number().over(best))
         .where(F.col("place") <= keywords)
         .groupBy("paper_key")
         # At most ``keywords`` rows per paper.
-        .agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("best"))
+        .agg(F.sort_array(F.collect_list(F.struct("place", "term"))).alias("best"))
         .select("paper_key", F.array_join(F.col("best")["term"], ", ").alias("SummaryAbstract"))
     )
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from paperwire.functions import messages as M
 from paperwire.schema import OUTBOX, ddl
 
+READY, ERROR = "ready", "error"
+
 
 def render(papers: DataFrame, channel: str, run_ts: dt.datetime, label: str) -> DataFrame:
     """One channel's messages for numbered papers; ``label`` names the author label column."""
@@ -56,29 +58,37 @@ def fan_out(
     ).select(*OUTBOX)
 
 
-def deliverable(outbox: DataFrame) -> DataFrame:
-    return outbox.where(F.col("message").isNotNull())
-
-
 def outbox_errors(outbox: DataFrame) -> DataFrame:
     """Rows that cannot be sent; they do not stop the others (M7)."""
     return outbox.where(F.col("message").isNull())
 
 
 def write_outbox(outbox: DataFrame, path: str, fmt: str = "json") -> None:
-    """Write ``path/outbox`` by channel and ``path/outbox_errors`` (M6, M7).
+    """Write messages to ``path/state=ready`` and failed rows to ``path/state=error`` (M6, M7).
 
-    Both are overwritten as a whole, so a repeated run does not deliver twice.
+    Both lie in one folder per channel and are written in one pass.  The whole path is
+    overwritten, so a repeated run does not deliver twice.
     """
-    deliverable(outbox).write.mode("overwrite").partitionBy("channel").format(fmt).save(
-        f"{path}/outbox"
+    state = F.when(F.col("message").isNotNull(), READY).otherwise(ERROR)
+    (
+        outbox.withColumn("state", state)
+        .write.mode("overwrite")
+        .partitionBy("state", "channel")
+        .format(fmt)
+        .save(path)
     )
-    outbox_errors(outbox).write.mode("overwrite").format(fmt).save(f"{path}/outbox_errors")
+
+
+def _read(spark: SparkSession, path: str, fmt: str, state: str) -> DataFrame:
+    rows = spark.read.schema(f"{ddl(OUTBOX)}, state STRING").format(fmt).load(path)
+    return rows.where(F.col("state") == state).select(*OUTBOX)
 
 
 def read_outbox(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    return spark.read.schema(ddl(OUTBOX)).format(fmt).load(f"{path}/outbox")
+    """Messages ready to be sent, the channels being pruned by folder."""
+    return _read(spark, path, fmt, READY)
 
 
 def read_outbox_errors(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    return spark.read.schema(ddl(OUTBOX)).format(fmt).load(f"{path}/outbox_errors")
+    """Rows that could not be rendered."""
+    return _read(spark, path, fmt, ERROR)

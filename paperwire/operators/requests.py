@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperwire import constants as K
 from paperwire.functions.text import or_blank, strip
+from paperwire.operators.keywords import Extractor
 from paperwire.schema import ANSWER_BODY
 
 
@@ -43,6 +44,11 @@ def request_json(requests: DataFrame) -> DataFrame:
     return requests.select("paper_key", F.to_json(F.struct(*requests.columns)).alias("body"))
 
 
+def answered(responses: DataFrame) -> Extractor:
+    """An extractor that takes the summaries from a table of model replies."""
+    return lambda papers: answers(responses)
+
+
 def answers(responses: DataFrame) -> DataFrame:
     """``paper_key, SummaryAbstract`` from ``paper_key, body``.
 

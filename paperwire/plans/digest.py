@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperwire.functions.authors import author_label
+from paperwire.operators.counts import source_counts
 from paperwire.operators.keywords import Extractor, attach_summaries, tfidf_keywords
 from paperwire.operators.numbering import number_rows
 from paperwire.operators.outbox import fan_out, write_outbox
 from paperwire.operators.union import union_sources
 from paperwire.schema import JobConfig
-from paperwire.session import fresh_path
+from paperwire.session import write_once
 from paperwire.sources.atom import arxiv_papers
 from paperwire.sources.landing import (
     biorxiv_papers,
     chemrxiv_papers,
     first_pages,
+    landed_since,
+    rejects,
     scan_biorxiv,
     scan_chemrxiv,
 )
@@ -45,12 +49,15 @@ def select_papers(landed: Landed, config: JobConfig) -> DataFrame:
             )
             found.append(medline_papers(records, config.datetype))
         elif kind == "biorxiv":
-            items = scan_biorxiv(first_pages(landed.replies, config.page_limit))
+            first = config.run_date - dt.timedelta(days=config.biorxiv_days + 1)
+            replies = landed_since(landed.replies, first)
+            items = scan_biorxiv(first_pages(replies, config.page_limit))
             found.append(
                 biorxiv_papers(items, config.term_biorxiv, config.run_date, config.biorxiv_days)
             )
         elif kind == "chemrxiv":
-            items = scan_chemrxiv(landed.replies)
+            first = config.run_date - dt.timedelta(days=config.chemrxiv_days)
+            items = scan_chemrxiv(landed_since(landed.replies, first))
             found.append(
                 chemrxiv_papers(items, config.term_chemrxiv, config.run_date, config.chemrxiv_days)
             )
@@ -66,17 +73,6 @@ def select_papers(landed: Landed, config: JobConfig) -> DataFrame:
     return union_sources(*found)
 
 
-def write_once(rows: DataFrame, name: str) -> DataFrame:
-    """Write ``rows`` to the shared folder and read them back.
-
-    Later steps read the selected papers several times; this way the corpus is searched
-    once, and a lost executor costs a re-read instead of a new search.
-    """
-    path = fresh_path(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def digest(
     papers: DataFrame, config: JobConfig, extractor: Extractor = tfidf_keywords
 ) -> DataFrame:
@@ -92,7 +88,9 @@ def digest(
 def run(
     landed: Landed, config: JobConfig, out: str, extractor: Extractor = tfidf_keywords
 ) -> None:
-    """Search, render and write everything under ``out``."""
+    """Search, render and write ``out/outbox``, ``out/counts`` and ``out/rejects``."""
     papers = write_once(select_papers(landed, config), "papers")
-    outbox = write_once(digest(papers, config, extractor), "messages")
-    write_outbox(outbox, out)
+    write_outbox(digest(papers, config, extractor), f"{out}/outbox")
+    source_counts(papers).write.mode("overwrite").json(f"{out}/counts")
+    if landed.replies is not None:
+        rejects(landed.replies).write.mode("overwrite").json(f"{out}/rejects")

@@ -21,7 +21,7 @@ from paperwire.operators.union import in_digest_order, union_sources
 from paperwire.plans import digest as G
 from paperwire.plans import standins as S
 from paperwire.schema import JobConfig
-from paperwire.session import fresh_path
+from paperwire.session import fresh_path, write_once
 from paperwire.sources import atom, landing, medline
 from paperwire.sources.common import as_papers
 from paperwire.streaming import intake
@@ -123,9 +123,7 @@ def author_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def author_label_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I14 on arrays of unequal length: ``l_linenumber`` authors, up to seven institutions."""
-    lines = S.table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"
-    )
+    lines = S.table(spark, sf_dir, "lineitem")
     authors = F.transform(
         F.sequence(F.lit(1), F.col("l_linenumber")), lambda i: S.text_of("A", i)
     )
@@ -134,11 +132,18 @@ def author_label_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_repeat(F.col("l_suppkey"), given),
         lambda s, i: F.when(i % 2 == 0, S.text_of("I", s, "-", i)).otherwise(""),
     )
-    return lines.select(
+    papers = lines.select(
         "l_orderkey",
         "l_linenumber",
         given.cast("bigint").alias("institutions"),
-        A.author_label(authors, institutions).alias("author_label"),
+        authors.alias("Authors"),
+        institutions.alias("Affiliation"),
+    )
+    return papers.select(
+        "l_orderkey",
+        "l_linenumber",
+        "institutions",
+        A.author_label(F.col("Authors"), F.col("Affiliation")).alias("author_label"),
     )
 
 
@@ -371,8 +376,8 @@ def tfidf_keywords10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _message(channel: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        numbered = number_rows(S.labelled_documents(spark, sf_dir).drop("Abstract"))
-        rendered = outbox.render(numbered, channel, RUN_TS, "author_label")
+        papers = S.labelled_documents(spark, sf_dir)
+        rendered = outbox.render(papers, channel, RUN_TS, "author_label")
         return rendered.select(
             "doc_id", "message", M.payload(channel, F.col("message")).alias("payload")
         )
@@ -382,8 +387,8 @@ def _message(channel: str) -> Query:
 
 def outbox_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5, M6: every paper to four channels, written by channel and read back."""
-    numbered = number_rows(S.labelled_documents(spark, sf_dir).drop("Abstract"))
-    rows = outbox.fan_out(numbered, RUN_TS, "author_label", ("teams", "line", "slack", "discord"))
+    papers = S.labelled_documents(spark, sf_dir)
+    rows = outbox.fan_out(papers, RUN_TS, "author_label", ("teams", "line", "slack", "discord"))
     path = fresh_path(spark, "outbox")
     outbox.write_outbox(rows, path)
     return outbox.read_outbox(spark, path)
@@ -391,8 +396,8 @@ def outbox_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def channel_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8: two channels only."""
-    numbered = number_rows(S.labelled_documents(spark, sf_dir).drop("Abstract"))
-    rows = outbox.fan_out(numbered, RUN_TS, "author_label", ("line", "discord"))
+    papers = S.labelled_documents(spark, sf_dir)
+    rows = outbox.fan_out(papers, RUN_TS, "author_label", ("line", "discord"))
     return rows.select("channel", "paper_key", "position", "message", "username")
 
 
@@ -440,7 +445,8 @@ def incremental_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def new_papers_to_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The day's new papers, numbered and rendered: scan, anti join, filter, label, Slack text."""
     items = landing.scan_biorxiv(S.event_replies(spark, sf_dir))
-    papers = landing.biorxiv_papers(items, "Click vie", RUN_DATE, 1)
+    # The numbering reads the selected papers three times.
+    papers = write_once(landing.biorxiv_papers(items, "Click vie", RUN_DATE, 1), "papers")
     ready = number_rows(papers).select(
         "*",
         A.author_label(F.col("Authors"), F.col("Affiliation")).alias("author_label"),
@@ -470,7 +476,7 @@ def digest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = fresh_path(spark, "digest")
     G.run(landed, config, path)
-    return outbox.read_outbox(spark, path)
+    return outbox.read_outbox(spark, f"{path}/outbox")
 
 
 QUERIES: dict[str, Query] = {

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from paperwire.functions.text import doi_link
 from paperwire.operators.author_rows import author_labels
 from paperwire.operators.joins import attach
+from paperwire.operators.numbering import number_rows
+from paperwire.operators.sizing import spread_small
 from paperwire.session import fresh_path
 
 
@@ -43,17 +45,20 @@ def document_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as one author per row: the supplier, with its nation as institution."""
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    suppliers = attach(
-        table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"),
-        nations.withColumnRenamed("n_nationkey", "s_nationkey"),
-        "s_nationkey",
-        "s_suppkey",
-    ).select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "n_name")
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"
+    nations = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("s_nationkey"), "n_name"
     )
-    return attach(lines, suppliers, "l_suppkey", "l_partkey").select(
+    suppliers = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("l_suppkey"), "s_name", "s_nationkey"
+    )
+    lines = spread_small(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"
+        ),
+        "l_orderkey",
+    )
+    supplied = attach(lines, suppliers, "l_suppkey", "l_partkey")
+    return attach(supplied, nations, "s_nationkey", "l_partkey").select(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
@@ -69,7 +74,10 @@ def order_author_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document papers with the author label of the order of the same number and a summary."""
+    """Numbered document papers with the author label of the order of that number and a summary.
+
+    They are numbered first, while that takes two narrow columns of one table.
+    """
     authors = order_author_labels(spark, sf_dir).select(
         F.col("l_orderkey").alias("doc_id"), "author_label"
     )
@@ -79,7 +87,7 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # doc_id names one row in all three tables.
     return (
-        document_papers(spark, sf_dir)
+        number_rows(document_papers(spark, sf_dir).drop("Abstract"))
         .join(authors, "doc_id", "left")
         .join(summaries, "doc_id", "left")
         .withColumn("author_label", F.coalesce("author_label", F.lit("")))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "paperwire", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,3 +46,14 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder for one written table."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_once(rows: DataFrame, name: str) -> DataFrame:
+    """Write ``rows`` to the shared folder and read them back.
+
+    For a result that several later steps read: it is computed once, and a lost executor
+    costs a re-read instead of the computation.
+    """
+    path = fresh_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -27,6 +27,16 @@ def good_replies(landing: DataFrame) -> DataFrame:
     return landing.where(F.col("status") == 200)
 
 
+def landed_since(landing: DataFrame, first: dt.date) -> DataFrame:
+    """Replies that may hold items published on ``first`` or later.
+
+    A reply is fetched after its items are published, so older ones need not be parsed;
+    one day is allowed for differing time zones.  The bound reaches the scan.
+    """
+    fetched = F.col("fetched")
+    return landing.where((fetched >= F.lit(first - dt.timedelta(days=1))) | fetched.isNull())
+
+
 def rejects(landing: DataFrame) -> DataFrame:
     """How many replies per source and status the guard left out."""
     return (

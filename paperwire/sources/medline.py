@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from paperwire.functions.windows import pubmed_window
 from paperwire.operators.joins import keep_matching
 from paperwire.sources.common import as_papers
 
+Match = Callable[..., Column]
+
 # --- fixed values: date tags by search date type ---
 DATE_TAGS = {"edat": "EDAT", "mdat": "LR", "pdat": "DP"}
 DATE_FORMATS = {"edat": "yyyy/MM/dd", "mdat": "yyyyMMdd", "pdat": "yyyy MMM d"}
@@ -41,13 +44,14 @@ def _text(tag: str) -> Column:
     return F.array_join(_all(tag), " ")
 
 
-def read_medline(spark: SparkSession, path: str) -> DataFrame:
+def read_medline(spark: SparkSession, path: str, record_sep: str = "\n\n") -> DataFrame:
     """Records of tagged text files (S2): one row per blank-line separated record.
 
     The text reader splits large files on the record separator, so a file of any size is
-    read by many tasks.
+    read by many tasks.  Files with CRLF line ends need ``record_sep="\\r\\n\\r\\n"``.
+    A corpus that is searched every day is best written to Parquet by ``edat`` once.
     """
-    raw = spark.read.option("lineSep", "\n\n").text(path)
+    raw = spark.read.option("lineSep", record_sep).text(path)
     lines = raw.where(F.length(F.trim(F.translate("value", "\r\n\t", "   "))) > 0).select(
         _lines(F.regexp_replace("value", r"\A[\r\n]+", "")).alias("lines")
     )
@@ -93,18 +97,33 @@ def medline_papers(records: DataFrame, datetype: str = "edat") -> DataFrame:
 
 
 def search(
-    records: DataFrame, term: str, datetype: str, days: int, run_date: dt.date
+    records: DataFrame,
+    term: str,
+    datetype: str,
+    days: int,
+    run_date: dt.date,
+    match: Match = X.all_words,
 ) -> DataFrame:
-    """Records within the window of the chosen date that hold all words of the term."""
-    hit = X.all_words(term, F.col("TI"), F.col("AB"))
+    """Records within the window of the chosen date that match the term.
+
+    The service's term language is not public; ``match`` says what counts as a hit, e.g.
+    ``all_words`` or ``any_keyword``.
+    """
+    hit = match(term, F.col("TI"), F.col("AB"))
     return records.where(hit & pubmed_window(F.col(datetype), run_date, days))
 
 
 def search_ids(
-    records: DataFrame, term: str, datetype: str, days: int, run_date: dt.date
+    records: DataFrame,
+    term: str,
+    datetype: str,
+    days: int,
+    run_date: dt.date,
+    match: Match = X.all_words,
 ) -> DataFrame:
     """The id list of a search."""
-    return search(records, term, datetype, days, run_date).select(F.col("PMID").alias("id"))
+    found = search(records, term, datetype, days, run_date, match)
+    return found.select(F.col("PMID").alias("id"))
 
 
 def fetch_by_id(records: DataFrame, ids: DataFrame) -> DataFrame:
