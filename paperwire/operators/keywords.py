@@ -16,6 +16,7 @@ from paperwire.session import write_once
 KEYWORDS = 10
 MIN_CHARS = 3
 
+# Adds ``SummaryAbstract`` to papers.
 Extractor = Callable[[DataFrame], DataFrame]
 
 
@@ -24,33 +25,33 @@ Extractor = Callable[[DataFrame], DataFrame]
 EVERY = ""
 
 
-def term_counts(papers: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``paper_key, term, tf``: how often each word occurs in an abstract (E5: if it has one).
+def term_counts(papers: DataFrame, key: str, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``key, term, tf``: how often each word occurs in an abstract (E5: if it has one).
 
     The texts are partitioned by paper first.  That moves less than the far more numerous
     counts would, and these then stay where they are until they meet the frequencies.
     """
     return (
         papers.where(F.col("Abstract") != "")
-        .select("paper_key", "Abstract")
-        .repartition("paper_key")
-        .select("paper_key", F.explode(X.words(F.col("Abstract"))).alias("term"))
+        .select(key, "Abstract")
+        .repartition(key)
+        .select(key, F.explode(X.words(F.col("Abstract"))).alias("term"))
         .where(F.char_length("term") >= min_chars)
-        .groupBy("paper_key", "term")
+        .groupBy(key, "term")
         .agg(F.count("*").alias("tf"))
     )
 
 
-def document_frequencies(papers: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def document_frequencies(papers: DataFrame, key: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """``term, df``: in how many abstracts each word occurs, and their number as ``EVERY``.
 
     Repeats within an abstract go in its own row, and each task adds up its words before
     the shuffle, so common words cost no more than rare ones.
     """
-    texts = papers.where(F.col("Abstract") != "").select("paper_key", "Abstract")
+    texts = papers.where(F.col("Abstract") != "").select(key, "Abstract")
     distinct = F.array_distinct(F.array_append(X.words(F.col("Abstract")), F.lit(EVERY)))
     return (
-        spread_small(texts, "paper_key")
+        spread_small(texts, key)
         .select(F.explode(distinct).alias("term"))
         .where((F.char_length("term") >= min_chars) | (F.col("term") == EVERY))
         .groupBy("term")
@@ -58,7 +59,7 @@ def document_frequencies(papers: DataFrame, min_chars: int = MIN_CHARS) -> DataF
     )
 
 
-def weigh(terms: DataFrame, frequencies: DataFrame) -> DataFrame:
+def weigh(terms: DataFrame, frequencies: DataFrame, key: str) -> DataFrame:
     """Attach ``df`` to each term count; common words are the hot keys of this join.
 
     Words of one abstract only, most of any vocabulary, are left out of the right side: a
@@ -70,49 +71,65 @@ def weigh(terms: DataFrame, frequencies: DataFrame) -> DataFrame:
     else:
         rows = frequencies.where(F.col("term") != EVERY).agg(F.sum("df").alias("rows")).scalar()
         common = repeated.where(F.col("df") > rows / MAX_HOT_KEYS).select("term")
-        weighed = attach_hot_safe(terms, repeated, "term", common, spread="paper_key")
+        weighed = attach_hot_safe(terms, repeated, "term", common, spread=key)
     return weighed.withColumn("df", F.coalesce("df", F.lit(1)))
 
 
 def tfidf_keywords(
-    papers: DataFrame, keywords: int = KEYWORDS, min_chars: int = MIN_CHARS
+    papers: DataFrame,
+    key: str = "paper_key",
+    keywords: int = KEYWORDS,
+    min_chars: int = MIN_CHARS,
 ) -> DataFrame:
-    """``paper_key, SummaryAbstract``: the best words of each abstract joined by ``", "``.
+    """``key, SummaryAbstract``: the best words of each abstract joined by ``", "``.
 
-    Score = tf * ln(n / df) to six places, ties in word order.  The frequencies are
+    ``key`` names one row.  Score = tf * ln(n / df) to six places, ties in word order.  The frequencies are
     written once; everything else is one lazy plan over them and the texts.
     """
-    frequencies = write_once(document_frequencies(papers, min_chars), "frequencies")
+    frequencies = write_once(document_frequencies(papers, key, min_chars), "frequencies")
     total = frequencies.where(F.col("term") == EVERY).select("df").scalar()
     score = F.round(F.col("tf") * F.log(total / F.col("df")), 6)
-    scored = weigh(term_counts(papers, min_chars), frequencies).withColumn("score", score)
-    best = Window.partitionBy("paper_key").orderBy(F.desc("score"), "term")
+    scored = weigh(term_counts(papers, key, min_chars), frequencies, key).withColumn("score", score)
+    best = Window.partitionBy(key).orderBy(F.desc("score"), "term")
     return (
         scored.withColumn("place", F.row_number().over(best))
         .where(F.col("place") <= keywords)
-        .groupBy("paper_key")
+        .groupBy(key)
         # At most ``keywords`` rows per paper.
         .agg(F.sort_array(F.collect_list(F.struct("place", "term"))).alias("best"))
-        .select("paper_key", F.array_join(F.col("best")["term"], ", ").alias("SummaryAbstract"))
+        .select(key, F.array_join(F.col("best")["term"], ", ").alias("SummaryAbstract"))
     )
 
 
-def column_extractor(extract: Callable[[Column], Column]) -> Extractor:
-    """An extractor from a function of the abstract column, e.g. a pandas UDF."""
+def attach_summaries(
+    papers: DataFrame, summaries: DataFrame, key: str = "paper_key"
+) -> DataFrame:
+    """Write each summary back to its paper (J3); ``''`` where there is none (E5).
 
-    def keywords(papers: DataFrame) -> DataFrame:
-        return papers.where(F.col("Abstract") != "").select(
-            "paper_key", extract(F.col("Abstract")).alias("SummaryAbstract")
-        )
+    ``key`` names one row on either side, so this join has no hot keys.
+    """
+    return papers.join(summaries, key, "left").withColumn(
+        "SummaryAbstract", X.or_blank(F.col("SummaryAbstract"))
+    )
 
-    return keywords
 
+def by_tfidf(key: str) -> Extractor:
+    """The extractor of the default run."""
+    return lambda papers: attach_summaries(papers, tfidf_keywords(papers, key), key)
 
-def attach_summaries(papers: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Write each summary back to its paper (J3); ``''`` where there is none (E5).
 
-    ``paper_key`` names one row on either side, so this join has no hot keys.
+def by_column(extract: Callable[[Column], Column]) -> Extractor:
+    """An extractor from a function of the abstract column, e.g. a pandas UDF.
+
+    It never sees an empty abstract (E5); a mere CASE would not keep those from a UDF.
     """
-    return papers.join(summaries, "paper_key", "left").withColumn(
-        "SummaryAbstract", X.or_blank(F.col("SummaryAbstract"))
-    )
+    abstract = F.col("Abstract")
+
+    def summarise(papers: DataFrame) -> DataFrame:
+        full = papers.where(abstract != "")
+        empty = papers.where(~(abstract != "") | abstract.isNull())
+        return full.withColumn("SummaryAbstract", X.or_blank(extract(abstract))).unionByName(
+            empty.withColumn("SummaryAbstract", F.lit(""))
+        )
+
+    return summarise

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 MAX_BLOCKS = 1000
+MAX_SHARES = 64
+# Up to here a BIGINT and its DOUBLE are the same number.
+EXACT = 2**53
 NO_PLACE = -(2**63)
 
 
@@ -23,23 +27,34 @@ def number_rows(
     Rows are cut into blocks that follow the order, so that position = rows in earlier
     blocks + place in the block.  The cuts are quantiles of ``seq``, taken from the data
     first as a range-partitioned sort would, so a source with most of the rows is cut into
-    many blocks.  Any cuts give the same positions; good ones only balance the tasks.
-    ``rank`` is one of a fixed list of sources, so there are at most
-    ``sources * MAX_BLOCKS`` block counts to sum up and broadcast.
+    many blocks.  A ``seq`` that fills several quantiles by itself is a crowd of copies; if
+    ``tie`` is a number, the crowd is cut once more by ``tie``.  Any cuts give the same
+    positions; good ones only balance the tasks.  ``rank`` is one of a fixed list of
+    sources, so the block counts to sum up and broadcast are bounded by
+    ``sources * MAX_BLOCKS * MAX_SHARES / 2``, whatever the number of rows.
+
+    The three must name a row, or the rows must be a written table: they are read thrice.
     """
     if blocks is None:
         tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         blocks = min(2 * tasks, MAX_BLOCKS)
     # A row without a place in its list comes first, as NULLs do in an ascending sort.
     placed = rows.withColumn("_seq", F.coalesce(seq, F.lit(NO_PLACE)))
-    steps = [i / blocks for i in range(1, blocks)]
-    cuts = sorted(set(placed.approxQuantile("_seq", steps, 0.5 / blocks)))
-    if cuts:
-        splits = [float("-inf"), *cuts, float("inf")]
-        cut = Bucketizer(splits=splits, inputCol="_seq", outputCol="_block")
-        blocked = cut.transform(placed)
-    else:
-        blocked = placed.withColumn("_block", F.lit(0.0))
+    found = placed.approxQuantile("_seq", _steps(blocks), 0.5 / blocks)
+    blocked = _bucket(placed, "_seq", found, "_block")
+    crowds = [int(c) for c in set(found) if found.count(c) > 1 and (abs(c) <= EXACT or c == NO_PLACE)]
+    share, later = F.lit(0.0), F.lit(False)
+    if crowds and isinstance(rows.schema[tie].dataType, NumericType):
+        shares = min(blocks, MAX_SHARES)
+        in_crowd = F.col("_seq").isin(crowds)
+        members = placed.where(in_crowd)
+        found = members.approxQuantile(tie, _steps(shares), 0.5 / shares)
+        blocked = _bucket(blocked, tie, found, "_tie_block")
+        # A crowd is the lower bound of its block, so the block's other rows come after it.
+        share, later = F.when(in_crowd, F.col("_tie_block")).otherwise(0.0), ~in_crowd
+    blocked = blocked.select(
+        *rows.columns, "_seq", F.struct("_block", later.alias("later"), share.alias("share")).alias("_block")
+    )
 
     counts = blocked.groupBy(rank, "_block").agg(F.count("*").alias("_rows"))
     up_to_here = Window.orderBy(rank, "_block").rowsBetween(
@@ -63,6 +78,19 @@ def number_rows(
     )
 
 
+def _steps(parts: int) -> list[float]:
+    return [i / parts for i in range(1, parts)]
+
+
+def _bucket(rows: DataFrame, column: str, cuts: list[float], name: str) -> DataFrame:
+    """Add the number of the interval between ``cuts`` that ``column`` lies in."""
+    inner = sorted(set(cuts))
+    if not inner:
+        return rows.withColumn(name, F.lit(0.0))
+    splits = [float("-inf"), *inner, float("inf")]
+    return Bucketizer(splits=splits, inputCol=column, outputCol=name).transform(rows)
+
+
 def position_label(position: Column, total: Column) -> Column:
     """``i/n`` (W2)."""
     return F.concat(position.cast("string"), F.lit("/"), total.cast("string"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperwire import constants as K
 from paperwire.functions.text import or_blank, strip
+from paperwire.operators.joins import attach
 from paperwire.operators.keywords import Extractor
 from paperwire.schema import ANSWER_BODY
 
@@ -45,8 +46,10 @@ def request_json(requests: DataFrame) -> DataFrame:
 
 
 def answered(responses: DataFrame) -> Extractor:
-    """An extractor that takes the summaries from a table of model replies."""
-    return lambda papers: answers(responses)
+    """An extractor that takes the summaries from a table of model replies."""
+    return lambda papers: attach(papers, answers(responses), "paper_key").withColumn(
+        "SummaryAbstract", or_blank(F.col("SummaryAbstract"))
+    )
 
 
 def answers(responses: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paperwire.functions.authors import author_label
 from paperwire.operators.counts import source_counts
-from paperwire.operators.keywords import Extractor, attach_summaries, tfidf_keywords
+from paperwire.operators.keywords import Extractor, by_tfidf
 from paperwire.operators.numbering import number_rows
 from paperwire.operators.outbox import fan_out, write_outbox
 from paperwire.operators.union import union_sources
@@ -73,12 +73,19 @@ def select_papers(landed: Landed, config: JobConfig) -> DataFrame:
     return union_sources(*found)
 
 
+def land_papers(papers: DataFrame, name: str = "papers") -> DataFrame:
+    """Write the selected papers once, with a ``row_id`` that tells copies apart.
+
+    The corpus is searched once; numbering, keywords and counts read this table.
+    """
+    return write_once(papers.withColumn("row_id", F.monotonically_increasing_id()), name)
+
+
 def digest(
-    papers: DataFrame, config: JobConfig, extractor: Extractor = tfidf_keywords
+    papers: DataFrame, config: JobConfig, extractor: Extractor = by_tfidf("row_id")
 ) -> DataFrame:
-    """The outbox rows of selected papers."""
-    numbered = number_rows(papers)
-    summarised = attach_summaries(numbered, extractor(papers))
+    """The outbox rows of landed papers."""
+    summarised = extractor(number_rows(papers, tie="row_id"))
     labelled = summarised.withColumn(
         "author_label", author_label(F.col("Authors"), F.col("Affiliation"))
     )
@@ -86,10 +93,10 @@ def digest(
 
 
 def run(
-    landed: Landed, config: JobConfig, out: str, extractor: Extractor = tfidf_keywords
+    landed: Landed, config: JobConfig, out: str, extractor: Extractor = by_tfidf("row_id")
 ) -> None:
     """Search, render and write ``out/outbox``, ``out/counts`` and ``out/rejects``."""
-    papers = write_once(select_papers(landed, config), "papers")
+    papers = land_papers(select_papers(landed, config))
     write_outbox(digest(papers, config, extractor), f"{out}/outbox")
     source_counts(papers).write.mode("overwrite").json(f"{out}/counts")
     if landed.replies is not None:

@@ -21,7 +21,7 @@ from paperwire.operators.union import in_digest_order, union_sources
 from paperwire.plans import digest as G
 from paperwire.plans import standins as S
 from paperwire.schema import JobConfig
-from paperwire.session import fresh_path, write_once
+from paperwire.session import fresh_path
 from paperwire.sources import atom, landing, medline
 from paperwire.sources.common import as_papers
 from paperwire.streaming import intake
@@ -99,7 +99,7 @@ def search_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anti_join_prev_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = S.table(spark, sf_dir, "events")
-    new = landing.new_since_day_before(events, RUN_DATE, 1, "user_id", "event_id", day="ts")
+    new = landing.new_since_day_before(events, RUN_DATE, 1, "user_id", day="ts")
     return new.select("event_id", "user_id", "event_type")
 
 
@@ -432,7 +432,7 @@ def incremental_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = S.write_landing(S.event_replies(spark, sf_dir), "query_key")
     papers = intake.paper_stream(intake.landing_stream(spark, path), "")
     dated = papers.withColumn("seen_at", F.col("published").cast("timestamp"))
-    once = intake.drop_seen(dated, "DOI", "seen_at", "60 days", "source_seq")
+    once = intake.drop_seen(dated, "DOI", "seen_at", "60 days")
     out, state = fresh_path(spark, "papers"), fresh_path(spark, "stream")
     intake.run_available(once, out, state)
     intake.run_available(once, out, state)
@@ -445,9 +445,8 @@ def incremental_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def new_papers_to_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The day's new papers, numbered and rendered: scan, anti join, filter, label, Slack text."""
     items = landing.scan_biorxiv(S.event_replies(spark, sf_dir))
-    # The numbering reads the selected papers three times.
-    papers = write_once(landing.biorxiv_papers(items, "Click vie", RUN_DATE, 1), "papers")
-    ready = number_rows(papers).select(
+    papers = G.land_papers(landing.biorxiv_papers(items, "Click vie", RUN_DATE, 1))
+    ready = number_rows(papers, tie="row_id").select(
         "*",
         A.author_label(F.col("Authors"), F.col("Affiliation")).alias("author_label"),
         F.lit("").alias("SummaryAbstract"),

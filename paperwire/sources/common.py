@@ -13,7 +13,7 @@ def source_rank(kind: str) -> Column:
     return F.lit(K.SOURCE_ORDER.index(kind))
 
 
-def as_papers(rows: DataFrame, kind: str) -> DataFrame:
+def as_papers(rows: DataFrame, kind: str, *keep: str) -> DataFrame:
     """Add the source columns and a row key, and bring ``rows`` to the Paper schema.
 
     A DOI may come twice (versions of one paper), so the key also holds the position.
@@ -27,4 +27,4 @@ def as_papers(rows: DataFrame, kind: str) -> DataFrame:
             ":", F.lit(kind), identity, F.coalesce(F.col("source_seq").cast("string"), F.lit(""))
         ).alias("paper_key"),
     )
-    return keyed.select(*[F.col(name).cast(kind).alias(name) for name, kind in PAPER.items()])
+    return keyed.select(*keep, *[F.col(name).cast(kind).alias(name) for name, kind in PAPER.items()])

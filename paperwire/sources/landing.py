@@ -58,21 +58,22 @@ def first_pages(landing: DataFrame, page_limit: int | None) -> DataFrame:
     )
 
 
-def _items(landing: DataFrame, source: str, schema: str, items: str) -> DataFrame:
+def _items(landing: DataFrame, source: str, schema: str, items: str, *keep: str) -> DataFrame:
     """One row per item of the good replies, with its place in the whole listing."""
     replies = good_replies(landing).where(F.col("source") == source)
-    parsed = replies.select("cursor", F.from_json("body", schema).alias("reply"))
-    return parsed.select("cursor", F.posexplode(f"reply.{items}").alias("place", "item"))
+    parsed = replies.select("cursor", *keep, F.from_json("body", schema).alias("reply"))
+    return parsed.select("cursor", *keep, F.posexplode(f"reply.{items}").alias("place", "item"))
 
 
 def _seq() -> Column:
     return (F.col("cursor") + F.col("place")).cast("bigint").alias("source_seq")
 
 
-def scan_biorxiv(landing: DataFrame) -> DataFrame:
-    """Items of ``collection``."""
-    items = _items(landing, "biorxiv", BIORXIV_BODY, "collection")
+def scan_biorxiv(landing: DataFrame, *keep: str) -> DataFrame:
+    """Items of ``collection`` (S4), with the columns ``keep`` of their reply."""
+    items = _items(landing, "biorxiv", BIORXIV_BODY, "collection", *keep)
     return items.select(
+        *keep,
         _seq(),
         "item.*",
         F.try_to_timestamp(F.substring("item.date", 1, 10), F.lit("yyyy-MM-dd"))
@@ -94,7 +95,7 @@ def scan_chemrxiv(landing: DataFrame) -> DataFrame:
 
 
 def new_since_day_before(
-    rows: DataFrame, run_date: dt.date, days: int, key: str, spread: str, day: str = "published"
+    rows: DataFrame, run_date: dt.date, days: int, key: str, day: str = "published"
 ) -> DataFrame:
     """Rows of ``[end-1, end]`` whose key is not among those of ``end-1``.
 
@@ -103,13 +104,14 @@ def new_since_day_before(
     """
     latest = rows.where(single_day(F.col(day), run_date, days))
     before = rows.where(single_day(F.col(day), run_date, days + 1))
-    return drop_matching(latest, before.select(key), key, spread)
+    return drop_matching(latest, before.select(key), key)
 
 
-def biorxiv_columns(items: DataFrame) -> DataFrame:
+def biorxiv_columns(items: DataFrame, *keep: str) -> DataFrame:
     """Items to Paper columns."""
     authors = A.split_authors(F.col("authors"))
     return items.select(
+        *keep,
         "source_seq",
         "published",
         X.or_blank(F.col("title")).alias("Title"),
@@ -127,7 +129,7 @@ def biorxiv_columns(items: DataFrame) -> DataFrame:
 
 def biorxiv_papers(items: DataFrame, term: str, run_date: dt.date, days: int) -> DataFrame:
     """New items of the day that hit a keyword: window, anti join, keyword filter, projection."""
-    new = new_since_day_before(items, run_date, days, "doi", "source_seq")
+    new = new_since_day_before(items, run_date, days, "doi")
     hits = new.where(X.any_keyword(term, F.col("title"), F.col("abstract")))
     return as_papers(biorxiv_columns(hits), "biorxiv")
 

@@ -12,6 +12,7 @@ from paperwire.functions import text as X
 from paperwire.functions.authors import blank_affiliations
 from paperwire.functions.windows import pubmed_window
 from paperwire.operators.joins import keep_matching
+from paperwire.operators.topk import first_per_group
 from paperwire.sources.common import as_papers
 
 Match = Callable[..., Column]
@@ -96,6 +97,17 @@ def medline_papers(records: DataFrame, datetype: str = "edat") -> DataFrame:
     return as_papers(rows, "pubmed")
 
 
+def one_per_id(records: DataFrame) -> DataFrame:
+    """One record per id, as a fetch takes one: the last revised, then the first by content.
+
+    A record without an id cannot be fetched.  Each task drops its own copies before the
+    shuffle.
+    """
+    revised = [F.desc_nulls_last("mdat")] if "mdat" in records.columns else []
+    content = [c for c in ("TI", "AB", "SO") if c in records.columns]
+    return first_per_group(records.where(F.col("PMID") != ""), 1, "PMID", *revised, *content)
+
+
 def search(
     records: DataFrame,
     term: str,
@@ -110,7 +122,7 @@ def search(
     ``all_words`` or ``any_keyword``.
     """
     hit = match(term, F.col("TI"), F.col("AB"))
-    return records.where(hit & pubmed_window(F.col(datetype), run_date, days))
+    return one_per_id(records.where(hit & pubmed_window(F.col(datetype), run_date, days)))
 
 
 def search_ids(
@@ -127,5 +139,5 @@ def search_ids(
 
 
 def fetch_by_id(records: DataFrame, ids: DataFrame) -> DataFrame:
-    """Records whose id is listed."""
-    return keep_matching(records, ids.select(F.col("id").alias("PMID")), "PMID")
+    """The record of each listed id."""
+    return one_per_id(keep_matching(records, ids.select(F.col("id").alias("PMID")), "PMID"))

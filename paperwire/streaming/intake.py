@@ -14,22 +14,29 @@ SALTS = 64
 
 
 def landing_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """New files of the landing folder; each micro-batch takes a bounded number of them."""
+    """New files of the landing folder; each micro-batch takes a bounded number of them.
+
+    ``reply_hash`` differs between replies even if all else is equal, and is the same
+    whenever a task is repeated.
+    """
     return (
         spark.readStream.schema(LANDING)
         .option("maxFilesPerTrigger", files_per_trigger)
         .parquet(path)
+        .select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("reply_hash"))
     )
 
 
 def paper_stream(landing: DataFrame, term: str) -> DataFrame:
-    """Landed replies to matching papers; the same columns as the batch form, no state."""
-    items = scan_biorxiv(landing)
+    """Landed replies to matching papers; the Paper columns and ``reply_hash``, no state."""
+    items = scan_biorxiv(landing, "reply_hash")
     hits = items.where(X.any_keyword(term, F.col("title"), F.col("abstract")))
-    return as_papers(biorxiv_columns(hits), "biorxiv")
+    return as_papers(biorxiv_columns(hits, "reply_hash"), "biorxiv", "reply_hash")
 
 
-def drop_seen(papers: DataFrame, key: str, event_time: str, keep: str, spread: str) -> DataFrame:
+def drop_seen(
+    papers: DataFrame, key: str, event_time: str, keep: str, spread: str = "reply_hash"
+) -> DataFrame:
     """Each value of ``key`` once while its state lives, i.e. for ``keep`` of event time (R2).
 
     Unlike the anti join on the day before, a repeat within one batch goes too.  The first

@@ -150,6 +150,25 @@ def test_numbering_is_the_digest_order(spark, blocks):
     assert {r["total"] for r in got} == {len(rows)}
 
 
+def test_numbering_splits_a_crowd_of_copies(spark, plan):
+    """A third of the rows are copies on one place; they are numbered by many tasks."""
+    rows = spark.range(3000).select(
+        F.lit(0).alias("source_rank"),
+        F.when(F.col("id") % 3 == 0, 700).otherwise(F.col("id")).alias("source_seq"),
+        F.lit("copy").alias("paper_key"),
+        (F.col("id") * 7919 % 3001).alias("row_id"),
+    )
+    numbered = number_rows(rows, tie="row_id", blocks=30)
+    got = numbered.orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(1, 3001))
+    order = [(r["source_seq"], r["row_id"]) for r in got]
+    assert order == sorted(order)
+    window = plan(numbered).split("Window [row_number()")[1]
+    assert "share" in window or "_block" in window
+    groups = numbered.groupBy(F.spark_partition_id()).count().collect()
+    assert max(g["count"] for g in groups) < 1600
+
+
 def test_numbering_of_nothing_and_of_one_row(spark):
     assert number_rows(papers_for_numbers(spark, [])).count() == 0
     row = number_rows(papers_for_numbers(spark, [(0, 5, "p")])).first()
@@ -280,7 +299,7 @@ def test_column_extractor_takes_a_pandas_udf(spark):
         return texts.map(lambda t: max(t.split(), key=len))
 
     papers = spark.createDataFrame([("a", "x yyy"), ("b", "")], "paper_key STRING, Abstract STRING")
-    assert summaries(keywords.column_extractor(longest)(papers)) == {"a": "yyy"}
+    assert summaries(keywords.by_column(longest)(papers)) == {"a": "yyy", "b": ""}
 
 
 # --- requests and answers --------------------------------------------------------------

@@ -68,7 +68,7 @@ def test_whole_run(spark, landed, tmp_path):
 
 def test_switched_sources_channels_and_answers(spark, landed, tmp_path):
     chosen = config(sources=("arxiv",), channels=("slack",), term="lab robots")
-    papers = G.select_papers(landed, chosen)
+    papers = G.land_papers(G.select_papers(landed, chosen))
     keys = [r["paper_key"] for r in papers.orderBy("source_seq").collect()]
     assert [k.split(":")[0] for k in keys] == ["arxiv", "arxiv"]
     body = json.dumps({"choices": [{"message": {"content": " 語, words　"}}]})
@@ -113,7 +113,7 @@ def test_drop_seen_remembers_between_runs_and_forgets_in_time(spark, tmp_path):
     def run():
         papers = intake.paper_stream(intake.landing_stream(spark, path, 1), "lab")
         dated = papers.withColumn("seen_at", F.col("published").cast("timestamp"))
-        once = intake.drop_seen(dated, "DOI", "seen_at", "3 days", "source_seq")
+        once = intake.drop_seen(dated, "DOI", "seen_at", "3 days")
         intake.run_available(once, out, state)
 
     land(spark, path, "2024-01-09", ["10.1/a", "10.1/b", *["10.1/hot"] * 50])

@@ -106,6 +106,14 @@ def test_search_by_date_type(records):
     assert ids("abstract title", "edat", 30) == ["100"]
 
 
+def test_one_record_per_id(spark, records):
+    copies = records.union(records).union(records.withColumn("mdat", F.lit(None).cast("date")))
+    ids = spark.createDataFrame([("100",), ("101",)], "id STRING")
+    got = {r["PMID"]: r["mdat"] for r in medline.fetch_by_id(copies, ids).collect()}
+    assert got == {"100": dt.date(2024, 1, 9), "101": None}
+    assert medline.search(copies, "abstract", "edat", 30, RUN).count() == 2
+
+
 def test_fetch_by_id(spark, records):
     ids = spark.createDataFrame([("100",), ("999",), ("100",)], "id STRING")
     assert [r["PMID"] for r in medline.fetch_by_id(records, ids).collect()] == ["100"]
