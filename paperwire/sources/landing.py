@@ -158,4 +158,5 @@ def chemrxiv_papers(
     hits = items.where(single_day(F.col("published"), run_date, days)).where(
         X.phrase(words, F.col("title"), F.col("abstract"))
     )
-    return as_papers(chemrxiv_columns(first_rows(hits, limit, "source_seq", "doi")), "chemrxiv")
+    # Limited last, so that the optimizer sees the limit on the sort: a top-k, not a sort.
+    return first_rows(as_papers(chemrxiv_columns(hits), "chemrxiv"), limit, "source_seq", "DOI")
