@@ -11,6 +11,7 @@ from paperwire.sources.common import as_papers
 from paperwire.sources.landing import biorxiv_columns, scan_biorxiv
 
 SALTS = 64
+SHUFFLE_TASKS = "spark.sql.shuffle.partitions"
 
 
 def landing_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -49,13 +50,27 @@ def drop_seen(
     return thinned.dropDuplicatesWithinWatermark([key]).drop("_salt")
 
 
-def run_available(stream: DataFrame, table: str, checkpoint: str) -> None:
-    """Process what has landed since the last run, append it to ``table``, and stop."""
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(table)
-    )
+def run_available(
+    stream: DataFrame, table: str, checkpoint: str, state_tasks: int | None = None
+) -> None:
+    """Process what has landed since the last run, append it to ``table``, and stop.
+
+    ``state_tasks`` is the number of tasks that share the state, by default one per core.
+    It is fixed by the first run of a checkpoint, as state cannot be moved between tasks.
+    """
+    spark = stream.sparkSession
+    tasks = state_tasks or spark.sparkContext.defaultParallelism
+    usual = spark.conf.get(SHUFFLE_TASKS)
+    spark.conf.set(SHUFFLE_TASKS, str(tasks))
+    try:
+        # A query keeps the settings it was started with.
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start(table)
+        )
+    finally:
+        spark.conf.set(SHUFFLE_TASKS, usual)
     query.awaitTermination()
