@@ -83,8 +83,8 @@ def tfidf_keywords(
 ) -> DataFrame:
     """``key, SummaryAbstract``: the best words of each abstract joined by ``", "``.
 
-    ``key`` names one row.  Score = tf * ln(n / df) to six places, ties in word order.  The frequencies are
-    written once; everything else is one lazy plan over them and the texts.
+    ``key`` names one row.  Score = tf * ln(n / df) to six places, ties in word order.  The
+    frequencies are written once; all else is one lazy plan over them and the texts.
     """
     frequencies = write_once(document_frequencies(papers, key, min_chars), "frequencies")
     total = frequencies.where(F.col("term") == EVERY).select("df").scalar()

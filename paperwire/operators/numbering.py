@@ -42,7 +42,8 @@ def number_rows(
     placed = rows.withColumn("_seq", F.coalesce(seq, F.lit(NO_PLACE)))
     found = placed.approxQuantile("_seq", _steps(blocks), 0.5 / blocks)
     blocked = _bucket(placed, "_seq", found, "_block")
-    crowds = [int(c) for c in set(found) if found.count(c) > 1 and (abs(c) <= EXACT or c == NO_PLACE)]
+    repeated = {c for c in found if found.count(c) > 1}
+    crowds = [int(c) for c in repeated if abs(c) <= EXACT or c == NO_PLACE]
     share, later = F.lit(0.0), F.lit(False)
     if crowds and isinstance(rows.schema[tie].dataType, NumericType):
         shares = min(blocks, MAX_SHARES)
@@ -52,9 +53,8 @@ def number_rows(
         blocked = _bucket(blocked, tie, found, "_tie_block")
         # A crowd is the lower bound of its block, so the block's other rows come after it.
         share, later = F.when(in_crowd, F.col("_tie_block")).otherwise(0.0), ~in_crowd
-    blocked = blocked.select(
-        *rows.columns, "_seq", F.struct("_block", later.alias("later"), share.alias("share")).alias("_block")
-    )
+    block = F.struct("_block", later.alias("later"), share.alias("share"))
+    blocked = blocked.select(*rows.columns, "_seq", block.alias("_block"))
 
     counts = blocked.groupBy(rank, "_block").agg(F.count("*").alias("_rows"))
     up_to_here = Window.orderBy(rank, "_block").rowsBetween(

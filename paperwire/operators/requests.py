@@ -45,9 +45,9 @@ def request_json(requests: DataFrame) -> DataFrame:
     return requests.select("paper_key", F.to_json(F.struct(*requests.columns)).alias("body"))
 
 
-def answered(responses: DataFrame) -> Extractor:
+def answered(responses: DataFrame, spread: str = "row_id") -> Extractor:
     """An extractor that takes the summaries from a table of model replies."""
-    return lambda papers: attach(papers, answers(responses), "paper_key").withColumn(
+    return lambda papers: attach(papers, answers(responses), "paper_key", spread).withColumn(
         "SummaryAbstract", or_blank(F.col("SummaryAbstract"))
     )
 

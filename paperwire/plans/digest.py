@@ -84,10 +84,16 @@ def land_papers(papers: DataFrame, name: str = "papers") -> DataFrame:
 def digest(
     papers: DataFrame, config: JobConfig, extractor: Extractor = by_tfidf("row_id")
 ) -> DataFrame:
-    """The outbox rows of landed papers."""
-    summarised = extractor(number_rows(papers, tie="row_id"))
-    labelled = summarised.withColumn(
-        "author_label", author_label(F.col("Authors"), F.col("Affiliation"))
+    """The outbox rows of landed papers.
+
+    Only the order columns are numbered; papers, numbers and keywords meet by ``row_id``.
+    """
+    order = papers.select("source_rank", "source_seq", "row_id")
+    numbers = number_rows(order, tie="row_id").select("row_id", "position", "total")
+    labelled = (
+        extractor(papers)
+        .join(numbers, "row_id")
+        .withColumn("author_label", author_label(F.col("Authors"), F.col("Affiliation")))
     )
     return fan_out(labelled, config.run_ts, "author_label", config.channels)
 

@@ -196,9 +196,8 @@ turns AS (
 
 
 def hits(column: str, word: str) -> str:
-    return (
-        f"CAST((length({column}) - length(replace({column}, '{word}', ''))) / {len(word)} AS BIGINT)"
-    )
+    without = f"length(replace({column}, '{word}', ''))"
+    return f"CAST((length({column}) - {without}) / {len(word)} AS BIGINT)"
 
 
 BEST = f"""
@@ -416,7 +415,8 @@ SELECT paper_key, CAST(to_json(struct_pack(
          paper_key := paper_key, model := {text(K.MODEL)},
          messages := [
            struct_pack(role := 'system', content := {text(K.SYSTEM_MESSAGE)}),
-           struct_pack(role := 'user', content := {text(K.BASE_PROMPT + K.PROMPT_GAP)} || abstract)],
+           struct_pack(role := 'user',
+                       content := {text(K.BASE_PROMPT + K.PROMPT_GAP)} || abstract)],
          temperature := 1, max_tokens := 1001, top_p := 1, frequency_penalty := 0,
          presence_penalty := 0)) AS VARCHAR) AS body
 FROM docs WHERE abstract <> ''""",

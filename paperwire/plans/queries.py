@@ -149,10 +149,8 @@ def author_label_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def author_split_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P12, P15 and P16 on an author text of ``l_linenumber`` names."""
-    text = F.array_join(
-        F.transform(F.sequence(F.lit(1), F.col("l_linenumber")), lambda i: S.text_of("A, ", i, ".")),
-        "; ",
-    )
+    numbers = F.sequence(F.lit(1), F.col("l_linenumber"))
+    text = F.array_join(F.transform(numbers, lambda i: S.text_of("A, ", i, ".")), "; ")
     names = A.split_authors(text)
     padded = A.last_author_affiliation(names, S.text_of("Inst ", F.col("l_suppkey")))
     return S.table(spark, sf_dir, "lineitem").select(

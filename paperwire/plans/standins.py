@@ -173,6 +173,11 @@ def turn_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` as Atom entries, one per turn."""
     conv, turn = F.col("conv_id"), F.col("turn")
     name = text_of(conv, ".", turn)
+
+    def link(kind: str, rel: str) -> Column:
+        href = text_of(f"http://example.org/{kind}/", name)
+        return F.struct(href.alias("_href"), F.lit(rel).alias("_rel"))
+
     return table(spark, sf_dir, "conversations").select(
         text_of("http://example.org/abs/", name).alias("id"),
         F.lit("2024-01-08T12:00:00Z").alias("published"),
@@ -183,10 +188,7 @@ def turn_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(text_of("Author ", F.col("role")).alias("name")),
         ).alias("author"),
         F.when(F.col("role") == "user", text_of("10.5555/t", name)).alias("arxiv:doi"),
-        F.array(
-            F.struct(text_of("http://example.org/abs/", name).alias("_href"), F.lit("alternate").alias("_rel")),
-            F.struct(text_of("http://example.org/pdf/", name).alias("_href"), F.lit("related").alias("_rel")),
-        ).alias("link"),
+        F.array(link("abs", "alternate"), link("pdf", "related")).alias("link"),
     )
 
 
@@ -203,7 +205,8 @@ def turn_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.lit(f"<{name}>"), escaped(value), F.lit(f"</{name}>"))
 
     authors = F.transform(
-        "author", lambda a: F.concat(F.lit("<author>"), element("name", a["name"]), F.lit("</author>"))
+        "author",
+        lambda a: F.concat(F.lit("<author>"), element("name", a["name"]), F.lit("</author>")),
     )
     links = F.transform(
         "link",

@@ -34,7 +34,8 @@ def atom_columns(entries: DataFrame, seq: str | None = None) -> DataFrame:
 
     ``seq`` names a column that gives the place in the list, if there is one already.
     """
-    authors = F.coalesce(F.transform("author", lambda a: a["name"]), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    authors = F.coalesce(F.transform("author", lambda a: a["name"]), none)
     return entries.select(
         *([F.col(seq).alias("source_seq")] if seq else []),
         F.col("id"),

@@ -27,4 +27,5 @@ def as_papers(rows: DataFrame, kind: str, *keep: str) -> DataFrame:
             ":", F.lit(kind), identity, F.coalesce(F.col("source_seq").cast("string"), F.lit(""))
         ).alias("paper_key"),
     )
-    return keyed.select(*keep, *[F.col(name).cast(kind).alias(name) for name, kind in PAPER.items()])
+    columns = [F.col(name).cast(kind).alias(name) for name, kind in PAPER.items()]
+    return keyed.select(*keep, *columns)

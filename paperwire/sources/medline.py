@@ -63,7 +63,7 @@ def read_medline(spark: SparkSession, path: str, record_sep: str = "\n\n") -> Da
         ).cast("date").alias(kind)
         for kind, tag in DATE_TAGS.items()
     ]
-    return lines.select(
+    fields = F.struct(
         _text("PMID").alias("PMID"),
         _text("TI").alias("TI"),
         _text("AB").alias("AB"),
@@ -72,6 +72,9 @@ def read_medline(spark: SparkSession, path: str, record_sep: str = "\n\n") -> Da
         _text("SO").alias("SO"),
         *dates,
     )
+    # Filters stay above a generator; pushed below a projection they would parse each
+    # record anew for every field they mention.
+    return lines.select(F.inline(F.array(fields)))
 
 
 def medline_papers(records: DataFrame, datetype: str = "edat") -> DataFrame:

@@ -139,7 +139,8 @@ def test_message_texts(spark):
     fields = (head, F.lit("T"), F.lit("https://doi.org/10.1/a"), F.lit("A (x)"), F.lit("k1, k2"))
     h = "2024/01/02 00:30 | bioRxiv | 1/2"
     expected = {
-        "teams": f"**{h}** <br> **[T](https://doi.org/10.1/a)** <br> A (x) <br><br> k1, k2 <br><br> ",
+        "teams": f"**{h}** <br> **[T](https://doi.org/10.1/a)** <br> A (x) <br><br> "
+        "k1, k2 <br><br> ",
         "line": f"{h}\nT\nhttps://doi.org/10.1/a\nA (x)\n\nk1, k2",
         "slack": f"*{h}*\n\n <https://doi.org/10.1/a|*T*>\n A (x) \n\n k1, k2",
         "discord": f"**{h}**\r**[T](<https://doi.org/10.1/a>)**\rA (x)\r\rk1, k2\r\r​",

@@ -306,7 +306,8 @@ def test_column_extractor_takes_a_pandas_udf(spark):
 
 
 def test_request_record(spark):
-    papers = spark.createDataFrame([("a", 'Say "hi"\n'), ("b", "")], "paper_key STRING, Abstract STRING")
+    texts = [("a", 'Say "hi"\n'), ("b", "")]
+    papers = spark.createDataFrame(texts, "paper_key STRING, Abstract STRING")
     rows = requests.request_json(requests.prompt_requests(papers, "PROMPT", "m")).collect()
     assert len(rows) == 1
     assert json.loads(rows[0]["body"]) == {
@@ -337,8 +338,9 @@ def test_answers(spark):
 def numbered(spark):
     rows = [("p1", 1, "T", "https://doi.org/10.1/a", "bioRxiv", "A (x)", "k1, k2"),
             ("p2", 2, "U", None, "bioRxiv", "B", "")]
-    df = spark.createDataFrame(rows, "paper_key STRING, position BIGINT, Title STRING, "
-                               "paperLink STRING, Source STRING, label STRING, SummaryAbstract STRING")
+    schema = ("paper_key STRING, position BIGINT, Title STRING, paperLink STRING, "
+              "Source STRING, label STRING, SummaryAbstract STRING")
+    df = spark.createDataFrame(rows, schema)
     return df.withColumn("total", F.lit(2).cast("bigint"))
 
 

@@ -79,7 +79,9 @@ def test_medline_records_to_papers(records):
 
 def test_medline_file_is_one_record_per_row_whatever_the_splits(spark, tmp_path):
     path = tmp_path / "many.txt"
-    record = "PMID- {n}\nTI  - Title {n}\nAB  - line one\n      line two {n}\nSO  - J. doi: 10.1/{n}."
+    record = (
+        "PMID- {n}\nTI  - Title {n}\nAB  - line one\n      line two {n}\nSO  - J. doi: 10.1/{n}."
+    )
     path.write_text("\n\n".join(record.format(n=n) for n in range(500)) + "\n\n")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
