@@ -66,6 +66,25 @@ def test_whole_run(spark, landed, tmp_path):
     assert [(r["source"], r["status"], r["replies"]) for r in rejected] == [("biorxiv", 503, 1)]
 
 
+def test_run_with_a_third_of_copies(spark, no_broadcast, tmp_path):
+    """Copies of one reply stay, are numbered once each and are told apart by nothing else."""
+    rows = []
+    for n in range(600):
+        k = 7 if n % 3 == 0 else n
+        body = json.dumps({"collection": [item(f"10.1/{k}", "2024-01-10")]})
+        rows.append(("biorxiv", "q", k, "u", 200, body, dt.datetime(2024, 1, 11)))
+    path, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    spark.createDataFrame(rows, LANDING).repartition(4).write.parquet(path)
+    landed = G.Landed(replies=spark.read.schema(LANDING).parquet(path))
+    G.run(landed, config(sources=("biorxiv",), channels=("line",)), out)
+    sent = outbox.read_outbox(spark, f"{out}/outbox").orderBy("position").collect()
+    assert [r["position"] for r in sent] == list(range(1, 601))
+    want = sorted([7] * 200 + [n for n in range(600) if n % 3])
+    assert [int(r["title"].split("/")[1]) for r in sent] == want
+    copies = {r["message"].split("\n", 1)[1] for r in sent if r["title"] == "Lab 10.1/7"}
+    assert len(copies) == 1
+
+
 def test_switched_sources_channels_and_answers(spark, landed, tmp_path):
     chosen = config(sources=("arxiv",), channels=("slack",), term="lab robots")
     papers = G.land_papers(G.select_papers(landed, chosen))
