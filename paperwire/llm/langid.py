@@ -2,7 +2,7 @@
 
 A language gives each piece of a fixed public vocabulary a probability. The probability of a word is the sum over
 all its segmentations into pieces, found by a forward pass over its bytes; single bytes are pieces too, so every
-word has one. Piece probabilities are learned by expectation maximisation on the word counts of a bounded sample: expected
+word has one. Texts are put in lower case, so that shouting does not hide a language. Piece probabilities are learned by expectation maximisation on the word counts of a bounded sample: expected
 counts of pieces are worked out per word in tasks and added up by Spark.
 """
 
@@ -152,7 +152,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAM
     input, and is held by the driver. No labelled rows: no languages.
     """
     on_workers(df.sparkSession)
-    rows = df.where(F.col(lang).isNotNull() & has_letter(F.col(text))).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = df.where(F.col(lang).isNotNull() & has_letter(F.col(text))).select(F.col(lang).alias("lang"), F.lower(text).alias("text"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
@@ -233,7 +233,7 @@ def predict(df: DataFrame, languages: list[str], model, text: str = "text", path
                 score.append(float(1 / np.exp(sums - sums.max()).sum()))
         return pa.StructArray.from_arrays([pa.array([languages[i] for i in best], pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
-    found = F.when(has_letter(F.col(text)), scored(F.col(text).cast("binary"))).otherwise(none)
+    found = F.when(has_letter(F.col(text)), scored(F.lower(text).cast("binary"))).otherwise(none)
     columns = [F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")]
     return df.select(F.struct(*columns).alias("row"), found.alias("found")).select("row.*", "found.*")
 
