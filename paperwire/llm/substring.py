@@ -5,13 +5,12 @@ any two equal windows share the seed at the same offset. The windows of one seed
 is the seed extended both ways as far as it is the seed of a window. Rows whose stretches are equal as
 wholes are told apart by id at once. Where a seed has several stretches they are extended step by step: each
 window is the seed with some words on its left and the rest on its right, and windows that agree in all
-of them meet by a hash of 128 bits. Windows that follow one another join to the maximal repeat. No pair
+of them meet by a hash of 96 bits. Windows that follow one another join to the maximal repeat. No pair
 of rows is ever listed, so the work is linear in the words, however many rows share a passage.
 """
 
 from __future__ import annotations
 
-import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -23,28 +22,28 @@ from pyspark.sql import functions as F
 from paperwire.llm.common import BROADCAST_ROWS, checkpointed, on_workers, semi_filter
 
 #: Words of a window that must repeat; words of a seed.
-LENGTH, SEED = 50, 10
+LENGTH, SEED = 50, 8
 #: Odd multipliers of the two rolling hashes, and words a worker remembers.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-CACHE = 1_000_000
+CACHE = 250_000
 #: Bits of a sorting key that hold the place in the text, for texts of up to 2^30 words.
 PLACE = 30
 
 
-@lru_cache(maxsize=2)
-def _words(salt: int) -> dict[bytes, int]:
+@lru_cache(maxsize=1)
+def _words() -> dict[bytes, bytes]:
     return {}
 
 
-def _hashed(words: list[bytes], salt: int) -> np.ndarray:
-    known = _words(salt)
+def _hashed(words: list[bytes]) -> np.ndarray:
+    """Two hashes of each word, in columns."""
+    known = _words()
     new = set(words).difference(known)
     if len(known) + len(new) > CACHE:
         known.clear()
         new = set(words)
-    digest = xxhash.xxh3_64_intdigest
-    known.update((w, digest(w, salt)) for w in new)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    known.update((w, xxhash.xxh3_128_digest(w)) for w in new)
+    return np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint64).reshape(-1, 2)
 
 
 @lru_cache(maxsize=8)
@@ -57,12 +56,11 @@ def _powers(factor: int, size: int) -> np.ndarray:
 class Rolling:
     """Hash of any run of words: sums of word hashes times powers, taken apart again by inverses."""
 
-    def __init__(self, words: list[bytes], which: int):
-        size = 1 << max(10, (len(words) + 1).bit_length())
+    def __init__(self, hashes: np.ndarray, which: int):
+        size = 1 << max(10, (len(hashes) + 1).bit_length())
         factor = FACTORS[which]
-        hashes = _hashed(words, which)
-        self.sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(hashes * _powers(factor, size)[: len(words)], out=self.sums[1:])
+        self.sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes[:, which] * _powers(factor, size)[: len(hashes)], out=self.sums[1:])
         self.back = _powers(pow(factor, -1, 1 << 64), size)
 
     def runs(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -72,9 +70,9 @@ class Rolling:
 
 
 def stretches(words: list[bytes], length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, ...]:
-    """Of each seed: first and last window, the seed's hash, and the hash (two numbers) of all words of these windows."""
+    """Of each seed: first and last window, the seed's hash, and the hash of all words of these windows."""
     n = len(words) - length + 1
-    one, two = Rolling(words, 0), Rolling(words, 1)
+    one = Rolling(_hashed(words), 0)
     at = np.arange(len(words) - seed + 1)
     grams = one.runs(at, at + seed)
     low = np.uint64((1 << PLACE) - 1)
@@ -88,7 +86,7 @@ def stretches(words: list[bytes], length: int = LENGTH, seed: int = SEED) -> tup
     last = np.append(first[1:], n) - 1
     ends, shape = last + length, (places[first] - first).astype(np.uint64)
     # The offset of the seed is part of the stretch.
-    return first, last, grams[places[first]], one.runs(first, ends) + shape * np.uint64(FACTORS[0]), two.runs(first, ends) + shape
+    return first, last, grams[places[first]], one.runs(first, ends) + shape * np.uint64(FACTORS[0])
 
 
 def _text_words(text) -> list[bytes]:
@@ -97,42 +95,41 @@ def _text_words(text) -> list[bytes]:
 
 def seeds(text: Column, length: int = LENGTH, seed: int = SEED) -> Column:
     """The stretches of the whole text; ``span`` is the first window and, in the low half, the last."""
-    kind = "array<struct<seed: bigint, c1: bigint, c2: bigint, span: bigint>>"
+    kind = "array<struct<seed: bigint, stretch: bigint, span: bigint>>"
 
     @F.arrow_udf(kind)
     def found(texts: pa.Array) -> pa.Array:
-        columns, ends = [[np.empty(0, np.int64)] for _ in range(4)], [0]
+        columns, ends = [[np.empty(0, np.int64)] for _ in range(3)], [0]
         for text in texts:
             words = _text_words(text)
             if len(words) < length:
                 ends.append(ends[-1])
                 continue
-            first, last, gram, c1, c2 = stretches(words, length, seed)
-            for column, values in zip(columns, (gram.view(np.int64), c1.view(np.int64), c2.view(np.int64), first << 32 | last)):
+            first, last, gram, whole = stretches(words, length, seed)
+            for column, values in zip(columns, (gram.view(np.int64), whole.view(np.int64), first << 32 | last)):
                 column.append(values)
             ends.append(ends[-1] + len(first))
-        rows = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["seed", "c1", "c2", "span"])
+        rows = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["seed", "stretch", "span"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
     return found(text.cast("binary"))
 
 
 def windows(text: Column, spans: Column, length: int = LENGTH) -> Column:
-    """Hash and place of each window within the spans."""
-    kind = "array<struct<w1: bigint, w2: bigint, at: int>>"
+    """Of each window within the spans ``hash``, and ``rest``: 32 more bits of hash above its place."""
+    kind = "array<struct<hash: bigint, rest: bigint>>"
 
     @F.arrow_udf(kind)
     def found(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        columns, ends = [[np.empty(0, np.int64)] for _ in range(3)], [0]
+        hashes, rests, ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [0]
         for text, some in zip(texts, lists):
-            words = _text_words(text)
-            one, two = Rolling(words, 0), Rolling(words, 1)
+            words = _hashed(_text_words(text))
             at = np.concatenate([np.arange(s >> 32, (s & 0xFFFFFFFF) + 1) for s in some.as_py()])
-            for column, values in zip(columns, (one.runs(at, at + length).view(np.int64), two.runs(at, at + length).view(np.int64), at)):
-                column.append(values)
+            hashes.append(Rolling(words, 0).runs(at, at + length).view(np.int64))
+            more = Rolling(words, 1).runs(at, at + length) & np.uint64(0xFFFFFFFF << 32)
+            rests.append(more.view(np.int64) | at)
             ends.append(ends[-1] + len(at))
-        made = [np.concatenate(c) for c in columns]
-        rows = pa.StructArray.from_arrays([pa.array(made[0]), pa.array(made[1]), pa.array(made[2].astype(np.int32))], ["w1", "w2", "at"])
+        rows = pa.StructArray.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(rests))], ["hash", "rest"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
     return found(text.cast("binary"), spans)
@@ -152,12 +149,12 @@ def repeats(df: DataFrame, text: str = "text", length: int = LENGTH, seed: int =
     found = rows.select("_id", "_hash", F.explode(seeds(F.col("_text"), length, seed)).alias("_s"))
     found = checkpointed(found.select("_id", "_hash", "_s.*"))
     # One row for each different stretch of a seed, with the least and greatest id that has it.
-    kinds = found.groupBy("seed", "c1", "c2").agg(F.min("_id").alias("least"), F.max("_id").alias("most"))
+    kinds = found.groupBy("seed", "stretch").agg(F.min("_id").alias("least"), F.max("_id").alias("most"))
     kinds = kinds.repartition("seed")
     several = kinds.groupBy("seed").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("seed", F.lit(True).alias("several"))
     kinds = kinds.join(several, "seed", "left").where("several or least < most")
-    kinds = checkpointed(kinds.select("c1", "c2", "least", F.coalesce("several", F.lit(False)).alias("several")))
-    met = checkpointed(found.join(kinds, ["c1", "c2"]).where("_id > least or several").select("_id", "_hash", "span", "least"))
+    kinds = checkpointed(kinds.select("seed", "stretch", "least", F.coalesce("several", F.lit(False)).alias("several")))
+    met = checkpointed(found.join(kinds, ["seed", "stretch"]).where("_id > least or several").select("_id", "_hash", "span", "least"))
     whole = met.where("_id > least").select("_id", "_hash", "span")
     # The least id of a stretch stands for it where other stretches of the seed may hold some of its windows.
     ask = met.where("_id = least").groupBy("_id", "_hash").agg(F.collect_set("span").alias("spans"))
@@ -166,9 +163,11 @@ def repeats(df: DataFrame, text: str = "text", length: int = LENGTH, seed: int =
     asked = read.join(ask.hint("shuffle_hash"), ["_id", "_hash"])
     held = asked.select("_id", "_hash", F.explode(windows(F.col("_text"), F.col("spans"), length)).alias("_w"))
     held = checkpointed(held.select("_id", "_hash", "_w.*"))
-    least = held.groupBy("w1", "w2").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).where("least < most")
-    part = held.join(least, ["w1", "w2"]).where("_id > least")
-    part = part.select("_id", "_hash", F.expr("shiftleft(cast(at as bigint), 32) + at").alias("span"))
+    window = [F.col("hash"), F.expr("shiftright(rest, 32)").alias("more")]
+    least = held.groupBy(*window).agg(F.min("_id").alias("least"), F.max("_id").alias("most")).where("least < most")
+    part = held.select("_id", "_hash", *window, F.expr("rest & 4294967295").alias("at"))
+    part = part.join(least.drop("most"), ["hash", "more"]).where("_id > least")
+    part = part.select("_id", "_hash", F.expr("shiftleft(at, 32) + at").alias("span"))
     return whole.union(part).groupBy("_id", "_hash").agg(F.collect_set("span").alias("spans"))
 
 
