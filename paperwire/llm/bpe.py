@@ -10,9 +10,11 @@ gives exact appends and lets an edit re-encode no more than the pieces around it
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -20,11 +22,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperwire.llm.common import on_workers
+from paperwire.llm.common import Remembered, on_workers
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Entries of a worker's cache before it starts anew; a bound on memory, not on the input.
-CACHE = 500_000
+#: Pieces of a generation and pairs that a worker remembers; bounds on memory, not on the input.
+PIECES, PAIRS = 250_000, 300_000
+#: Texts that look for new pieces together.
+BLOCK = 100
+#: The rank of a merge that is not in the vocabulary.
+NEVER = 1 << 60
 #: A piece is settled once this many characters stand after its start (the longest contraction).
 REACH = 3
 
@@ -37,34 +43,80 @@ class Vocabulary:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = {i: token for token, i in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, np.ndarray] = {}
-        # Tokens that merging their own bytes gives back; others never stand in an encoding.
-        self.reached: dict[int, bool] = {}
+        # Finds all tokens in a piece; at each end the longest first. Bytes stand as characters 0 to 255.
+        self.finder = ahocorasick.Automaton()
+        for token, i in self.ranks.items():
+            self.finder.add_word(token.decode("latin-1"), (i, len(token) - 1))
+        self.finder.make_automaton()
+        self.pairs: dict[int, bool] = {}
+        self.pieces = Remembered(PIECES)
+        self.edges: dict[int, tuple[list, list] | None] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """The plain definition: merge the neighbours of lowest rank until none is left."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            rank, i = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
+            rank, i = min((self.ranks.get(a + b, NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank == NEVER:
                 break
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def history(self, token: int) -> tuple[list, list] | None:
+        """What stands at the left and at the right end of a token while it is merged, from byte to whole.
+
+        Each end is a list of (bytes, rank of the merge that makes it), latest first. None if merging the
+        token's bytes does not give it back; such a token never stands in an encoding.
+        """
+        if token not in self.edges:
+            data = self.tokens[token]
+            parts = [data[i : i + 1] for i in range(len(data))]
+            left, right = [(parts[0], -1)], [(parts[-1], -1)]
+            while len(parts) > 1:
+                rank, i = min((self.ranks.get(a + b, NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+                if rank == NEVER:
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                if i == 0:
+                    left.append((parts[0], rank))
+                if i == len(parts) - 1:
+                    right.append((parts[-1], rank))
+            self.edges[token] = (left, right) if len(parts) == 1 else None
+        return self.edges[token]
+
     def alone(self, token: int) -> bool:
-        if (known := self.reached.get(token)) is None:
-            known = self.reached[token] = self.merged(self.tokens[token]) == [token]
-        return known
+        return self.history(token) is not None
 
     def fits(self, left: int, right: int) -> bool:
-        if (known := self.pairs.get((left, right))) is None:
-            if len(self.pairs) >= CACHE:
+        """Whether merging keeps the cut between two tokens: no merge over it ever comes first.
+
+        The left token's right end and the right token's left end change in the order of ranks, the left one
+        first at equal ranks; a merge of the two over the cut would come before the next change.
+        """
+        key = left << 20 | right
+        if (known := self.pairs.get(key)) is None:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-            self.pairs[left, right] = known
+            known = self.pairs[key] = self._kept(left, right)
         return known
 
+    def _kept(self, left: int, right: int) -> bool:
+        if not (self.alone(left) and self.alone(right)):
+            return False
+        ends, starts, i, j = self.history(left)[1], self.history(right)[0], 0, 0
+        while True:
+            over = self.ranks.get(ends[i][0] + starts[j][0], NEVER)
+            next_left = ends[i + 1][1] if i + 1 < len(ends) else NEVER
+            next_right = starts[j + 1][1] if j + 1 < len(starts) else NEVER
+            if over < next_left and over <= next_right and over < NEVER:
+                return False
+            if next_left == next_right == NEVER:
+                return True
+            if next_left <= next_right:
+                i += 1
+            else:
+                j += 1
+
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
@@ -81,12 +133,14 @@ class Prefixes:
     def append(self, data: bytes) -> None:
         """Exact: entries that are there stay as they are."""
         words, self.data = self.words, self.data + data
-        for end in range(len(self.last) + 1, len(self.data) + 1):
-            for start in range(max(0, end - words.longest), end):
-                token = words.ranks.get(self.data[start:end])
-                if token is not None and (words.fits(self.last[start - 1], token) if start else words.alone(token)):
-                    self.last.append(token)
-                    break
+        last, pairs, fits = self.last, words.pairs, words.fits
+        done = len(last)
+        for end, (token, before) in words.finder.iter(self.data.decode("latin-1"), max(0, done - words.longest)):
+            if end == done:  # the first token to fit is the only one
+                left = last[end - before - 1] if end > before else None
+                if words.alone(token) if left is None else pairs.get(left << 20 | token) or fits(left, token):
+                    last.append(token)
+                    done += 1
 
     def cut(self, length: int) -> None:
         del self.last[length:]
@@ -168,17 +222,17 @@ def encode(text: Column, path: str = VOCABULARY, pattern: str = public_tokenizer
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         words, split = vocabulary(path), regex.compile(pattern).findall
-        known, ends, found = words.pieces, [0], []
-        for text in texts:
-            pieces = split(text.as_py() or "")
-            new = set(pieces).difference(known)
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = set(pieces)
-            for piece in new:
-                known[piece] = np.array(Prefixes(words, piece.encode()).ids(), np.int32).tobytes()
-            found.append(b"".join(map(known.__getitem__, pieces)))
-            ends.append(ends[-1] + len(found[-1]) // 4)
+        ends, found = [0], []
+
+        def make(pieces: list[str]) -> list[bytes]:
+            return [array("i", Prefixes(words, piece.encode()).ids()).tobytes() for piece in pieces]
+
+        for at in range(0, len(texts), BLOCK):
+            lists = [split(text.as_py() or "") for text in texts[at : at + BLOCK]]
+            known = words.pieces.get(lists, make)
+            for pieces in lists:
+                found.append(b"".join(map(known.__getitem__, pieces)))
+                ends.append(ends[-1] + len(found[-1]) // 4)
         values = np.frombuffer(b"".join(found), np.int32)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 

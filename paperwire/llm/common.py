@@ -121,3 +121,28 @@ def ranked(rows: DataFrame, part: str, bucket: str, order: list[Column], name: s
         starts, F.col(part).eqNullSafe(F.col("_part")) & (F.col(bucket) == F.col("_range"))
     )
     return met.withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_range", "_before", "_place")
+
+
+class Remembered:
+    """What a worker has worked out for its latest words, in two generations of bounded size.
+
+    Words that still come up move to the young generation when it is full; the rest are forgotten, and worked
+    out again if need be. A bound on memory alone: answers do not depend on it.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def get(self, lists: list[list], make) -> dict:
+        """A dictionary that has all words of the lists; ``make`` takes a list of new ones and gives their values."""
+        new = set().union(*lists).difference(self.young)
+        if new:
+            if len(self.young) >= self.limit:
+                self.old, self.young = self.young, {}
+                new = set().union(*lists)
+            kept = new & self.old.keys()
+            self.young.update((w, self.old[w]) for w in kept)
+            new = list(new - kept)
+            self.young.update(zip(new, make(new)))
+        return self.young
+

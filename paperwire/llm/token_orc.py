@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -18,12 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperwire.llm.common import bounded, checkpointed, on_workers
+from paperwire.llm.common import Remembered, bounded, checkpointed, on_workers
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END = 1
-#: Words a worker remembers before it starts anew.
-CACHE = 300_000
+#: Pieces of a generation that a worker remembers; texts that look for new ones together.
+CACHE, BLOCK = 300_000, 100
+# The tokenizer's own cut of lower-case text, in characters before U+0558, where its letters, numbers and white
+# space are these; beyond, libraries follow different versions of Unicode.
+WHITE, FRACTIONS = r"\t-\r \x85\xa0", "\u00b2\u00b3\u00b9\u00bc-\u00be"
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_{FRACTIONS}]+|[\d{FRACTIONS}]|(?:[^\w{WHITE}]|_)+"
 SCHEMA = "doc_id bigint, seq bigint, ids array<int>"
 ORC = {
     "compression": "zstd",
@@ -40,39 +46,58 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    last = np.zeros(tokenizer.get_vocab_size(), bool)
+    last[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+    return tokenizer, last, Remembered(CACHE)
+
+
+def _pieces_encoded(tokenizer, last: np.ndarray, pieces: list[str]) -> list[bytes]:
+    """Pieces in long texts, taken apart again where a token ends a piece."""
+    found = []
+    for at in range(0, len(pieces), 500):
+        some = pieces[at : at + 500]
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.flatnonzero(last[ids]) + 1
+        if len(ends) == len(some):
+            found += [x.tobytes() for x in np.split(ids, ends[:-1])]
+        else:
+            found += [array("i", e.ids).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+    return found
 
 
 def encode(text: Column, path: str = VOCABULARY, end: int = END) -> Column:
     """Ids of the whole text and the end id.
 
-    The tokenizer drops white space and no token crosses it, so words are encoded apart and remembered.
-    A text that holds one of the tokenizer's special strings, or any piece of one, goes to the library whole.
+    The tokenizer puts a text in lower case and cuts it into pieces that no token crosses, so pieces are encoded
+    apart and remembered. Where letters are not all of the first alphabets or not in composed form, words
+    between ASCII white space take the place of pieces, and a text with one of the tokenizer's special strings is
+    encoded whole.
     """
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        tokenizer, known = _tokenizer(path)
+        tokenizer, last, known = _tokenizer(path)
         special = re.compile("|".join(map(re.escape, (t.content for t in tokenizer.get_added_tokens_decoder().values()))) or r"(?!)")
-        split = re.compile(r"[^ \t\n\x0b\x0c\r]+").findall
-        ends, found = [0], []
-        for text in texts:
-            text = text.as_py() or ""
-            if special.search(text):
-                data = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, end], np.int32).tobytes()
-            else:
-                words = split(text)
-                new = set(words).difference(known)
-                if len(known) + len(new) > CACHE:
-                    known.clear()
-                    new = set(words)
-                if new:
-                    new = list(new)
-                    for word, made in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                        known[word] = np.array(made.ids, np.int32).tobytes()
-                data = b"".join(map(known.__getitem__, words)) + np.int32(end).tobytes()
-            found.append(data)
-            ends.append(ends[-1] + len(data) // 4)
+        # The capital letter that becomes two in lower case, and all that the pattern does not know.
+        other, split, composed = re.compile("[\u0130\u0558-\U0010ffff]"), re.compile(PATTERN).findall, unicodedata.is_normalized
+        words_of, ends, found, stop = re.compile(r"[^\t-\r ]+").findall, [0], [], array("i", [end]).tobytes()
+
+        def cut(text: str) -> list[str]:
+            small = text.lower() if text.isascii() else text.encode().lower().decode()  # A to Z alone
+            if text.isascii() or not other.search(text) and composed("NFC", text) and composed("NFC", small):
+                return split(small)
+            return words_of(text)
+
+        def make(pieces: list[str]) -> list[bytes]:
+            return _pieces_encoded(tokenizer, last, pieces)
+
+        for at in range(0, len(texts), BLOCK):
+            lists = [[t] if special.search(t) else cut(t) for t in (text.as_py() or "" for text in texts[at : at + BLOCK])]
+            values = known.get(lists, make)
+            for pieces in lists:
+                found.append(b"".join(map(values.__getitem__, pieces)) + stop)
+                ends.append(ends[-1] + len(found[-1]) // 4)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
     return ids(text)
