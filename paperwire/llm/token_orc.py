@@ -25,7 +25,7 @@ from paperwire.llm.common import Remembered, bounded, checkpointed, on_workers
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END = 1
 #: Pieces of a generation that a worker remembers; texts that look for new ones together.
-CACHE, BLOCK = 300_000, 100
+CACHE, BLOCK = 500_000, 500
 # The tokenizer's own cut of lower-case text, in characters before U+0558, where its letters, numbers and white
 # space are these; beyond, libraries follow different versions of Unicode.
 WHITE, FRACTIONS = r"\t-\r \x85\xa0", "\u00b2\u00b3\u00b9\u00bc-\u00be"
@@ -60,7 +60,8 @@ def _pieces_encoded(tokenizer, last: np.ndarray, pieces: list[str]) -> list[byte
         ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
         ends = np.flatnonzero(last[ids]) + 1
         if len(ends) == len(some):
-            found += [x.tobytes() for x in np.split(ids, ends[:-1])]
+            data, ends = ids.tobytes(), (ends * 4).tolist()
+            found += [data[a:b] for a, b in zip([0, *ends], ends)]
         else:
             found += [array("i", e.ids).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
     return found
