@@ -209,17 +209,19 @@ def predict(df: DataFrame, languages: list[str], model, text: str = "text", path
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def scored(texts: pa.Array) -> pa.Array:
         known, rows = _remembered(name)
-        wanted = [(t.as_py() or b"").split() for t in texts]
         best, score, at = [], [], 0
-        while at < len(wanted):
-            new, first = set(), at  # as many texts as bring a bounded number of new words
-            while at < len(wanted) and (at == first or len(new) < CACHE // 4):
-                new.update(w for w in wanted[at] if w not in known)
+        while at < len(texts):
+            new, wanted, held_words = set(), [], 0  # as many texts as bring a bounded number of words
+            while at < len(texts) and (not wanted or (len(new) < CACHE // 4 and held_words < CACHE)):
+                words = (texts[at].as_py() or b"").split()
+                new.update(w for w in words if w not in known)
+                wanted.append(words)
+                held_words += len(words)
                 at += 1
             if len(known) + len(new) > CACHE:
                 known.clear()
                 rows.clear()
-                new = {w for words in wanted[first:at] for w in words}
+                new = {w for words in wanted for w in words}
             if new:
                 new = list(new)
                 start = len(known)
@@ -227,7 +229,7 @@ def predict(df: DataFrame, languages: list[str], model, text: str = "text", path
                 rows.append(log_probabilities(new, held.value, path))
             table = np.concatenate(rows) if rows else np.zeros((0, len(languages)))
             rows[:] = [table] if len(table) else []
-            for words in wanted[first:at]:
+            for words in wanted:
                 sums = table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0)
                 best.append(int(sums.argmax()))
                 score.append(float(1 / np.exp(sums - sums.max()).sum()))
