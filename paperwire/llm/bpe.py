@@ -225,25 +225,48 @@ def _common(a: bytes, b: bytes) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
+def _ids(texts: pa.Array, path: str, pattern: str) -> pa.Array:
+    """Token ids of each text, through the pieces a worker remembers."""
+    words, split = vocabulary(path), regex.compile(pattern).findall
+    ends, found = [0], []
+
+    def make(pieces: list[str]) -> list[bytes]:
+        return [array("i", Prefixes(words, piece.encode()).ids()).tobytes() for piece in pieces]
+
+    for at in range(0, len(texts), BLOCK):
+        lists = [split(text.as_py() or "") for text in texts[at : at + BLOCK]]
+        known = words.pieces.get(lists, make)
+        for pieces in lists:
+            found.append(b"".join(map(known.__getitem__, pieces)))
+            ends.append(ends[-1] + len(found[-1]) // 4)
+    values = np.frombuffer(b"".join(found), np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+
+
+def _data(lists: pa.Array, path: str) -> pa.Array:
+    """The bytes that each list of ids stands for."""
+    if not len(lists):
+        return pa.array([], pa.binary())
+    lists = pa.concat_arrays([lists])  # offsets from the first list on
+    start, ends = lists.offsets[0].as_py(), lists.offsets.to_numpy()
+    # Taking the tokens one after another lays their bytes side by side; only the offsets differ.
+    taken = _token_table(path).take(lists.values[start : int(ends[-1])])
+    places = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) if len(taken) else np.zeros(1, np.int64)
+    offsets = pa.array(places[ends - start].astype(np.int32)).buffers()[1]
+    valid = pa.array(lists.is_valid().to_pylist(), pa.bool_()).buffers()[1]
+    return pa.Array.from_buffers(pa.binary(), len(lists), [valid, offsets, taken.buffers()[2]])
+
+
 def encode(text: Column, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> Column:
-    """Token ids of the whole text as ``array<int>``; a NULL or empty text has none."""
+    """Token ids of the whole text as ``array<int>``; a NULL or empty text has none.
+
+    Spark merges this into a Python function applied to it, and encodes anew for each use; ``round_trip`` gives
+    the ids and their bytes in one pass.
+    """
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        words, split = vocabulary(path), regex.compile(pattern).findall
-        ends, found = [0], []
-
-        def make(pieces: list[str]) -> list[bytes]:
-            return [array("i", Prefixes(words, piece.encode()).ids()).tobytes() for piece in pieces]
-
-        for at in range(0, len(texts), BLOCK):
-            lists = [split(text.as_py() or "") for text in texts[at : at + BLOCK]]
-            known = words.pieces.get(lists, make)
-            for pieces in lists:
-                found.append(b"".join(map(known.__getitem__, pieces)))
-                ends.append(ends[-1] + len(found[-1]) // 4)
-        values = np.frombuffer(b"".join(found), np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+        return _ids(texts, path, pattern)
 
     return ids(text)
 
@@ -253,25 +276,31 @@ def decode(ids: Column, path: str = VOCABULARY) -> Column:
 
     @F.arrow_udf("binary")
     def data(lists: pa.Array) -> pa.Array:
-        if not len(lists):
-            return pa.array([], pa.binary())
-        lists = pa.concat_arrays([lists])  # offsets from the first list on
-        start, ends = lists.offsets[0].as_py(), lists.offsets.to_numpy()
-        # Taking the tokens one after another lays their bytes side by side; only the offsets differ.
-        taken = _token_table(path).take(lists.values[start : int(ends[-1])])
-        places = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) if len(taken) else np.zeros(1, np.int64)
-        offsets = pa.array(places[ends - start].astype(np.int32)).buffers()[1]
-        valid = pa.array(lists.is_valid().to_pylist(), pa.bool_()).buffers()[1]
-        return pa.Array.from_buffers(pa.binary(), len(lists), [valid, offsets, taken.buffers()[2]])
+        return _data(lists, path)
 
     return data(ids)
 
 
-def with_tokens(df: DataFrame, text: str = "text", ids: str = "ids", path: str = VOCABULARY) -> DataFrame:
-    """``df`` with the token ids of a text column.
+def round_trip(text: Column, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> Column:
+    """Struct of ``ids`` and ``decoded``: what ``encode`` gives for the text and ``decode`` for those ids."""
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        ids = _ids(texts, path, pattern)
+        return pa.StructArray.from_arrays([ids, _data(ids, path)], ["ids", "decoded"])
+
+    return both(text)
+
+
+def with_tokens(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str | None = None, path: str = VOCABULARY) -> DataFrame:
+    """``df`` with the token ids of a text column and, if ``decoded`` names a column, the bytes they decode to.
 
-    NULL and empty texts get an empty array; a column of the name ``ids`` is replaced; repeated
+    NULL and empty texts get an empty array and no bytes; columns of these names are replaced; repeated
     rows are each encoded; an empty table stays empty.
     """
     on_workers(df.sparkSession)
-    return df.withColumn(ids, encode(F.col(text), path))
+    if decoded is None:
+        return df.withColumn(ids, encode(F.col(text), path))
+    made = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), round_trip(F.col(text), path).alias("made"))
+    kept = [F.col(f"row.`{c}`") for c in df.columns if c not in (ids, decoded)]
+    return made.select(*kept, F.col("made.ids").alias(ids), F.col("made.decoded").alias(decoded))

@@ -22,8 +22,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the bytes that decoding gives back, as digests."""
-    rows = bpe.with_tokens(documents(spark, sf_dir).select("doc_id", "text"))
-    rows = rows.select("doc_id", "ids", bpe.decode(F.col("ids")).alias("decoded"))
+    rows = bpe.with_tokens(documents(spark, sf_dir).select("doc_id", "text"), decoded="decoded")
     digits = F.array_join(F.col("ids").cast("array<string>"), " ")
     return rows.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
