@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperwire.llm.common import Remembered, on_workers
+from paperwire.llm.common import Remembered, forget_at_new_stage, on_workers
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Pieces of a generation and pairs that a worker remembers; bounds on memory, not on the input.
@@ -228,6 +228,7 @@ def _common(a: bytes, b: bytes) -> int:
 def _ids(texts: pa.Array, path: str, pattern: str) -> pa.Array:
     """Token ids of each text, through the pieces a worker remembers."""
     words, split = vocabulary(path), regex.compile(pattern).findall
+    forget_at_new_stage(words.pieces.clear)
     ends, found = [0], []
 
     def make(pieces: list[str]) -> list[bytes]:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
+from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -123,6 +127,30 @@ def ranked(rows: DataFrame, part: str, bucket: str, order: list[Column], name: s
     return met.withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_range", "_before", "_place")
 
 
+_forgetters: list[Callable[[], None]] = []
+_stage: int | None = None
+
+
+def forget_at_new_stage(forget: Callable[[], None] | None = None) -> None:
+    """Called by a task's Python function: gives back what the worker remembers from an earlier stage.
+
+    Spark uses workers again, also for other operators; ``forget`` is what to call when the next stage begins.
+    Answers do not depend on it.
+    """
+    global _stage
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if stage != _stage:
+        _stage = stage
+        for f in _forgetters:
+            f()
+        _forgetters.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    if forget is not None and forget not in _forgetters:
+        _forgetters.append(forget)
+
+
 class Remembered:
     """What a worker has worked out for its latest words, in two generations of bounded size.
 
@@ -133,6 +161,9 @@ class Remembered:
     def __init__(self, limit: int):
         self.limit, self.young, self.old = limit, {}, {}
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
     def get(self, lists: list[list], make) -> dict:
         """A dictionary that has all words of the lists; ``make`` takes a list of new ones and gives their values."""
         new = set().union(*lists).difference(self.young)

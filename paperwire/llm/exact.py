@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperwire.llm.common import checkpointed, drop_rows, identified, join_groups, on_workers, semi_filter
+from paperwire.llm.common import checkpointed, drop_rows, forget_at_new_stage, identified, join_groups, on_workers, semi_filter
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Least, mean and most bytes of a chunk.
@@ -79,6 +79,7 @@ def recipe(text: Column, bits: int = 64) -> Column:
 
     @F.arrow_udf("struct<sha256: string, hashes: array<bigint>>")
     def made(texts: pa.Array) -> pa.Array:
+        forget_at_new_stage()
         digests, lists = [], []
         for text in texts:
             data = _stripped(text.as_py())
@@ -94,6 +95,7 @@ def chunks(text: Column, bits: int = 64) -> Column:
 
     @F.arrow_udf("array<struct<hash: bigint, content: binary>>")
     def made(texts: pa.Array) -> pa.Array:
+        forget_at_new_stage()
         hashes, contents, ends = [], [], [0]
         for text in texts:
             h, c = _chunks(_stripped(text.as_py()), bits)

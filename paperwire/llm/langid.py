@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperwire.llm.common import checkpointed, on_workers
+from paperwire.llm.common import checkpointed, forget_at_new_stage, on_workers
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: The bound on the sample: rows of each language to learn from, about.
@@ -208,6 +208,7 @@ def predict(df: DataFrame, languages: list[str], model, text: str = "text", path
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def scored(texts: pa.Array) -> pa.Array:
+        forget_at_new_stage(_remembered.cache_clear)
         known, rows = _remembered(name)
         best, score, at = [], [], 0
         while at < len(texts):

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperwire.llm.common import checkpointed, join_groups, on_workers
+from paperwire.llm.common import checkpointed, forget_at_new_stage, join_groups, on_workers
 from paperwire.llm.components import components
 
 SHINGLE, RADIUS, HASH_SEED = 3, 3, 42
@@ -47,6 +47,7 @@ def fingerprint(text: Column, words: int = SHINGLE) -> Column:
 
     @F.arrow_udf("bigint")
     def found(texts: pa.Array) -> pa.Array:
+        forget_at_new_stage()
         values = np.array([fingerprint_of(t.as_py() or b"", words) for t in texts], np.uint64)
         return pa.array(values.view(np.int64))
 

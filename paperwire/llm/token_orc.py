@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperwire.llm.common import Remembered, bounded, checkpointed, on_workers
+from paperwire.llm.common import Remembered, bounded, checkpointed, forget_at_new_stage, on_workers
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END = 1
@@ -79,6 +79,7 @@ def encode(text: Column, path: str = VOCABULARY, end: int = END) -> Column:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         tokenizer, last, known = _tokenizer(path)
+        forget_at_new_stage(known.clear)
         special = re.compile("|".join(map(re.escape, (t.content for t in tokenizer.get_added_tokens_decoder().values()))) or r"(?!)")
         # The capital letter that becomes two in lower case, and all that the pattern does not know.
         other, split, composed = re.compile("[\u0130\u0558-\U0010ffff]"), re.compile(PATTERN).findall, unicodedata.is_normalized

@@ -395,3 +395,21 @@ def test_join_groups_keeps_hot_and_cold(spark):
     groups = left.groupBy("k").agg(F.count("*").alias("n"))
     found = join_groups(left, groups, "k", "n")
     assert found.count() == 5000 and found.where("k = 0 and n = 3000").count() == 3000
+
+
+def test_workers_forget_at_a_new_stage(monkeypatch):
+    from paperwire.llm import common
+
+    class Context:
+        def __init__(self, stage):
+            self.stageId = lambda: stage
+
+    known = common.Remembered(10)
+    for stage, left in ((1, {}), (1, {"a": 1}), (2, {})):
+        monkeypatch.setattr(common.TaskContext, "get", lambda stage=stage: Context(stage))
+        common.forget_at_new_stage(known.clear)
+        assert known.young == left
+        assert known.get([["a"]], lambda words: [1 for _ in words]) == {"a": 1}
+    monkeypatch.setattr(common.TaskContext, "get", lambda: Context(3))
+    common.forget_at_new_stage()
+    assert not known.young
