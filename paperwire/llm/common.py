@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
+from collections import ChainMap
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -18,12 +20,20 @@ from paperwire.session import shared_folder, write_once
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most rows of a table that is broadcast. Every such table is counted first.
 BROADCAST_ROWS = 200_000
+#: Most bytes of a batch of rows handed to a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
 #: A key is hot if it holds more than 1/HOT_SHARE of the rows, so fewer than HOT_SHARE are.
 HOT_SHARE = 2000
 
 
 def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package, also where it is not installed."""
+    """Let Python workers import this package, also where it is not installed, and bound the bytes of their batches.
+
+    Both are settings of the session: its ``PYTHONPATH`` for workers, and a lower bound on Arrow batches if it has none.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
@@ -51,8 +61,16 @@ def semi_filter(df: DataFrame, keys: DataFrame, on: list[str], limit: int = BROA
     return df.join(F.broadcast(keys), on, "left_semi")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many underscores as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def identified(df: DataFrame, name: str = "__row") -> DataFrame:
-    """Add the place of each row in its Parquet file, the same at every reading.
+    """Add the place of each row in its Parquet file, the same at every reading; ``name`` must be free.
 
     What does not come straight from Parquet files is first written to the shared folder.
     """
@@ -69,14 +87,15 @@ def identified(df: DataFrame, name: str = "__row") -> DataFrame:
 
 
 def drop_rows(df: DataFrame, places: DataFrame, name: str = "__row") -> DataFrame:
-    """Rows of an ``identified`` table that are not among ``places``.
+    """Rows of an ``identified`` table that are not among ``places``, without that column.
 
     The list is broadcast up to its checked bound; beyond it both sides are shuffled by place,
     which has no repeats.
     """
-    listed = places.select(F.col(f"{name}.file").alias("__file"), F.col(f"{name}.i").alias("__i"))
+    file, i = free_name(df, "__file"), free_name(df, "__i")
+    listed = places.select(F.col(f"{name}.file").alias(file), F.col(f"{name}.i").alias(i))
     gone = bounded(checkpointed(listed))
-    return df.join(gone, (F.col(f"{name}.file") == F.col("__file")) & (F.col(f"{name}.i") == F.col("__i")), "left_anti").drop(name)
+    return df.join(gone, (F.col(f"{name}.file") == F.col(file)) & (F.col(f"{name}.i") == F.col(i)), "left_anti").drop(name)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
@@ -145,35 +164,61 @@ def forget_at_new_stage(forget: Callable[[], None] | None = None) -> None:
         for f in _forgetters:
             f()
         _forgetters.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
     if forget is not None and forget not in _forgetters:
         _forgetters.append(forget)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, also what the C library keeps for later."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 class Remembered:
     """What a worker has worked out for its latest words, in two generations of bounded size.
 
     Words that still come up move to the young generation when it is full; the rest are forgotten, and worked
-    out again if need be. A bound on memory alone: answers do not depend on it.
+    out again if need be. A generation holds about ``limit`` bytes: keys, values (as bytes) and what Python
+    adds to each. Words longer than ``longest`` characters are worked out each time. A bound on memory
+    alone: answers do not depend on it.
     """
 
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
+    #: Bytes of an entry beside its characters: two objects and a place in a dictionary.
+    ENTRY = 240
+
+    def __init__(self, limit: int, longest: int = 1024):
+        self.limit, self.longest = limit, longest
+        self.clear()
 
     def clear(self) -> None:
-        self.young, self.old = {}, {}
+        self.young: dict = {}
+        self.old: dict = {}
+        self.held = 0
 
-    def get(self, lists: list[list], make) -> dict:
-        """A dictionary that has all words of the lists; ``make`` takes a list of new ones and gives their values."""
-        new = set().union(*lists).difference(self.young)
-        if new:
-            if len(self.young) >= self.limit:
-                self.old, self.young = self.young, {}
-                new = set().union(*lists)
-            kept = new & self.old.keys()
-            self.young.update((w, self.old[w]) for w in kept)
-            new = list(new - kept)
-            self.young.update(zip(new, make(new)))
-        return self.young
+    def _keep(self, found) -> None:
+        for word, value in found:
+            self.young[word] = value
+            self.held += self.ENTRY + len(word) + len(value)
 
+    def get(self, lists: list, make) -> dict:
+        """A dictionary that has all words of the lists; ``make`` takes a list of new ones and gives their values."""
+        wanted = set().union(*lists)
+        new = wanted.difference(self.young)
+        if not new:
+            return self.young
+        if self.held >= self.limit:
+            self.old, self.young, self.held = self.young, {}, 0
+            new = wanted
+        known = new & self.old.keys()
+        self._keep([(w, self.old[w]) for w in known])
+        long = [w for w in new - known if len(w) > self.longest]
+        short = [w for w in new - known if len(w) <= self.longest]
+        self._keep(zip(short, make(short)) if short else ())
+        if not long:
+            return self.young
+        return ChainMap(dict(zip(long, make(long))), self.young)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperwire.llm import bpe, exact, langid, licenses, mixing, sharding, simhash, substring, token_orc, vptree
+from paperwire.llm import alignment, bpe, exact, langid, licenses, mixing, sharding, simhash, spelling, substring, token_orc, toxicity, vptree
 from paperwire.llm.common import identified
 from paperwire.session import fresh_path
 
@@ -81,9 +81,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(rows, languages, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_mixing, op3_sharding, op4_simhash, op5_exact, op6_substring, op7_vptree, op8_token_orc, op9_licenses, op10_language,
+        op11_toxicity, op12_spelling, op13_alignment,
     )
 }
