@@ -24,12 +24,15 @@ from paperwire.llm.common import Remembered, bounded, checkpointed, forget_at_ne
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END = 1
-#: Pieces of a generation that a worker remembers; texts that look for new ones together.
-CACHE, BLOCK = 500_000, 500
+#: Bytes of a generation of pieces that a worker remembers; texts that look for new ones together.
+CACHE, BLOCK = 110 << 20, 500
 # The tokenizer's own cut of lower-case text, in characters before U+0558, where its letters, numbers and white
 # space are these; beyond, libraries follow different versions of Unicode.
 WHITE, FRACTIONS = r"\t-\r \x85\xa0", "\u00b2\u00b3\u00b9\u00bc-\u00be"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_{FRACTIONS}]+|[\d{FRACTIONS}]|(?:[^\w{WHITE}]|_)+"
+ONE = re.compile(PATTERN)
+# The capital letter that becomes two in lower case, and all that the pattern does not know.
+OTHER = re.compile("[\u0130\u0558-\U0010ffff]")
 SCHEMA = "doc_id bigint, seq bigint, ids array<int>"
 ORC = {
     "compression": "zstd",
@@ -52,19 +55,30 @@ def _tokenizer(path: str):
     return tokenizer, last, Remembered(CACHE)
 
 
+def _special(tokenizer) -> re.Pattern:
+    """Finds the tokenizer's special strings."""
+    return re.compile("|".join(map(re.escape, (t.content for t in tokenizer.get_added_tokens_decoder().values()))) or r"(?!)")
+
+
+def _alone(piece: str, special: re.Pattern) -> bool:
+    """Whether the tokenizer's own cut leaves the piece whole, so that it has exactly one end."""
+    return bool(ONE.fullmatch(piece)) and not OTHER.search(piece) and unicodedata.is_normalized("NFC", piece) and not special.search(piece)
+
+
 def _pieces_encoded(tokenizer, last: np.ndarray, pieces: list[str]) -> list[bytes]:
-    """Pieces in long texts, taken apart again where a token ends a piece."""
-    found = []
-    for at in range(0, len(pieces), 500):
-        some = pieces[at : at + 500]
+    """Ids of each piece. Those that the tokenizer leaves whole are joined to long texts, and taken apart at their ends."""
+    special, found = _special(tokenizer), {}
+    joined = [p for p in pieces if _alone(p, special)]
+    for at in range(0, len(joined), 500):
+        some = joined[at : at + 500]
         ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
         ends = np.flatnonzero(last[ids]) + 1
         if len(ends) == len(some):
             data, ends = ids.tobytes(), (ends * 4).tolist()
-            found += [data[a:b] for a, b in zip([0, *ends], ends)]
-        else:
-            found += [array("i", e.ids).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-    return found
+            found.update((p, data[a:b]) for p, a, b in zip(some, [0, *ends], ends))
+    rest = [p for p in pieces if p not in found]
+    found.update((p, array("i", e.ids).tobytes()) for p, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
+    return [found[p] for p in pieces]
 
 
 def encode(text: Column, path: str = VOCABULARY, end: int = END) -> Column:
@@ -78,16 +92,14 @@ def encode(text: Column, path: str = VOCABULARY, end: int = END) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
+        forget_at_new_stage(_tokenizer.cache_clear)
         tokenizer, last, known = _tokenizer(path)
-        forget_at_new_stage(known.clear)
-        special = re.compile("|".join(map(re.escape, (t.content for t in tokenizer.get_added_tokens_decoder().values()))) or r"(?!)")
-        # The capital letter that becomes two in lower case, and all that the pattern does not know.
-        other, split, composed = re.compile("[\u0130\u0558-\U0010ffff]"), re.compile(PATTERN).findall, unicodedata.is_normalized
+        special, split, composed = _special(tokenizer), ONE.findall, unicodedata.is_normalized
         words_of, ends, found, stop = re.compile(r"[^\t-\r ]+").findall, [0], [], array("i", [end]).tobytes()
 
         def cut(text: str) -> list[str]:
             small = text.lower() if text.isascii() else text.encode().lower().decode()  # A to Z alone
-            if text.isascii() or not other.search(text) and composed("NFC", text) and composed("NFC", small):
+            if text.isascii() or not OTHER.search(text) and composed("NFC", text) and composed("NFC", small):
                 return split(small)
             return words_of(text)
 
@@ -135,6 +147,7 @@ def checksum(ids: Column) -> Column:
 
     @F.arrow_udf("bigint")
     def crc(lists: pa.Array) -> pa.Array:
+        forget_at_new_stage()
         offsets, values = lists.offsets.to_pylist(), lists.values.to_numpy().astype("<u4")
         return pa.array([zlib.crc32(values[a:b].data) for a, b in zip(offsets, offsets[1:])], pa.int64())
 
