@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperwire.llm.common import checkpointed, forget_at_new_stage, on_workers
+from paperwire.llm.common import checkpointed, forget_at_new_stage, free_name, identified, on_workers
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: The bound on the sample: rows of each language to learn from, about.
 SAMPLE = 3000
-#: Rounds of learning, pseudo-count of a piece, longest word learned from (bytes); words a worker remembers.
-ROUNDS, SMOOTH, LONGEST, CACHE = 3, 0.05, 60, 300_000
+#: Rounds of learning, pseudo-count of a piece; bytes of the parts that longer words are learned in.
+ROUNDS, SMOOTH, LONGEST = 3, 0.05, 120
+#: Words a worker remembers, and their bytes; numbers of the tables worked on at once.
+CACHE, CACHE_BYTES, CELLS = 150_000, 24 << 20, 1_000_000
 UNDETERMINED = "und"
 START = "▁".encode()
 STEP = np.uint64(0x100000001B3)
@@ -84,7 +86,7 @@ def _by_length(words: list[bytes]):
     lengths = np.array([len(w) for w in words])
     for length in np.unique(lengths):
         places = np.flatnonzero(lengths == length)
-        step = max(1, 4_000_000 // int(length * min(length, 64)))  # bounds the edges held at once
+        step = max(1, CELLS // int(length * min(length, 64)))  # bounds the edges held at once
         for at in range(0, len(places), step):
             some = places[at : at + step]
             yield some, np.frombuffer(b"".join(words[i] for i in some), np.uint8).reshape(len(some), -1)
@@ -115,10 +117,24 @@ def log_probabilities(words: list[bytes], model: np.ndarray, path: str = VOCABUL
     return out
 
 
+def parts(word: bytes, most: int = LONGEST) -> list[bytes]:
+    """The word with its start mark, a long one in parts of ``most`` bytes or somewhat less, none inside a character."""
+    word, at, found = START + word, 0, []
+    while len(word) - at > most:
+        end = at + most
+        while end > at + 1 and word[end] & 0xC0 == 0x80:
+            end -= 1
+        found.append(word[at:end])
+        at = end
+    return [*found, word[at:]]
+
+
 def expected_counts(words: list[bytes], counts: np.ndarray, model: np.ndarray, path: str = VOCABULARY) -> np.ndarray:
     """Expected uses of each piece over all segmentations of the words, by one language's probabilities."""
     vocabulary, used = pieces(path), np.zeros(len(model))
-    for places, data in _by_length([START + w for w in words]):
+    cut = [parts(w) for w in words]
+    counts = np.repeat(counts, list(map(len, cut)))
+    for places, data in _by_length([p for some in cut for p in some]):
         edges, width = vocabulary.edges(data), data.shape[1]
         ahead = np.zeros((width + 1, len(places)))
         back = np.zeros((width + 1, len(places)))
@@ -147,20 +163,23 @@ def has_letter(text: Column) -> Column:
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, rounds: int = ROUNDS, path: str = VOCABULARY):
     """``(languages, model)`` learned from rows with a language and a letter in the text.
 
-    Of each language about ``sample`` rows, chosen by a hash of the text, are used, all their words up to
-    ``LONGEST`` bytes; fewer rows are all used. The model has as many numbers as pieces times languages, whatever the
+    Of each language about ``sample`` rows, chosen by a hash of the row's id and place in its file, are used with
+    all their words; fewer rows are all used. The model has as many numbers as pieces times languages, whatever the
     input, and is held by the driver. No labelled rows: no languages.
     """
     on_workers(df.sparkSession)
-    rows = df.where(F.col(lang).isNotNull() & has_letter(F.col(text))).select(F.col(lang).alias("lang"), F.lower(text).alias("text"))
+    place = free_name(df, "__row")
+    rows = identified(df, place).where(F.col(lang).isNotNull() & has_letter(F.col(text)))
+    own = [F.col(c) for c in ("doc_id",) if c in df.columns]
+    rows = rows.select(F.col(lang).alias("lang"), F.lower(text).alias("text"), F.xxhash64(F.lit("sample"), *own, F.col(f"{place}.i")).alias("hash"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return [], None
     share = F.create_map(*[F.lit(x) for pair in ((k, min(1.0, sample / n)) for k, n in sizes.items()) for x in pair])
-    part = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    part = F.pmod("hash", F.lit(1 << 20)) / F.lit(float(1 << 20))
     words = rows.where(part < F.element_at(share, F.col("lang"))).select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word"))
-    words = words.where((F.col("word") != "") & (F.octet_length("word") <= LONGEST)).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = words.where(F.col("word") != "").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     words = checkpointed(words)
     size = pieces(path).size
     model = np.full((size + 1, len(languages)), 1.0 / size)
@@ -170,6 +189,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAM
         held = df.sparkSession.sparkContext.broadcast(model)
 
         def expect(batches, held=held):
+            forget_at_new_stage(pieces.cache_clear)
             for batch in batches:
                 names, found = np.array(batch.column(0).to_pylist(), object), []
                 words = [w.encode() for w in batch.column(1).to_pylist()]
@@ -209,6 +229,7 @@ def predict(df: DataFrame, languages: list[str], model, text: str = "text", path
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def scored(texts: pa.Array) -> pa.Array:
         forget_at_new_stage(_remembered.cache_clear)
+        forget_at_new_stage(pieces.cache_clear)
         known, rows = _remembered(name)
         best, score, at = [], [], 0
         while at < len(texts):
@@ -219,7 +240,7 @@ def predict(df: DataFrame, languages: list[str], model, text: str = "text", path
                 wanted.append(words)
                 held_words += len(words)
                 at += 1
-            if len(known) + len(new) > CACHE:
+            if len(known) + len(new) > CACHE or sum(map(len, known)) > CACHE_BYTES:
                 known.clear()
                 rows.clear()
                 new = {w for words in wanted for w in words}
