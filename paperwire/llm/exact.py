@@ -1,10 +1,10 @@
 """Exact duplicates by content-defined chunk recipes.
 
 A text without white space is cut where a rolling hash of its last bytes says so; its recipe is
-the ordered list of its chunks' identifiers. An identifier is a hash that has been verified: where
-texts share a recipe of hashes, the contents of its chunks are compared, each distinct content moving
-once per task, and contents that share a hash get different numbers. Texts are equal if their lists
-are. Long texts are never moved, and chunks only where their recipe occurs twice.
+the ordered list of its chunks' identifiers. An identifier is a 64-bit hash that has been verified: the distinct
+chunks of all texts are held against one another by 128 bits of SHA-256, and contents that share a hash get
+different numbers. Texts are equal if their lists are. A text is read once and neither it nor its chunks
+move, whatever the number of copies.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperwire.llm.common import checkpointed, drop_rows, forget_at_new_stage, identified, join_groups, on_workers, semi_filter
+from paperwire.llm.common import checkpointed, drop_rows, forget_at_new_stage, free_name, identified, join_groups, on_workers
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Least, mean and most bytes of a chunk.
@@ -26,8 +26,8 @@ LEAST, MEAN, MOST = 1024, 4096, 16384
 WINDOW = 32
 #: The hash of a byte, spread over 64 bits by the generator's own rule.
 GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, 256, np.uint64)
-#: Distinct recipes whose copies can be found by broadcast; 8 bytes each.
-KEYS = 500_000
+#: Bytes of SHA-256 that verify a chunk's hash.
+CHECK = 16
 
 
 def cuts(data: bytes, least: int = LEAST, mean: int = MEAN, most: int = MOST) -> list[int]:
@@ -75,59 +75,39 @@ def _stripped(text: bytes | None) -> bytes:
 
 
 def recipe(text: Column, bits: int = 64) -> Column:
-    """Struct of ``sha256`` of the text without white space and ``hashes`` of its chunks in order."""
+    """Struct of ``sha256`` of the text without white space, and ``hashes`` and ``checks`` of its chunks in order."""
 
-    @F.arrow_udf("struct<sha256: string, hashes: array<bigint>>")
+    @F.arrow_udf("struct<sha256: string, hashes: array<bigint>, checks: array<binary>>")
     def made(texts: pa.Array) -> pa.Array:
         forget_at_new_stage()
-        digests, lists = [], []
+        digests, hashes, checks, ends = [], [], [], [0]
         for text in texts:
             data = _stripped(text.as_py())
             digests.append(hashlib.sha256(data).hexdigest())
-            lists.append(_chunks(data, bits)[0])
-        return pa.StructArray.from_arrays([pa.array(digests, pa.string()), pa.array(lists, pa.list_(pa.int64()))], ["sha256", "hashes"])
-
-    return made(text.cast("binary"))
-
-
-def chunks(text: Column, bits: int = 64) -> Column:
-    """Hash and content of each chunk, in order."""
-
-    @F.arrow_udf("array<struct<hash: bigint, content: binary>>")
-    def made(texts: pa.Array) -> pa.Array:
-        forget_at_new_stage()
-        hashes, contents, ends = [], [], [0]
-        for text in texts:
-            h, c = _chunks(_stripped(text.as_py()), bits)
-            hashes += h
-            contents += c
+            found, parts = _chunks(data, bits)
+            hashes += found
+            checks += [hashlib.sha256(p).digest()[:CHECK] for p in parts]
             ends.append(len(hashes))
-        parts = pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(contents, pa.binary())], ["hash", "content"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)
+        ends = pa.array(ends, pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(v, t)) for v, t in ((hashes, pa.int64()), (checks, pa.binary()))]
+        return pa.StructArray.from_arrays([pa.array(digests, pa.string()), *lists], ["sha256", "hashes", "checks"])
 
     return made(text.cast("binary"))
 
 
-def _numbered(df: DataFrame, text: str, rows: DataFrame, bits: int) -> DataFrame:
-    """Rows with ``numbers``: NULL, or where a hash stands for several contents, their numbers.
-
-    The contents of chunks are compared wherever a recipe of hashes occurs twice.
-    """
-    twice = rows.groupBy("_list").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_list")
-    twice = checkpointed(twice)
-    read = df.select(F.col(text).alias("_text"))
-    held = read.select("_text", F.xxhash64(recipe(F.col("_text"), bits)["hashes"]).alias("_list"))
-    parts = semi_filter(held, twice, ["_list"], KEYS).select(F.explode(chunks(F.col("_text"), bits)).alias("_c")).select("_c.*")
-    shared = checkpointed(parts.distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("hash"))
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with ``numbers``: NULL, or where a hash stands for several contents, the numbers of all of the row's chunks."""
+    parts = rows.select(F.explode(F.arrays_zip("hashes", "checks")).alias("_c")).select("_c.hashes", "_c.checks").distinct()
+    shared = parts.groupBy("hashes").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("hashes").alias("hash"))
+    shared = checkpointed(shared)
     if shared.isEmpty():
         return rows.withColumn("numbers", F.lit(None).cast("array<bigint>"))
-    # Contents that share a hash are told apart: each is numbered, and rows that hold one are looked at again.
-    contents = parts.distinct().join(shared, "hash", "left_semi")
-    order = Window.partitionBy("hash").orderBy("content")
-    place = contents.withColumn("number", F.row_number().over(order))
-    occurs = read.select(recipe(F.col("_text"), bits).alias("_r"), chunks(F.col("_text"), bits).alias("_c"))
-    occurs = occurs.select(F.col("_r.sha256").alias("_sha"), F.posexplode("_c").alias("at", "_c")).select("_sha", "at", "_c.*").distinct()
-    met = occurs.join(place, ["hash", "content"]).groupBy("_sha").agg(F.array_sort(F.collect_list(F.struct("at", "number"))).alias("_all"))
+    order = Window.partitionBy("hashes").orderBy("checks")
+    place = parts.join(shared, F.col("hashes") == F.col("hash"), "left_semi").withColumn("number", F.row_number().over(order).cast("bigint"))
+    place = place.select(F.col("hashes").alias("hash"), F.col("checks").alias("check"), "number")
+    occurs = rows.select("sha256", F.posexplode(F.arrays_zip("hashes", "checks")).alias("at", "_c"))
+    occurs = occurs.select(F.col("sha256").alias("_sha"), "at", F.col("_c.hashes").alias("hash"), F.col("_c.checks").alias("check")).distinct()
+    met = occurs.join(place, ["hash", "check"]).groupBy("_sha").agg(F.array_sort(F.collect_list(F.struct("at", "number"))).alias("_all"))
     met = met.select("_sha", F.transform("_all", lambda x: x["number"]).alias("numbers"))
     return checkpointed(rows.join(met, rows["sha256"] == met["_sha"], "left").drop("_sha"))
 
@@ -138,13 +118,12 @@ def exact_duplicates(df: DataFrame, text: str = "text", bits: int = 64, row: str
     ``df`` is an ``identified`` table. Texts are equal if they are so without ASCII white space; NULL is
     the empty text, and all empty texts are one group. The row with the most code points stays, then
     the smallest id (NULL ids last), then the first in its file, so that of repeated rows one is
-    kept. Very long texts are chunked in blocks. Other columns are not read.
+    kept. Very long texts are chunked in blocks. Other columns are not read; an empty table stays empty.
     """
     on_workers(df.sparkSession)
     chars = F.coalesce(F.length(text), F.lit(0)).cast("long")
     rows = df.select("doc_id", F.col(row), chars.alias("chars"), recipe(F.col(text), bits).alias("_r"))
-    rows = rows.select("doc_id", row, "chars", "_r.*").withColumn("_list", F.xxhash64("hashes"))
-    rows = _numbered(df, text, checkpointed(rows), bits)
+    rows = _numbered(checkpointed(rows.select("doc_id", row, "chars", "_r.*")))
     lists = F.struct("hashes", F.coalesce("numbers", F.array().cast("array<bigint>")).alias("numbers"))
     rows = rows.withColumn("_lists", lists)
     best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col(row).alias("row")))
@@ -157,6 +136,7 @@ def exact_duplicates(df: DataFrame, text: str = "text", bits: int = 64, row: str
 
 def drop_exact_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with one row of each group of equal texts, columns unchanged."""
-    rows = identified(df)
-    gone = exact_duplicates(rows, text).where(~F.col("kept"))
-    return drop_rows(rows, gone)
+    place = free_name(df, "__row")
+    rows = identified(df, place)
+    gone = exact_duplicates(rows, text, row=place).where(~F.col("kept"))
+    return drop_rows(rows, gone, place)
