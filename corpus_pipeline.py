@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperwire.llm import bpe, exact, langid, mixing, simhash
-from paperwire.llm.common import drop_rows, identified
+from paperwire.llm.common import drop_rows, free_name, identified
 from paperwire.session import write_once
 
 
@@ -32,9 +32,10 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by their SimHash, the one with the least id stays."""
-    rows = identified(docs)
-    found = simhash.near_duplicates(rows, carry=("__row",))
-    return drop_rows(rows, found.where(F.col("keeper.__row") != F.col("__row")))
+    place = free_name(docs, "__row")
+    rows = identified(docs, place)
+    found = simhash.near_duplicates(rows, carry=(place,))
+    return drop_rows(rows, found.where(F.col(f"keeper.{place}") != F.col(place)), place)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +44,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids."""
-    return bpe.with_tokens(docs)
+    """The documents with their token ids, in a column ``ids`` of its own (``ids_`` if there is one)."""
+    return bpe.with_tokens(docs, ids=free_name(docs, "ids"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from paperwire.llm.common import Remembered, forget_at_new_stage, on_workers
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Pieces of a generation and pairs that a worker remembers; bounds on memory, not on the input.
-PIECES, PAIRS = 250_000, 300_000
+#: Bytes of a generation of pieces, pairs that a worker remembers; bounds on memory, not on the input.
+PIECES, PAIRS = 40 << 20, 200_000
 #: Texts that look for new pieces together.
 BLOCK = 500
 #: The rank of a merge that is not in the vocabulary.
@@ -52,16 +52,6 @@ class Vocabulary:
         self.pieces = Remembered(PIECES)
         self.edges: dict[int, tuple[list, list] | None] = {}
 
-    def merged(self, data: bytes) -> list[int]:
-        """The plain definition: merge the neighbours of lowest rank until none is left."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(a + b, NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == NEVER:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
-
     def history(self, token: int) -> tuple[list, list] | None:
         """What stands at the left and at the right end of a token while it is merged, from byte to whole.
 
@@ -227,8 +217,8 @@ def _common(a: bytes, b: bytes) -> int:
 
 def _ids(texts: pa.Array, path: str, pattern: str) -> pa.Array:
     """Token ids of each text, through the pieces a worker remembers."""
+    forget_at_new_stage(vocabulary.cache_clear)
     words, split = vocabulary(path), regex.compile(pattern).findall
-    forget_at_new_stage(words.pieces.clear)
     ends, found = [0], []
 
     def make(pieces: list[str]) -> list[bytes]:
@@ -277,6 +267,7 @@ def decode(ids: Column, path: str = VOCABULARY) -> Column:
 
     @F.arrow_udf("binary")
     def data(lists: pa.Array) -> pa.Array:
+        forget_at_new_stage(_token_table.cache_clear)
         return _data(lists, path)
 
     return data(ids)
@@ -288,6 +279,7 @@ def round_trip(text: Column, path: str = VOCABULARY, pattern: str = public_token
     @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
     def both(texts: pa.Array) -> pa.Array:
         ids = _ids(texts, path, pattern)
+        forget_at_new_stage(_token_table.cache_clear)
         return pa.StructArray.from_arrays([ids, _data(ids, path)], ["ids", "decoded"])
 
     return both(text)
