@@ -15,8 +15,8 @@ def split_authors(authors: Column) -> Column:
 
 
 def full_names(authors: Column) -> Column:
-    """``first last`` per author object."""
-    return F.transform(authors, lambda a: F.concat(a.firstName, F.lit(" "), a.lastName))
+    """``first last`` per author object, the one there is where the other is missing."""
+    return F.transform(authors, lambda a: F.concat_ws(" ", a.firstName, a.lastName))
 
 
 def first_institutions(authors: Column) -> Column:

@@ -15,6 +15,9 @@ from paperwire import constants as K
 _BLANK = r"[\s\x1c-\x1f]"
 _STRIP = rf"(?U)\A{_BLANK}+|{_BLANK}+\z"
 _NOT_WORD = r"[^\p{L}\p{N}]+"
+# Scripts that put no space between words, with the mark that lengthens a Japanese vowel.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\x{30FC}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_RUN = rf"[{_UNSPACED}]+|[\p{{L}}\p{{N}}&&[^{_UNSPACED}]]+"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -97,5 +100,23 @@ def doi_link(doi: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lowered runs of letters and digits in text order; may hold ``''`` at the ends."""
-    return F.split(F.lower(text), _NOT_WORD)
+    """Lowered terms in text order; may hold ``''`` at the ends.
+
+    Runs of letters and digits of any length, and where a script does not space its words, each pair
+    of neighbouring characters (a single one stands for itself).
+    """
+    lowered = F.lower(text)
+    pairs = F.flatten(
+        F.transform(
+            F.regexp_extract_all(lowered, F.lit(_RUN), F.lit(0)),
+            lambda run: F.when(
+                run.rlike(rf"^[{_UNSPACED}]") & (F.char_length(run) > 1),
+                F.transform(
+                    F.sequence(F.lit(1), F.greatest(F.char_length(run) - 1, F.lit(1))),
+                    lambda i: F.substr(run, i, F.lit(2)),
+                ),
+            ).otherwise(F.array(run)),
+        )
+    )
+    # Most texts are spaced, and a split is the cheapest way to take those apart.
+    return F.when(lowered.rlike(f"[{_UNSPACED}]"), pairs).otherwise(F.split(lowered, _NOT_WORD))

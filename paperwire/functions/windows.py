@@ -26,17 +26,21 @@ def days_between(column: Column, first: dt.date, last: dt.date) -> Column:
 
 
 def pubmed_window(column: Column, run_date: dt.date, days: int) -> Column:
-    """The last ``days`` days up to the run (F1); the caller picks edat, mdat or pdat."""
-    return column >= _day(_back(run_date, days))
+    """The last ``days`` days up to the day of the run (F1); the caller picks edat, mdat or pdat."""
+    return days_between(column, _back(run_date, days), run_date)
+
+
+def arxiv_days(run_date: dt.date, days: int, include_upper: bool = False) -> tuple[dt.date, dt.date]:
+    """First and last day of the arXiv window."""
+    first = _back(run_date, days)
+    return first, first + dt.timedelta(days=1 if include_upper else 0)
 
 
 def arxiv_window(
     column: Column, run_date: dt.date, days: int, include_upper: bool = False
 ) -> Column:
     """``[run-days, run-days+1]`` (F2); whether the upper day belongs to it is a choice."""
-    first = _back(run_date, days)
-    upper = first + dt.timedelta(days=1)
-    return days_between(column, first, upper if include_upper else first)
+    return days_between(column, *arxiv_days(run_date, days, include_upper))
 
 
 def biorxiv_window(column: Column, run_date: dt.date, days: int) -> Column:

@@ -44,7 +44,7 @@ def attach_hot_safe(
         F.broadcast(small), F.col("_hot_key").eqNullSafe(F.col("_small_key")), "left"
     ).select("_hot_key", "_small", F.lit(True).alias("_is_hot"))
 
-    salt = F.monotonically_increasing_id() if spread is None else F.xxhash64(spread)
+    salt = F.xxhash64(*left.columns) if spread is None else F.xxhash64(spread)
     salted = left.join(
         F.broadcast(answers), F.col(key).eqNullSafe(F.col("_hot_key")), "left"
     ).withColumn("_slot", F.when(F.col("_is_hot"), salt).otherwise(F.xxhash64(key)))
@@ -69,8 +69,9 @@ def attach(
 ) -> DataFrame:
     """Left join ``right`` (one row per key) to ``left`` on a null-safe key.
 
-    ``spread`` names a column of ``left`` with many distinct values.  Without one the row
-    number of the scan is taken, so name one if ``left`` comes out of a shuffle.
+    ``spread`` names a column of ``left`` with many distinct values.  Without one the whole row
+    is taken, so name one if many rows are alike.  Either way a repeated task sends every row
+    where the first attempt did.
     """
     if fits_broadcast(right):
         other = right.withColumnRenamed(key, "_right_key")

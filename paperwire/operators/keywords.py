@@ -14,7 +14,6 @@ from paperwire.operators.sizing import fits_broadcast, spread_small
 from paperwire.session import write_once
 
 KEYWORDS = 10
-MIN_CHARS = 3
 
 # Adds ``SummaryAbstract`` to papers.
 Extractor = Callable[[DataFrame], DataFrame]
@@ -25,7 +24,7 @@ Extractor = Callable[[DataFrame], DataFrame]
 EVERY = ""
 
 
-def term_counts(papers: DataFrame, key: str, min_chars: int = MIN_CHARS) -> DataFrame:
+def term_counts(papers: DataFrame, key: str) -> DataFrame:
     """``key, term, tf``: how often each word occurs in an abstract (E5: if it has one).
 
     The texts are partitioned by paper first.  That moves less than the far more numerous
@@ -36,13 +35,13 @@ def term_counts(papers: DataFrame, key: str, min_chars: int = MIN_CHARS) -> Data
         .select(key, "Abstract")
         .repartition(key)
         .select(key, F.explode(X.words(F.col("Abstract"))).alias("term"))
-        .where(F.char_length("term") >= min_chars)
+        .where(F.col("term") != EVERY)
         .groupBy(key, "term")
         .agg(F.count("*").alias("tf"))
     )
 
 
-def document_frequencies(papers: DataFrame, key: str, min_chars: int = MIN_CHARS) -> DataFrame:
+def document_frequencies(papers: DataFrame, key: str) -> DataFrame:
     """``term, df``: in how many abstracts each word occurs, and their number as ``EVERY``.
 
     Repeats within an abstract go in its own row, and each task adds up its words before
@@ -53,7 +52,6 @@ def document_frequencies(papers: DataFrame, key: str, min_chars: int = MIN_CHARS
     return (
         spread_small(texts, key)
         .select(F.explode(distinct).alias("term"))
-        .where((F.char_length("term") >= min_chars) | (F.col("term") == EVERY))
         .groupBy("term")
         .agg(F.count("*").alias("df"))
     )
@@ -79,17 +77,16 @@ def tfidf_keywords(
     papers: DataFrame,
     key: str = "paper_key",
     keywords: int = KEYWORDS,
-    min_chars: int = MIN_CHARS,
 ) -> DataFrame:
     """``key, SummaryAbstract``: the best words of each abstract joined by ``", "``.
 
     ``key`` names one row.  Score = tf * ln(n / df) to six places, ties in word order.  The
     frequencies are written once; all else is one lazy plan over them and the texts.
     """
-    frequencies = write_once(document_frequencies(papers, key, min_chars), "frequencies")
+    frequencies = write_once(document_frequencies(papers, key), "frequencies")
     total = frequencies.where(F.col("term") == EVERY).select("df").scalar()
     score = F.round(F.col("tf") * F.log(total / F.col("df")), 6)
-    scored = weigh(term_counts(papers, key, min_chars), frequencies, key).withColumn("score", score)
+    scored = weigh(term_counts(papers, key), frequencies, key).withColumn("score", score)
     best = Window.partitionBy(key).orderBy(F.desc("score"), "term")
     return (
         scored.withColumn("place", F.row_number().over(best))

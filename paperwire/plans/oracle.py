@@ -131,6 +131,34 @@ items AS (
   FROM events WHERE event_type NOT IN ('error', 'signup'))"""
 
 
+# Events as replies that fail, are landed twice or late; of each page the last good reply up to the run.
+UNEVEN = r"""
+made AS (
+  SELECT event_id, user_id, event_type, props, event_id % 50 AS bad, ts AS fetched,
+         CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 ELSE 200 END AS status,
+         CASE WHEN event_id % 50 = 7 THEN '<html>busy</html>'
+              WHEN event_id % 50 = 8 THEN '{"messages":[{"status":"no posts found"}]}'
+              ELSE CAST(json_object('collection', [json_object(
+                'doi', '10.5555/u' || user_id, 'title', event_type, 'abstract', props,
+                'authors', 'Ab, ' || event_id || '.; Cd, ' || user_id || '.',
+                'author_corresponding_institution', 'Inst ' || user_id,
+                'date', strftime(ts, '%Y-%m-%d'))]) AS VARCHAR) END AS whole
+  FROM events),
+bodies AS (
+  SELECT *, CASE WHEN bad = 9 THEN regexp_replace(whole, ',"date":"[^"]*"', '') ELSE whole END AS body
+  FROM made),
+landed AS (
+  SELECT * FROM (
+    SELECT *, fetched AS fetched_at FROM bodies
+    UNION ALL SELECT * REPLACE (503 AS status, '' AS body), fetched - INTERVAL 1 HOUR FROM bodies
+      WHERE event_id % 20 = 4
+    UNION ALL SELECT *, fetched + INTERVAL 1 HOUR FROM bodies WHERE event_id % 20 = 5)
+  WHERE fetched_at <= TIMESTAMP '2024-01-11 15:30:00'),
+current AS (
+  SELECT * FROM landed WHERE status = 200
+  QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY fetched_at DESC) = 1)"""
+
+
 def biorxiv(where: str) -> str:
     """Items as papers."""
     return f"""
@@ -214,13 +242,23 @@ SELECT 'arxiv:' || coalesce(doi, id) || ':' || place AS paper_key, 'arxiv' AS so
 FROM best WHERE place <= 10"""
 
 
+# Scripts that put no space between words.
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\x{30FC}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+
+
 def tfidf(table: str, key: str, abstract: str) -> str:
-    """``keywords``: the ten best words per row of ``table``."""
+    """``keywords``: the ten best words per row of ``table``; pairs of characters in unspaced scripts."""
+    spaced = f"regexp_replace(lower({abstract}), '([{UNSPACED}]+)', ' \\1 ', 'g')"
     return rf"""
-pieces AS (
-  SELECT {key} AS k, unnest(regexp_split_to_array(lower({abstract}), '[^\p{{L}}\p{{N}}]+')) AS term
+runs AS (
+  SELECT {key} AS k, unnest(regexp_extract_all({spaced}, '[{UNSPACED}]+|[\p{{L}}\p{{N}}]+')) AS run
   FROM {table} WHERE {abstract} <> ''),
-tf AS (SELECT k, term, count(*) AS tf FROM pieces WHERE length(term) >= 3 GROUP BY k, term),
+pieces AS (
+  SELECT k, run AS term FROM runs WHERE length(run) = 1 OR NOT regexp_matches(run, '^[{UNSPACED}]')
+  UNION ALL
+  SELECT k, unnest(list_transform(range(1, length(run)), lambda i: substr(run, i, 2))) FROM runs
+  WHERE length(run) > 1 AND regexp_matches(run, '^[{UNSPACED}]')),
+tf AS (SELECT k, term, count(*) AS tf FROM pieces GROUP BY k, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 weighted AS (
   SELECT k, term, round(tf * ln((SELECT count(*) FROM {table} WHERE {abstract} <> '')
@@ -282,7 +320,7 @@ WHERE contains(lower(title), 'of the') OR contains(lower(abstract), 'of the')"""
     "term_and_date": """
 SELECT event_id, user_id, event_type FROM events
 WHERE contains(lower(event_type), 'pur') AND contains(lower(event_type), 'chase')
-  AND ts >= DATE '2024-01-24'""",
+  AND ts >= DATE '2024-01-24' AND ts < DATE '2024-02-01'""",
     "date_window_lookback": """
 WITH windows AS (
   SELECT * FROM (VALUES
@@ -294,7 +332,7 @@ SELECT name AS "window", strftime(ts, '%Y%m%d') AS day, count(*) AS papers
 FROM events JOIN windows ON CAST(ts AS DATE) BETWEEN first AND last GROUP BY ALL""",
     "search_ids": """
 SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders
-WHERE o_orderdate >= DATE '2000-08-02'
+WHERE o_orderdate >= DATE '2000-08-02' AND o_orderdate < DATE '2001-08-03'
   AND (contains(lower(o_orderpriority), 'high') OR contains(lower(o_orderstatus), 'high'))""",
     "anti_join_prev_day": """
 SELECT event_id, user_id, event_type FROM events
@@ -371,6 +409,62 @@ FROM events WHERE event_type IN ('error', 'signup') GROUP BY ALL""",
     "landing_pages": f"""
 {CHEM} (SELECT * FROM documents
         QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 2)""",
+    "landing_current": f"""
+{with_(UNEVEN)}
+SELECT CAST(CAST(fetched AS DATE) AS VARCHAR) AS query_key, event_id AS cursor,
+       200 AS status, fetched_at AS fetched, body
+FROM current
+QUALIFY row_number() OVER (PARTITION BY CAST(fetched AS DATE) ORDER BY event_id) <= 3""",
+    "landing_account": f"""
+{with_(UNEVEN)},
+judged AS (
+  SELECT *, CASE WHEN bad = 7 THEN 'unreadable' WHEN bad = 8 THEN 'no list' ELSE 'used' END AS reply
+  FROM current),
+dated AS (
+  SELECT *, '10.5555/u' || user_id AS doi,
+         CASE WHEN bad <> 9 THEN CAST(fetched AS DATE) END AS published FROM judged WHERE reply = 'used'),
+items AS (
+  SELECT CASE WHEN published IS NULL THEN 'undated'
+              WHEN published <> DATE '2024-01-10' THEN 'other day'
+              WHEN doi IN (SELECT doi FROM dated WHERE published = DATE '2024-01-09')
+                THEN 'seen the day before'
+              WHEN contains(lower(event_type), 'click') OR contains(lower(props), 'click')
+                OR contains(lower(event_type), 'vie') OR contains(lower(props), 'vie') THEN 'used'
+              ELSE 'no hit' END AS outcome
+  FROM dated),
+rows AS (
+  SELECT 'reply' AS unit, reply AS outcome FROM judged
+  UNION ALL SELECT 'reply', 'status ' || status FROM landed WHERE status <> 200
+  UNION ALL SELECT 'reply', 'superseded' FROM landed
+    WHERE status = 200 AND (event_id, fetched_at) NOT IN (SELECT event_id, fetched_at FROM current)
+  UNION ALL SELECT 'item', outcome FROM items)
+SELECT 'biorxiv' AS source, unit, outcome, count(*) AS n FROM rows GROUP BY ALL""",
+    "landing_days": """
+SELECT event_id // 20 * 20 AS cursor, min(day) AS first_day, max(day) AS last_day,
+       count(*) FILTER (day IS NULL) AS undated
+FROM (SELECT event_id, CASE WHEN event_id % 173 <> 0 THEN CAST(ts AS DATE) END AS day FROM events)
+GROUP BY ALL""",
+    "landing_pruned": """
+SELECT event_id // 20 * 20 + row_number() OVER (PARTITION BY event_id // 20 ORDER BY event_id) - 1
+         AS source_seq,
+       '10.5555/u' || user_id AS doi, event_type AS title
+FROM events
+QUALIFY CAST(ts AS DATE) = DATE '2024-01-09' AND event_id % 173 <> 0""",
+    "pubmed_corpus": """
+WITH r AS (
+  SELECT *, DATE '2024-01-01' + CAST(doc_id % 10 AS INTEGER) AS day,
+         'Document ' || doc_id || ' (' || lang || ')' AS title FROM documents),
+now AS (
+  SELECT doc_id, text,
+         CASE WHEN doc_id % 4 = 1 THEN 'Last ' || title WHEN doc_id % 3 = 0 THEN 'Revised ' || title
+              ELSE title END AS title,
+         CASE WHEN doc_id % 4 <> 1 AND doc_id % 3 = 0 THEN day + 1 ELSE day END AS edat,
+         CASE WHEN doc_id % 4 = 1 THEN DATE '2024-01-05' WHEN doc_id % 3 = 0 THEN DATE '2024-01-04'
+              ELSE DATE '2024-01-02' END AS mdat
+  FROM r)
+SELECT CAST(doc_id AS VARCHAR) AS "PMID", title AS "TI", edat, mdat FROM now
+WHERE edat BETWEEN DATE '2024-01-06' AND DATE '2024-01-11'
+  AND contains(lower(title || chr(10) || text), 'tion') AND contains(lower(title || chr(10) || text), 'the')""",
     "chemrxiv_papers": CHEM_50,
     "biorxiv_new_papers": f"{with_(ITEMS)} {biorxiv(NEW_ITEMS + ' AND ' + CLICK_VIEW)}",
     "arxiv_top": f"{with_(TURNS, BEST)} {ARXIV_10}",
@@ -427,6 +521,29 @@ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
 {with_(tfidf("documents", "doc_id", "text"))}
 SELECT doc_id, coalesce(keywords, '') AS keywords
 FROM documents LEFT JOIN keywords ON k = doc_id""",
+    "tfidf_scripts": f"""
+WITH few AS (
+  SELECT doc_id, array_to_string(str_split(text, ' ')[1:6], ' ') || ' '
+         || ['AI 3D x', '自動化ラボ用AIロボット', '機械学習データ 2', 'ภาษาไทย lab'][doc_id % 4 + 1] AS abstract
+  FROM documents),
+{tfidf("few", "doc_id", "abstract")}
+SELECT doc_id, coalesce(keywords, '') AS keywords
+FROM documents LEFT JOIN keywords ON k = doc_id""",
+    "request_resume": f"""
+{with_(DOCS)},
+asked AS (
+  SELECT doc_id, abstract, substr(sha256(CAST(to_json(struct_pack(
+         model := {text(K.MODEL)},
+         messages := [
+           struct_pack(role := 'system', content := {text(K.SYSTEM_MESSAGE)}),
+           struct_pack(role := 'user',
+                       content := {text(K.BASE_PROMPT + K.PROMPT_GAP)} || abstract)],
+         temperature := 1, max_tokens := 1001, top_p := 1, frequency_penalty := 0,
+         presence_penalty := 0)) AS VARCHAR)), 1, 1) < '8' AS known
+  FROM docs WHERE abstract <> '')
+SELECT doc_id, CASE WHEN known THEN 'answer ' || (length({text(K.BASE_PROMPT + K.PROMPT_GAP)}) + length(a.abstract))
+                    ELSE '' END AS summary, coalesce(NOT known, false) AS asked_again
+FROM docs LEFT JOIN asked a USING (doc_id)""",
     **{f"msg_{channel}": message(channel) for channel in TEXTS},
     "outbox_fanout": f"{READY}, posts AS ({fan_out(tuple(TEXTS))}) {OUTBOX}",
     "channel_switch": f"""
@@ -438,6 +555,16 @@ SELECT 'slack' AS channel, paper_key, position, total, title FROM numbered
 WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "incremental_intake": f"{with_(ITEMS)} {biorxiv(CLICK_VIEW)}",
     "incremental_dedup": f'{with_(ITEMS)} SELECT DISTINCT doi AS "DOI" FROM items',
+    "incremental_sources": f"""
+{with_(TURNS)}
+{CHEM} (SELECT * FROM documents
+  WHERE contains(lower(text), 'of the')
+     OR contains(lower('Document ' || doc_id || ' (' || lang || ')'), 'of the'))
+UNION ALL
+SELECT 'arxiv:' || coalesce(doi, id) || ':', 'arxiv', CAST(3 AS BIGINT), NULL, title, authors, 'arXiv',
+       abstract, '', '|', doi, id
+FROM turns WHERE contains(lower(title || chr(10) || abstract), 'tion')
+             AND contains(lower(title || chr(10) || abstract), 'the')""",
     "new_papers_to_slack": f"""
 {with_(ITEMS)},
 papers AS ({biorxiv(NEW_ITEMS + " AND " + CLICK_VIEW)}),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,9 @@ from paperwire.operators.union import in_digest_order, union_sources
 from paperwire.plans import digest as G
 from paperwire.plans import standins as S
 from paperwire.schema import JobConfig
-from paperwire.session import fresh_path
-from paperwire.sources import atom, landing, medline
+from paperwire.session import fresh_path, write_once
+from paperwire.sources import atom, corpus, landing, medline
+from paperwire.sources.account import Account, account_rows
 from paperwire.sources.common import as_papers
 from paperwire.streaming import intake
 
@@ -35,6 +37,8 @@ RUN_TS = dt.datetime(2024, 1, 11, 15, 30)
 RUN_DATE = RUN_TS.date()
 ORDERS_DATE = dt.date(2001, 8, 2)
 ORDERS_DAYS = 365
+# Short words, and scripts without spaces between words.
+SCRIPTS = ("AI 3D x", "自動化ラボ用AIロボット", "機械学習データ 2", "ภาษาไทย lab")
 
 
 # --- filters ---------------------------------------------------------------------------
@@ -279,6 +283,52 @@ def landing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(papers)
 
 
+def landing_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One good reply per page, of the first three good pages a day; failed and repeated pages among them."""
+    landed = landing.read_landing(spark, S.write_landing(S.uneven_replies(spark, sf_dir), "query_key"))
+    pages = landing.current_pages(landing.landed_until(landed, RUN_TS), 3)
+    return pages.select("query_key", "cursor", "status", "fetched", "body")
+
+
+def landing_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every reply and item of a bioRxiv run over all that has landed up to its instant."""
+    landed = landing.read_landing(spark, S.write_landing(S.uneven_replies(spark, sf_dir), "query_key"))
+    account = Account()
+    pages = landing.current_pages(landing.landed_until(landed, RUN_TS), account=account)
+    items = landing.scan_biorxiv(pages, account=account)
+    G.land_papers(landing.biorxiv_papers(items, "Click vie", RUN_DATE, 1, account))
+    return account_rows(spark, G.settled(account))
+
+
+def landing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map that each reply gets when it lands."""
+    path = fresh_path(spark, "landing")
+    landing.land(S.event_pages(spark, sf_dir), path)
+    return landing.read_landing(spark, path).select("cursor", "first_day", "last_day", "undated")
+
+
+def landing_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 over mapped replies: those of other days are left out by their map, before any body is parsed."""
+    path = fresh_path(spark, "landing")
+    landing.land(S.event_pages(spark, sf_dir), path)
+    day = RUN_DATE - dt.timedelta(days=2)
+    replies = landing.due(landing.read_landing(spark, path), "biorxiv", day, day, RUN_TS)
+    items = landing.scan_biorxiv(replies).where(D.single_day(F.col("published"), RUN_DATE, 2))
+    return items.select("source_seq", "doi", "title")
+
+
+def pubmed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of revisions; the ids of a search, then their current records."""
+    name = f"corpus_{uuid.uuid4().hex}"
+    corpus.open_corpus(spark, name, fresh_path(spark, "corpus"))
+    for revision in (1, 2, 3):
+        corpus.upsert(spark, name, S.revised_records(spark, sf_dir, revision))
+    records = corpus.read_corpus(spark, name)
+    ids = medline.search_ids(records, "tion the", "edat", 5, RUN_DATE, current=True)
+    found = medline.fetch_by_id(records, ids, current=True)
+    return found.select("PMID", "TI", "edat", "mdat")
+
+
 def chemrxiv_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 50 phrase hits of the day."""
     path = S.write_landing(S.document_replies(spark, sf_dir))
@@ -369,6 +419,38 @@ def tfidf_keywords10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attached.select("doc_id", F.col("SummaryAbstract").alias("keywords"))
 
 
+def tfidf_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E4 with words of one and two letters and with scripts that put no space between words."""
+    extra = F.element_at(F.array(*[F.lit(x) for x in SCRIPTS]), (F.col("doc_id") % 4 + 1).cast("int"))
+    few = F.concat_ws(" ", F.slice(F.split("Abstract", " "), 1, 6), extra)
+    papers = S.document_papers(spark, sf_dir).select("doc_id", "paper_key", few.alias("Abstract"))
+    attached = keywords.attach_summaries(papers, keywords.tfidf_keywords(papers))
+    return attached.select("doc_id", F.col("SummaryAbstract").alias("keywords"))
+
+
+def request_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All questions are written, half of them are answered, and only the rest is asked again."""
+    papers = S.document_papers(spark, sf_dir).select("doc_id", "paper_key", "Abstract")
+    asked = requests.with_id(requests.prompt_requests(papers, key="doc_id"))
+    path = fresh_path(spark, "requests")
+    requests.write_requests(asked, path, file_bytes=1 << 20)
+    sent = spark.read.schema("custom_id STRING, body STRUCT<messages: ARRAY<STRUCT<role: STRING, content: STRING>>>")
+    told = S.text_of("answer ", F.char_length(F.col("body.messages")[1]["content"]))
+    choice = F.struct(F.struct(F.lit("assistant").alias("role"), told.alias("content")).alias("message"))
+    answers = sent.json(path).where(F.col("custom_id") < "8").select(
+        F.col("custom_id").alias(requests.REQUEST_ID), F.to_json(F.struct(F.array(choice).alias("choices"))).alias("body")
+    )
+    replies = write_once(answers, "replies")
+    rest = fresh_path(spark, "requests")
+    attached = requests.asking(rest, replies, spread="doc_id")(papers)
+    again = sent.json(rest).select(F.col("custom_id").alias(requests.REQUEST_ID), F.lit(True).alias("again"))
+    marked = attach(asked.select("doc_id", requests.REQUEST_ID), again, requests.REQUEST_ID, "doc_id")
+    open_ = marked.where("again").select("doc_id", "again")
+    return attached.join(open_, "doc_id", "left").select(
+        "doc_id", F.col("SummaryAbstract").alias("summary"), F.coalesce("again", F.lit(False)).alias("asked_again")
+    )
+
+
 # --- messages and outbox ---------------------------------------------------------------
 
 
@@ -426,15 +508,32 @@ def incremental_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incremental_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R2: each DOI once, the repeats of later files and later runs being dropped."""
-    path = S.write_landing(S.event_replies(spark, sf_dir), "query_key")
-    papers = intake.paper_stream(intake.landing_stream(spark, path), "")
-    dated = papers.withColumn("seen_at", F.col("published").cast("timestamp"))
-    once = intake.drop_seen(dated, "DOI", "seen_at", "60 days")
-    out, state = fresh_path(spark, "papers"), fresh_path(spark, "stream")
-    intake.run_available(once, out, state)
-    intake.run_available(once, out, state)
-    return spark.read.schema(once.schema).parquet(out).select("DOI")
+    """R2: each DOI once, the repeats of later files and later runs being dropped.
+
+    The days land out of order: the second run brings files of days before those of the first.
+    """
+    replies = S.event_replies(spark, sf_dir)
+    path, out, state = (fresh_path(spark, name) for name in ("landing", "papers", "stream"))
+    for days in (F.col("query_key") >= "2024-01-16", F.col("query_key") < "2024-01-16"):
+        replies.where(days).write.mode("append").partitionBy("query_key").parquet(path)
+        papers = intake.paper_stream(intake.landing_stream(spark, path, 20), "")
+        intake.run_unseen(papers, out, state, keep=60)
+    return intake.read_unseen(spark, out, papers.schema).select("DOI")
+
+
+def incremental_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 for chemRxiv and arXiv: their replies land and the streams append the matching papers."""
+    found = []
+    for source, term, replies in (
+        ("chemrxiv", PHRASE, S.document_replies(spark, sf_dir)),
+        ("arxiv", WORDS, S.turn_replies(spark, sf_dir)),
+    ):
+        path = S.write_landing(replies)
+        papers = intake.paper_stream(intake.landing_stream(spark, path), term, source)
+        out = fresh_path(spark, "papers")
+        intake.run_available(papers, out, fresh_path(spark, "stream"))
+        found.append(flat(spark.read.schema(papers.schema).parquet(out)))
+    return union_sources(*found)
 
 
 # --- whole runs ------------------------------------------------------------------------
@@ -498,6 +597,11 @@ QUERIES: dict[str, Query] = {
     "atom_scan": atom_scan,
     "landing_rejects": landing_rejects,
     "landing_pages": landing_pages,
+    "landing_current": landing_current,
+    "landing_account": landing_account,
+    "landing_days": landing_days,
+    "landing_pruned": landing_pruned,
+    "pubmed_corpus": pubmed_corpus,
     "chemrxiv_papers": chemrxiv_papers,
     "biorxiv_new_papers": biorxiv_new_papers,
     "arxiv_top": arxiv_top,
@@ -509,6 +613,8 @@ QUERIES: dict[str, Query] = {
     "prompt_request": prompt_request,
     "response_attach": response_attach,
     "tfidf_keywords10": tfidf_keywords10,
+    "tfidf_scripts": tfidf_scripts,
+    "request_resume": request_resume,
     "msg_teams": _message("teams"),
     "msg_line": _message("line"),
     "msg_slack": _message("slack"),
@@ -518,6 +624,7 @@ QUERIES: dict[str, Query] = {
     "outbox_errors": outbox_errors,
     "incremental_intake": incremental_intake,
     "incremental_dedup": incremental_dedup,
+    "incremental_sources": incremental_sources,
     "new_papers_to_slack": new_papers_to_slack,
     "digest_run": digest_run,
 }

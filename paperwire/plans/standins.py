@@ -227,10 +227,12 @@ def turn_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = F.concat(
         F.lit('<feed xmlns:arxiv="http://arxiv.org/schemas/atom">'), entry, F.lit("</feed>")
     )
-    return turn_entries(spark, sf_dir).select(
+    place = F.regexp_extract("id", r"(\d+)\.(\d+)$", 1).cast("bigint") * 1000
+    turn = F.regexp_extract("id", r"(\d+)\.(\d+)$", 2).cast("bigint")
+    return turn_entries(spark, sf_dir).withColumn("cursor", place + turn).select(
         F.lit("arxiv").alias("source"),
         F.lit("2024-01-08").alias("query_key"),
-        F.lit(0).cast("bigint").alias("cursor"),
+        "cursor",
         F.col("id").alias("url"),
         F.lit(200).alias("status"),
         feed.alias("body"),
@@ -339,7 +341,84 @@ def document_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def uneven_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as bioRxiv replies that fail in every way: unreadable, without a list, undated, landed twice or late.
+
+    Of every fifty events one has a body that is no JSON, one a body without the list, one an item without
+    a date; of every twenty one page came with status 503 an hour before, and one again an hour after.
+    """
+    event = F.col("cursor")
+    replies = event_replies(spark, sf_dir)
+    no_date = F.regexp_replace("body", r',"date":"[^"]*"', "")
+    body = (
+        F.when(event % 50 == 7, "<html>busy</html>")
+        .when(event % 50 == 8, '{"messages":[{"status":"no posts found"}]}')
+        .when(event % 50 == 9, no_date)
+        .otherwise(F.col("body"))
+    )
+    replies = replies.withColumn("body", body)
+    hour = F.expr("INTERVAL 1 HOUR")
+    failed = replies.where(event % 20 == 4).select(
+        "source", "query_key", "cursor", "url", F.lit(503).alias("status"), F.lit("").alias("body"),
+        (F.col("fetched") - hour).alias("fetched"),
+    )
+    again = replies.where(event % 20 == 5).withColumn("fetched", F.col("fetched") + hour)
+    return replies.unionByName(failed).unionByName(again)
+
+
+def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as bioRxiv replies of twenty items each, of several days; every tenth event has no date."""
+    event, user = F.col("event_id"), F.col("user_id")
+    item = F.struct(
+        text_of("10.5555/u", user).alias("doi"),
+        F.col("event_type").alias("title"),
+        F.col("props").alias("abstract"),
+        text_of("Ab, ", event, ".; Cd, ", user, ".").alias("authors"),
+        text_of("Inst ", user).alias("author_corresponding_institution"),
+        F.when(event % 173 != 0, F.date_format("ts", "yyyy-MM-dd")).alias("date"),
+    )
+    pages = table(spark, sf_dir, "events").groupBy(F.expr("event_id div 20").alias("page")).agg(
+        # Twenty items a page at most.
+        F.array_sort(F.collect_list(F.struct(event.alias("event_id"), item.alias("item")))).alias("items")
+    )
+    return pages.select(
+        F.lit("biorxiv").alias("source"),
+        F.lit("all").alias("query_key"),
+        (F.col("page") * 20).alias("cursor"),
+        text_of("landing/", F.col("page")).alias("url"),
+        F.lit(200).alias("status"),
+        F.to_json(F.struct(F.col("items")["item"].alias("collection"))).alias("body"),
+        F.lit("2024-01-11").cast("timestamp").alias("fetched"),
+    )
+
+
+def revised_records(spark: SparkSession, sf_dir: str, revision: int) -> DataFrame:
+    """``documents`` as MEDLINE records in three batches.
+
+    The first has all; the second revises every third (a new title, the next day); the third
+    brings back the first title of every sixth with an older revision date, and every fourth once more.
+    """
+    doc = F.col("doc_id")
+    records = document_records(spark, sf_dir).withColumn("doc_id", F.col("PMID").cast("bigint"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (doc % 10).cast("int"))
+    first = records.withColumn("edat", day).withColumn("mdat", F.lit("2024-01-02").cast("date"))
+    if revision == 1:
+        return first
+    if revision == 2:
+        return first.where(doc % 3 == 0).select(
+            "*", F.concat(F.lit("Revised "), F.col("TI")).alias("_title")
+        ).withColumns(
+            {"TI": F.col("_title"), "edat": F.date_add("edat", 1), "mdat": F.lit("2024-01-04").cast("date")}
+        ).drop("_title")
+    old = first.where(doc % 6 == 0).withColumn("mdat", F.lit("2024-01-03").cast("date"))
+    again = first.where(doc % 4 == 1).withColumns(
+        {"TI": F.concat(F.lit("Last "), F.col("TI")), "mdat": F.lit("2024-01-05").cast("date")}
+    )
+    return old.unionByName(again)
+
+
 def write_landing(replies: DataFrame, partition: str | None = None) -> str:
+    """Replies as some other program may have landed them, without the days of their items."""
     path = fresh_path(replies.sparkSession, "landing")
     writer = replies.write
     if partition:

@@ -28,6 +28,12 @@ LANDING = """
     fetched TIMESTAMP
 """
 
+# With the days of a reply's items, written when it lands.
+LANDED = f"{LANDING}, first_day DATE, last_day DATE, undated BIGINT"
+BIORXIV_DAYS = "collection ARRAY<STRUCT<date: STRING>>"
+CHEMRXIV_DAYS = "itemHits ARRAY<STRUCT<item: STRUCT<publishedDate: STRING>>>"
+ATOM_DAYS = "entry ARRAY<STRUCT<published: STRING>>"
+
 BIORXIV_BODY = """
     collection ARRAY<STRUCT<doi: STRING, title: STRING, abstract: STRING, authors: STRING,
         author_corresponding_institution: STRING, date: STRING>>
@@ -83,6 +89,8 @@ class JobConfig:
     chemrxiv_days: int = 1
     arxiv_include_upper: bool = False
     page_limit: int | None = None
+    arxiv_top: int = K.ARXIV_TOP
+    chemrxiv_limit: int = K.CHEMRXIV_LIMIT
     prompt: str = K.BASE_PROMPT
     model: str = K.MODEL
     sources: tuple[str, ...] = K.SOURCE_ORDER

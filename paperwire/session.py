@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "paperwire", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,3 +59,21 @@ def write_once(rows: DataFrame, name: str) -> DataFrame:
     path = fresh_path(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def placed(rows: DataFrame, name: str) -> DataFrame:
+    """Add the file and row number that a row was read from, the same whenever a task is repeated.
+
+    Rows that do not come straight from files are written once first.
+    """
+    def read(df: DataFrame) -> DataFrame:
+        meta = df.metadataColumn("_metadata")
+        place = F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row"))
+        return df.select("*", place.alias(name))
+
+    try:
+        found = read(rows)
+        found.schema  # noqa: B018  resolves the columns
+        return found
+    except PySparkException:
+        return read(write_once(rows, "rows"))

@@ -13,8 +13,19 @@ from paperwire.functions import text as X
 from paperwire.functions.authors import blank_affiliations
 from paperwire.functions.windows import arxiv_window
 from paperwire.schema import ATOM_BODY, ATOM_ENTRY
+from paperwire.sources.account import USED, Account, NoAccount
 from paperwire.sources.common import as_papers
-from paperwire.sources.landing import good_replies
+from paperwire.sources.landing import (
+    CORRUPT,
+    HIT,
+    ITEM,
+    NO_HIT,
+    NO_LIST,
+    REPLY,
+    UNREADABLE,
+    good_replies,
+    in_days,
+)
 
 
 def read_atom(spark: SparkSession, path: str) -> DataFrame:
@@ -22,14 +33,21 @@ def read_atom(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "entry").schema(ATOM_ENTRY).load(path)
 
 
-def scan_arxiv(landing: DataFrame) -> DataFrame:
-    """Entries of landed feed replies (S3): the same columns as :func:`read_atom`."""
+def scan_arxiv(landing: DataFrame, *keep: str, account: Account | None = None) -> DataFrame:
+    """Entries of landed feed replies (S3): the columns of :func:`read_atom`, after ``keep`` of their reply."""
     replies = good_replies(landing).where(F.col("source") == "arxiv")
-    feeds = replies.select(F.from_xml("body", ATOM_BODY).alias("feed"))
-    return feeds.select(F.inline("feed.entry"))
+    schema = f"{ATOM_BODY}, {CORRUPT} STRING"
+    feed = F.from_xml("body", schema, {"columnNameOfCorruptRecord": CORRUPT})
+    feeds = replies.select(*keep, feed.alias("feed"))
+    if account is not None:
+        unread = F.col("feed").isNull() | F.col(f"feed.{CORRUPT}").isNotNull()
+        listed = F.col("feed.entry").isNotNull()
+        outcome = F.when(listed, USED).when(unread, UNREADABLE).otherwise(NO_LIST)
+        feeds = account.by_outcome(feeds, "arxiv", REPLY, outcome, UNREADABLE, NO_LIST)
+    return feeds.select(*keep, F.inline("feed.entry"))
 
 
-def atom_columns(entries: DataFrame, seq: str | None = None) -> DataFrame:
+def atom_columns(entries: DataFrame, seq: str | None = None, *keep: str) -> DataFrame:
     """Entry fields to Paper columns.
 
     ``seq`` names a column that gives the place in the list, if there is one already.
@@ -37,6 +55,7 @@ def atom_columns(entries: DataFrame, seq: str | None = None) -> DataFrame:
     none = F.array().cast("array<string>")
     authors = F.coalesce(F.transform("author", lambda a: a["name"]), none)
     return entries.select(
+        *keep,
         *([F.col(seq).alias("source_seq")] if seq else []),
         F.col("id"),
         F.try_to_timestamp(F.substring("published", 1, 10), F.lit("yyyy-MM-dd"))
@@ -60,20 +79,25 @@ def arxiv_papers(
     days: int,
     top: int = K.ARXIV_TOP,
     include_upper: bool = False,
+    account: Account | None = None,
 ) -> DataFrame:
     """The ``top`` most relevant entries of the day window (F2, F6, T1), best first.
 
     The service's ranking is not public; relevance here is the number of term hits.
     """
     texts = (F.col("Title"), F.col("Abstract"))
+    account = account or NoAccount()
+    window = arxiv_window(F.col("published"), run_date, days, include_upper)
+    of_days = in_days(atom_columns(entries), "arxiv", window, account)
+    hit = X.all_words(term, *texts)
+    of_days = account.by_outcome(of_days, "arxiv", ITEM, F.when(hit, HIT).otherwise(NO_HIT), NO_HIT, HIT)
     best = (
-        atom_columns(entries)
-        .where(arxiv_window(F.col("published"), run_date, days, include_upper))
-        .where(X.all_words(term, *texts))
+        of_days.where(hit)
         .withColumn("score", X.relevance(term, *texts))
         .orderBy(F.desc("score"), "id")
         .limit(top)
     )
     # At most ``top`` rows are left, so one task can number them.
     place = F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("bigint")
-    return as_papers(best.withColumn("source_seq", place), "arxiv")
+    best = account.passed(best.withColumn("source_seq", place), "arxiv", ITEM, USED)
+    return as_papers(best, "arxiv")

@@ -19,7 +19,12 @@ Match = Callable[..., Column]
 
 # --- fixed values: date tags by search date type ---
 DATE_TAGS = {"edat": "EDAT", "mdat": "LR", "pdat": "DP"}
-DATE_FORMATS = {"edat": "yyyy/MM/dd", "mdat": "yyyyMMdd", "pdat": "yyyy MMM d"}
+# Length and form of a date's beginning; a publication date may lack its day, or its month.
+DATE_FORMATS = {
+    "edat": ((10, "yyyy/MM/dd"),),
+    "mdat": ((8, "yyyyMMdd"),),
+    "pdat": ((11, "yyyy MMM d"), (10, "yyyy MMM d"), (8, "yyyy MMM"), (4, "yyyy")),
+}
 
 
 def _lines(record: Column) -> Column:
@@ -45,24 +50,27 @@ def _text(tag: str) -> Column:
     return F.array_join(_all(tag), " ")
 
 
+def tag_date(kind: str) -> Column:
+    """The date of a record by search date type; a month or a year alone is its first day."""
+    forms = [
+        F.try_to_timestamp(F.trim(F.substring(_text(DATE_TAGS[kind]), 1, length)), F.lit(form))
+        for length, form in DATE_FORMATS[kind]
+    ]
+    return F.coalesce(*forms).cast("date").alias(kind)
+
+
 def read_medline(spark: SparkSession, path: str, record_sep: str = "\n\n") -> DataFrame:
     """Records of tagged text files (S2): one row per blank-line separated record.
 
     The text reader splits large files on the record separator, so a file of any size is
     read by many tasks.  Files with CRLF line ends need ``record_sep="\\r\\n\\r\\n"``.
-    A corpus that is searched every day is best written to Parquet by ``edat`` once.
+    A corpus that is searched every day is best kept as a table by :mod:`paperwire.sources.corpus`.
     """
     raw = spark.read.option("lineSep", record_sep).text(path)
     lines = raw.where(F.length(F.trim(F.translate("value", "\r\n\t", "   "))) > 0).select(
         _lines(F.regexp_replace("value", r"\A[\r\n]+", "")).alias("lines")
     )
-    dates = [
-        F.try_to_timestamp(
-            F.substring(_text(tag), 1, 11 if kind == "pdat" else len(DATE_FORMATS[kind])),
-            F.lit(DATE_FORMATS[kind]),
-        ).cast("date").alias(kind)
-        for kind, tag in DATE_TAGS.items()
-    ]
+    dates = [tag_date(kind) for kind in DATE_TAGS]
     fields = F.struct(
         _text("PMID").alias("PMID"),
         _text("TI").alias("TI"),
@@ -118,14 +126,20 @@ def search(
     days: int,
     run_date: dt.date,
     match: Match = X.all_words,
+    current: bool = False,
 ) -> DataFrame:
-    """Records within the window of the chosen date that match the term.
+    """Current records within the window of the chosen date that match the term.
+
+    The last revision of each id is looked at, and no earlier one, so a superseded version that
+    still matches is not found.  ``current`` says that ``records`` has one per id already, as a
+    corpus table has: then the window prunes its partitions and nothing is shuffled.
 
     The service's term language is not public; ``match`` says what counts as a hit, e.g.
     ``all_words`` or ``any_keyword``.
     """
+    rows = records if current else one_per_id(records)
     hit = match(term, F.col("TI"), F.col("AB"))
-    return one_per_id(records.where(hit & pubmed_window(F.col(datetype), run_date, days)))
+    return rows.where(hit & pubmed_window(F.col(datetype), run_date, days))
 
 
 def search_ids(
@@ -135,12 +149,19 @@ def search_ids(
     days: int,
     run_date: dt.date,
     match: Match = X.all_words,
+    current: bool = False,
 ) -> DataFrame:
     """The id list of a search."""
-    found = search(records, term, datetype, days, run_date, match)
+    found = search(records, term, datetype, days, run_date, match, current)
     return found.select(F.col("PMID").alias("id"))
 
 
-def fetch_by_id(records: DataFrame, ids: DataFrame) -> DataFrame:
-    """The record of each listed id."""
-    return one_per_id(keep_matching(records, ids.select(F.col("id").alias("PMID")), "PMID"))
+def fetch_by_id(records: DataFrame, ids: DataFrame, current: bool = False) -> DataFrame:
+    """The current record of each listed id.
+
+    Of a ``current`` corpus bucketed by id the records are not shuffled, only the ids.
+    """
+    wanted = ids.select(F.col("id").alias("PMID"))
+    if current:
+        return records.join(wanted.distinct(), "PMID", "left_semi")
+    return one_per_id(keep_matching(records, wanted, "PMID"))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import duckdb
 import pytest
@@ -11,6 +12,8 @@ import __spark_entry__ as entry
 from paperwire.operators import outbox
 from paperwire.operators.requests import answered
 from paperwire.plans import digest as G
+from paperwire.plans.oracle import ORACLE_SQL
+from paperwire.plans.queries import QUERIES
 from paperwire.schema import LANDING, JobConfig
 from paperwire.sources import atom, medline
 from paperwire.streaming import intake
@@ -56,7 +59,7 @@ def test_whole_run(spark, landed, tmp_path):
     teams = next(r for r in sent if r["channel"] == "teams" and r["position"] == 2)
     assert teams["message"] == (
         "**2024/01/12 00:30 | bioRxiv | 2/8** <br> **[Lab robots](https://doi.org/10.1/a)** <br> "
-        "A, B., C, D. (U) <br><br>  <br><br> "
+        "A, B., C, D. (U) <br><br> x <br><br> "
     )
     failed = outbox.read_outbox_errors(spark, f"{out}/outbox").collect()
     assert {(r["position"], r["title"]) for r in failed} == {(6, "Lab null"), (8, "Bench on")}
@@ -72,7 +75,8 @@ def test_run_with_a_third_of_copies(spark, no_broadcast, tmp_path):
     for n in range(600):
         k = 7 if n % 3 == 0 else n
         body = json.dumps({"collection": [item(f"10.1/{k}", "2024-01-10")]})
-        rows.append(("biorxiv", "q", k, "u", 200, body, dt.datetime(2024, 1, 11)))
+        # Another query each, so that the copies are pages of their own on one place.
+        rows.append(("biorxiv", f"q{n}", k, "u", 200, body, dt.datetime(2024, 1, 11)))
     path, out = str(tmp_path / "landing"), str(tmp_path / "out")
     spark.createDataFrame(rows, LANDING).repartition(4).write.parquet(path)
     landed = G.Landed(replies=spark.read.schema(LANDING).parquet(path))
@@ -126,27 +130,71 @@ def test_intake_takes_each_landed_file_once(spark, tmp_path):
     assert got == [(9, "10.1/a"), (9, "10.1/b"), (10, "10.1/b"), (10, "10.1/c")]
 
 
-def test_drop_seen_remembers_between_runs_and_forgets_in_time(spark, tmp_path):
+def test_unseen_remembers_between_runs_and_forgets_in_time(spark, tmp_path):
     path, out, state = (str(tmp_path / n) for n in ("landing", "papers", "state"))
 
-    def run():
+    def run(**options):
         papers = intake.paper_stream(intake.landing_stream(spark, path, 1), "lab")
-        dated = papers.withColumn("seen_at", F.col("published").cast("timestamp"))
-        once = intake.drop_seen(dated, "DOI", "seen_at", "3 days")
-        intake.run_available(once, out, state)
+        intake.run_unseen(papers, out, state, keep=3, **options)
+        return papers.schema
 
-    land(spark, path, "2024-01-09", ["10.1/a", "10.1/b", *["10.1/hot"] * 50])
+    land(spark, path, "2024-01-09", ["10.1/a", "10.1/b", *["10.1/hot"] * 50, None, None])
     run()
-    land(spark, path, "2024-01-10", ["10.1/b", "10.1/c", "10.1/hot"])
+    land(spark, path, "2024-01-10", ["10.1/b", "10.1/c", "10.1/hot", None])
     run()
-    # Far later: the memory of the first days is gone by then.
     land(spark, path, "2024-02-10", ["10.1/z"])
     run()
+    # Beyond reach of the first days.
     land(spark, path, "2024-02-11", ["10.1/a"])
     run()
-    got = sorted((r["published"].month, r["DOI"]) for r in spark.read.parquet(out).collect())
-    assert got == [(1, "10.1/a"), (1, "10.1/b"), (1, "10.1/c"), (1, "10.1/hot"),
-                   (2, "10.1/a"), (2, "10.1/z")]
+    # An old file that lands late is judged like any other; days before the ledger's are listed.
+    land(spark, path, "2024-01-11", ["10.1/late", "10.1/c", "10.1/z"])
+    land(spark, path, "2023-12-01", ["10.1/older"])
+    schema = run(since=dt.date(2024, 1, 1))
+    got = sorted((str(r["published"])[5:], r["DOI"] or "") for r in intake.read_unseen(spark, out, schema).collect())
+    assert got == [
+        ("01-09", ""), ("01-09", "10.1/a"), ("01-09", "10.1/b"), ("01-09", "10.1/hot"), ("01-10", "10.1/c"),
+        ("01-11", "10.1/late"), ("01-11", "10.1/z"), ("02-10", "10.1/z"), ("02-11", "10.1/a"),
+    ]
+    assert [r["DOI"] for r in intake.read_unseen(spark, out, schema, "late").collect()] == ["10.1/older"]
+
+
+@pytest.mark.parametrize("per_batch", [1, 3, 1000])
+def test_unseen_rows_do_not_depend_on_the_batches(spark, tmp_path, per_batch):
+    """Files of many days, out of order, with repeats near and far; undated items among them."""
+    path, out, state = (str(tmp_path / n) for n in ("landing", "papers", "state"))
+    days = ["2024-01-20", "2024-01-02", "2024-01-09", "bad", "2024-01-11", "2024-01-03", "2024-01-19"]
+    arrived, want = [], set()
+    for k, day in enumerate(days):
+        dois = ["10.1/x", "10.1/x", f"10.1/{k % 2}", f"10.1/n{k % 3}"]
+        known = {p.name for p in (tmp_path / "landing").glob("*.parquet")} if k else set()
+        land(spark, path, day, dois)
+        for file in (tmp_path / "landing").glob("*.parquet"):
+            if file.name not in known:
+                os.utime(file, (1_700_000_000 + 60 * k,) * 2)
+        number = None if day == "bad" else dt.date.fromisoformat(day).toordinal()
+        for doi in dois:
+            near = any(d == doi and (n is None) == (number is None) and (n is None or abs(n - number) <= 7) for d, n in arrived)
+            if not near:
+                want.add((doi, None if number is None else day))
+            arrived.append((doi, number))
+    papers = intake.paper_stream(intake.landing_stream(spark, path, per_batch), "lab")
+    intake.run_unseen(papers, out, state, keep=7)
+    rows = intake.read_unseen(spark, out, papers.schema).collect()
+    got = {(r["DOI"], r["published"] and str(r["published"])) for r in rows}
+    assert len(rows) == len(got) and got == want
+
+
+def test_a_batch_that_is_run_again_overwrites_itself(spark, tmp_path):
+    schema = f"DOI STRING, published DATE, row_id BIGINT, arrival {intake.ARRIVAL_KIND}"
+    at = (dt.datetime(2024, 1, 1), "f", 0)
+    rows = spark.createDataFrame([("a", dt.date(2024, 1, 1), 1, at), ("b", None, 2, at)], schema)
+    new, learned = intake.unseen(rows, None, "DOI", "published", 5, batch_id=4)
+    assert sorted(r["row_id"] for r in new.collect()) == [1, 2]
+    ledger = learned.withColumn("batch", F.lit(4).cast("bigint"))
+    again, _ = intake.unseen(rows, ledger, "DOI", "published", 5, batch_id=4)
+    later, _ = intake.unseen(rows, ledger, "DOI", "published", 5, batch_id=5)
+    assert again.count() == 2 and later.count() == 0
 
 
 # --- registered queries ----------------------------------------------------------------
@@ -159,7 +207,8 @@ def test_entry_returns_rows(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(ORACLE_SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -171,12 +220,12 @@ def tables():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, tables, name):
-    df = entry.queries()[name](spark, SMALL)
+    df = QUERIES[name](spark, SMALL)
     columns = sorted(df.columns)
     got = sorted((tuple(r) for r in df.select(columns).collect()), key=repr)
-    result = tables.execute(entry.oracle_sql()[name])
+    result = tables.execute(ORACLE_SQL[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     places = [names.index(c) for c in columns]

@@ -6,8 +6,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from paperwire.schema import LANDING
-from paperwire.sources import atom, landing, medline
+from paperwire.plans import digest as G
+from paperwire.schema import LANDING, JobConfig
+from paperwire.sources import atom, corpus, landing, medline
+from paperwire.sources.account import Account
 
 RUN = dt.date(2024, 1, 11)
 END, START = "2024-01-10", "2024-01-09"
@@ -300,3 +302,155 @@ def test_landed_since_keeps_every_reply_that_may_matter(spark):
     landed = spark.createDataFrame(rows, LANDING)
     kept = landing.landed_since(landed, dt.date(2024, 1, 9)).collect()
     assert sorted(r["cursor"] for r in kept) == [1, 2, 3]
+
+
+def landed_rows(spark, rows):
+    return spark.createDataFrame(rows, LANDING)
+
+
+def test_one_good_reply_per_page(spark):
+    at = [dt.datetime(2024, 1, 11, h) for h in range(6)]
+    rows = [
+        ("biorxiv", "q", 0, "a", 503, "", at[0]), ("biorxiv", "q", 0, "b", 200, "first", at[1]),
+        ("biorxiv", "q", 0, "c", 200, "second", at[2]), ("biorxiv", "q", 0, "d", 500, "", at[3]),
+        ("biorxiv", "q", 100, "e", 503, "", at[0]),
+        ("biorxiv", "q", 200, "f", 200, "third", at[1]), ("biorxiv", "r", 0, "g", 200, "other", None),
+        ("biorxiv", "q", 0, "h", 200, "later", at[5]),
+    ]
+    landed = landing.landed_until(landed_rows(spark, rows), at[4])
+    account = Account()
+
+    def urls(limit, account=None):
+        return sorted(r["url"] for r in landing.current_pages(landed, limit, account).collect())
+
+    assert urls(None) == ["c", "f", "g"]
+    assert urls(1, account) == ["c", "g"]  # a failure is no page
+    assert {k[2]: n for k, n in account.sums().items() if n} == {
+        "status 503": 2, "status 500": 1, "superseded": 1, "page limit": 1}
+    assert [r["url"] for r in landing.first_pages(landed_rows(spark, rows[:2]), 1).collect()] == ["b"]
+
+
+def test_account_of_a_run_adds_up(spark, tmp_path):
+    day = dt.datetime(2024, 1, 11)
+    bodies = [json.dumps({"collection": BIORXIV}), "not json", '{"messages": []}', None,
+              json.dumps({"collection": [biorxiv_item("10.1/u", "Lab", "x", "A", "U", "soon")]}),
+              json.dumps({"collection": [biorxiv_item("10.1/o", "Lab", "x", "A", "U", "2023-12-01")]})]
+    rows = [("biorxiv", "q", n * 100, "u", 200, b, day) for n, b in enumerate(bodies)]
+    rows += [("biorxiv", "q", 0, "u", 404, "", day), ("chemrxiv", "q", 0, "u", 200, json.dumps(CHEMRXIV), day),
+             ("arxiv", "q", 0, "u", 200, ATOM, day), ("arxiv", "q", 1, "u", 200, "<feed", day)]
+    landed = G.Landed(replies=landed_rows(spark, rows))
+    config = JobConfig(term="lab robots", term_biorxiv="Lab auto", term_chemrxiv="on the", chemrxiv_limit=1, arxiv_top=1,
+                       run_ts=dt.datetime(2024, 1, 11, 15), sources=("biorxiv", "chemrxiv", "arxiv"))
+    account = Account()
+    papers = G.land_papers(G.select_papers(landed, config, account))
+    sums = {k: n for k, n in G.settled(account).items() if n}
+    assert sums == {
+        ("biorxiv", "reply", "used"): 3, ("biorxiv", "reply", "unreadable"): 2, ("biorxiv", "reply", "no list"): 1,
+        ("biorxiv", "reply", "status 404"): 1,
+        ("biorxiv", "item", "used"): 5, ("biorxiv", "item", "seen the day before"): 1, ("biorxiv", "item", "no hit"): 1,
+        ("biorxiv", "item", "other day"): 2, ("biorxiv", "item", "undated"): 1,
+        ("chemrxiv", "reply", "used"): 1, ("chemrxiv", "item", "used"): 1, ("chemrxiv", "item", "cap"): 1,
+        ("chemrxiv", "item", "other day"): 1,
+        ("arxiv", "reply", "used"): 1, ("arxiv", "reply", "unreadable"): 1, ("arxiv", "item", "used"): 1,
+        ("arxiv", "item", "cap"): 1, ("arxiv", "item", "other day"): 1,
+    }
+    assert papers.count() == 7
+
+
+def test_the_map_of_a_reply_prunes_before_the_parse(spark, tmp_path, plan):
+    def body(*days):
+        return json.dumps({"collection": [biorxiv_item(f"10.1/{d}", "Lab", "x", "A", "U", d) for d in days]})
+
+    at = dt.datetime(2024, 1, 11)
+    texts = [body("2024-01-01"), body(END, "2024-01-01"), body("undated"), body(), "no json", body(START)]
+    rows = [("biorxiv", "q", n, "u", 200, t, at) for n, t in enumerate(texts)]
+    rows += [("chemrxiv", "q", 0, "u", 200, json.dumps(CHEMRXIV), at), ("arxiv", "q", 0, "u", 200, ATOM, at)]
+    path = str(tmp_path / "landing")
+    landing.land(landed_rows(spark, rows), path)
+    landed = landing.read_landing(spark, path)
+    day = dt.date(2024, 1, 10)
+    kept = landing.due(landed, "biorxiv", day, day, dt.datetime(2024, 1, 12))
+    assert sorted(r["cursor"] for r in kept.collect()) == [1, 2, 3, 4]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    scan = plan(landing.scan_biorxiv(kept))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = scan.split("PushedFilters")[1]
+    assert "last_day" in pushed and "fetched" in pushed
+    arxiv = [landing.due(landed, "arxiv", d, d, dt.datetime(2024, 1, 12)).count() for d in (dt.date(2024, 1, 8), day)]
+    assert arxiv == [1, 0]
+    old = landing.holding(landed_rows(spark, rows), day, day)
+    assert old.count() == len(rows)  # landed without a map
+
+
+def test_bodies_are_parsed_once(spark, tmp_path, plan, no_broadcast):
+    path = str(tmp_path / "landing")
+    replies(spark, [("biorxiv", "q", 0, "u", 200, json.dumps({"collection": BIORXIV}))]).write.parquet(path)
+    items = landing.scan_biorxiv(landing.read_landing(spark, path))
+    papers = landing.biorxiv_papers(items, "Lab auto", RUN, 1)
+    assert "from_json" not in plan(papers)  # the two days have been written
+    assert papers.count() == 5
+
+
+def test_names_of_one_part(spark):
+    hit = {"item": {"title": "On the", "abstract": "x", "doi": "d", "publishedDate": END, "authors": [
+        {"firstName": None, "lastName": "L", "institutions": []}, {"firstName": "F", "lastName": None}]}}
+    landed = replies(spark, [("chemrxiv", "q", 0, "u", 200, json.dumps({"itemHits": [hit]}))])
+    papers = landing.chemrxiv_papers(landing.scan_chemrxiv(landed), "on the", RUN, 1)
+    assert papers.first()["Authors"] == ["L", "F"]
+
+
+def test_publication_dates_without_a_day(spark, tmp_path):
+    path = tmp_path / "dates.txt"
+    dates = ["2024 Jan 8", "2024 Jan 18", "2024 Jan", "2024", "2024 Jan-Feb", "2024 Spring", "soon"]
+    path.write_text("\n\n".join(f"PMID- {n}\nTI  - T\nDP  - {d}" for n, d in enumerate(dates)))
+    got = {r["PMID"]: r["pdat"] and str(r["pdat"]) for r in medline.read_medline(spark, str(path)).collect()}
+    assert [got[str(n)] for n in range(7)] == [
+        "2024-01-08", "2024-01-18", "2024-01-01", "2024-01-01", "2024-01-01", "2024-01-01", None]
+
+
+def test_a_superseded_version_is_not_found(spark):
+    day = dt.date(2024, 1, 10)
+    rows = [("1", "lab robots", day, dt.date(2024, 1, 9)), ("1", "retracted", day, day), ("2", "lab robots", day, None),
+            ("3", "lab robots", dt.date(2024, 3, 10), None)]
+    records = spark.createDataFrame(rows, "PMID STRING, TI STRING, edat DATE, mdat DATE").withColumn("AB", F.lit(""))
+    found = medline.search(records, "lab", "edat", 1, RUN)
+    assert [r["PMID"] for r in found.collect()] == ["2"]  # nor one dated after the run
+
+
+@pytest.fixture
+def corpus_table(spark, tmp_path):
+    name = f"corpus_{tmp_path.name.replace('-', '_')}"
+    corpus.open_corpus(spark, name, str(tmp_path / "corpus"), 4)
+    yield name
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_corpus_is_kept_current(spark, corpus_table, plan, no_broadcast, tmp_path):
+    def batch(*rows):
+        corpus.upsert(spark, corpus_table, spark.createDataFrame(rows, "PMID STRING, TI STRING, edat DATE, mdat DATE"), 4)
+
+    def stored():
+        return sorted((r["PMID"], r["TI"], r["edat"] and r["edat"].day) for r in corpus.read_corpus(spark, corpus_table).collect())
+
+    d = dt.date
+    batch(("1", "a", d(2024, 1, 1), d(2024, 1, 1)), ("2", "b", d(2024, 1, 1), None), ("3", "c", d(2024, 1, 2), d(2024, 1, 5)),
+          (None, "x", d(2024, 1, 9), None), ("4", "n", None, None), ("1", "old a", d(2024, 1, 1), None))
+    assert stored() == [("1", "a", 1), ("2", "b", 1), ("3", "c", 2), ("4", "n", None)]
+    batch(("1", "a2", d(2024, 1, 3), d(2024, 1, 2)), ("3", "stale", d(2024, 1, 2), d(2024, 1, 4)), ("4", "m", d(2024, 1, 3), None))
+    batch(("2", "b2", d(2024, 1, 3), None))
+    now = [("1", "a2", 3), ("2", "b2", 3), ("3", "c", 2), ("4", "m", 3)]
+    assert stored() == now  # the first day is empty now
+    spark.sql(f"DROP TABLE {corpus_table}")
+    corpus.open_corpus(spark, corpus_table, str(tmp_path / "corpus"), 4)
+    assert stored() == now
+    records = corpus.read_corpus(spark, corpus_table)
+    ids = spark.createDataFrame([("1",), ("3",), ("9",), ("3",)], "id STRING")
+    found = medline.fetch_by_id(records, ids, current=True)
+    assert sorted(r["TI"] for r in found.collect()) == ["a2", "c"]
+    left = plan(found).split("Exchange")[0]
+    assert "Bucketed: true" in left  # the corpus comes before the only exchange, that of the ids
+    assert plan(found).count("Exchange") <= 3
+    searched = medline.search(records, "a2", "edat", 9, RUN, current=True)
+    assert "Exchange" not in plan(searched) and "edat" in plan(searched).split("PartitionFilters")[1]
+    got = medline.fetch_by_id(records, medline.search_ids(records, "b2", "edat", 9, RUN, current=True), current=True)
+    assert [r["PMID"] for r in got.collect()] == ["2"]
