@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 MAX_BLOCKS = 1000
 MAX_SHARES = 64
+# Values of a sample for each part that it is to give.
+SAMPLE = 40
 # Up to here a BIGINT and its DOUBLE are the same number.
 EXACT = 2**53
 NO_PLACE = -(2**63)
@@ -27,8 +29,8 @@ def number_rows(
     Rows are cut into blocks that follow the order, so that position = rows in earlier
     blocks + place in the block.  The cuts are quantiles of ``seq``, taken from the data
     first as a range-partitioned sort would, so a source with most of the rows is cut into
-    many blocks.  A ``seq`` that fills several quantiles by itself is a crowd of copies; if
-    ``tie`` is a number, the crowd is cut once more by ``tie``.  Any cuts give the same
+    many blocks.  A ``seq`` that fills several quantiles by itself is a crowd of copies, and is
+    cut once more by ``tie``, whatever its type.  Any cuts give the same
     positions; good ones only balance the tasks.  ``rank`` is one of a fixed list of
     sources, so the block counts to sum up and broadcast are bounded by
     ``sources * MAX_BLOCKS * MAX_SHARES / 2``, whatever the number of rows.
@@ -45,12 +47,17 @@ def number_rows(
     repeated = {c for c in found if found.count(c) > 1}
     crowds = [int(c) for c in repeated if abs(c) <= EXACT or c == NO_PLACE]
     share, later = F.lit(0.0), F.lit(False)
-    if crowds and isinstance(rows.schema[tie].dataType, NumericType):
+    if crowds:
         shares = min(blocks, MAX_SHARES)
         in_crowd = F.col("_seq").isin(crowds)
         members = placed.where(in_crowd)
-        found = members.approxQuantile(tie, _steps(shares), 0.5 / shares)
-        blocked = _bucket(blocked, tie, found, "_tie_block")
+        if isinstance(rows.schema[tie].dataType, NumericType):
+            found = members.approxQuantile(tie, _steps(shares), 0.5 / shares)
+            blocked = _bucket(blocked, tie, found, "_tie_block")
+        else:
+            splitters = F.array(*[F.lit(c) for c in _sampled_cuts(members, tie, shares)])
+            reached = F.size(F.filter(splitters.cast(f"array<{rows.schema[tie].dataType.simpleString()}>"), lambda c: c <= F.col(tie)))
+            blocked = blocked.withColumn("_tie_block", F.coalesce(reached, F.lit(0)).cast("double"))
         # A crowd is the lower bound of its block, so the block's other rows come after it.
         share, later = F.when(in_crowd, F.col("_tie_block")).otherwise(0.0), ~in_crowd
     block = F.struct("_block", later.alias("later"), share.alias("share"))
@@ -82,6 +89,17 @@ def _steps(parts: int) -> list[float]:
     return [i / parts for i in range(1, parts)]
 
 
+def _sampled_cuts(rows: DataFrame, column: str, parts: int) -> list:
+    """Values that cut ``column`` into about ``parts`` even parts, from one sample of bounded size."""
+    wanted = SAMPLE * parts
+    share = min(1.0, wanted / max(1, rows.count()))
+    part = F.pmod(F.xxhash64(F.lit("cuts"), column), F.lit(1 << 30)) < int(share * (1 << 30))
+    # Distinct, so that copies of one value, which no cut can part, do not swell the sample.
+    values = rows.where(F.col(column).isNotNull() & part).select(column).distinct()
+    found = [r[0] for r in values.orderBy(column).limit(4 * wanted).collect()]
+    return [found[len(found) * i // parts] for i in range(1, parts)] if len(found) >= parts else found[1:]
+
+
 def _bucket(rows: DataFrame, column: str, cuts: list[float], name: str) -> DataFrame:
     """Add the number of the interval between ``cuts`` that ``column`` lies in."""
     inner = sorted(set(cuts))

@@ -43,6 +43,13 @@ numbered AS (
          count(*) OVER () AS total
   FROM docs)"""
 
+# Three words of each benchmark text, of every fifth also two letters.
+SUBSCRIPTIONS = """
+pieces AS (SELECT item_id, str_split(text, ' ')[4:6] AS words FROM benchmark),
+wanted AS (
+  SELECT DISTINCT item_id, lower(unnest(words)) AS keyword FROM pieces
+  UNION SELECT item_id, lower(substr(words[1], 1, 2)) FROM pieces WHERE item_id % 5 = 0)"""
+
 # One author per line item; the label shows three at most.
 AUTHOR_LABELS = """
 author_rows AS (
@@ -317,6 +324,19 @@ WHERE contains(lower(title), '{TERM_1}') OR contains(lower(abstract), '{TERM_1}'
 {with_(DOCS)}
 SELECT doc_id, title AS "Title", source AS "Source" FROM docs
 WHERE contains(lower(title), 'of the') OR contains(lower(abstract), 'of the')""",
+    "subscription_matches": f"""
+{with_(DOCS, SUBSCRIPTIONS)},
+found AS (
+  SELECT DISTINCT doc_id, item_id FROM docs JOIN wanted
+  ON contains(lower(title), keyword) OR contains(lower(abstract), keyword))
+SELECT doc_id, count(*) AS subscriptions, CAST(sum(item_id) AS BIGINT) AS items FROM found GROUP BY doc_id""",
+    "subscription_words": rf"""
+{with_(DOCS, SUBSCRIPTIONS)},
+words AS (
+  SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(title || ' ' || abstract), '[\p{{L}}\p{{N}}]+')) AS word
+  FROM docs),
+found AS (SELECT DISTINCT doc_id, item_id FROM words JOIN wanted ON word = keyword)
+SELECT doc_id, count(*) AS subscriptions, CAST(sum(item_id) AS BIGINT) AS items FROM found GROUP BY doc_id""",
     "term_and_date": """
 SELECT event_id, user_id, event_type FROM events
 WHERE contains(lower(event_type), 'pur') AND contains(lower(event_type), 'chase')

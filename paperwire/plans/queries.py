@@ -13,7 +13,7 @@ from paperwire.functions import authors as A
 from paperwire.functions import messages as M
 from paperwire.functions import text as X
 from paperwire.functions import windows as D
-from paperwire.operators import keywords, outbox, requests
+from paperwire.operators import keywords, outbox, requests, subscriptions
 from paperwire.operators.counts import source_counts
 from paperwire.operators.joins import attach, distinct_values, keep_matching
 from paperwire.operators.numbering import number_rows, position_label
@@ -56,6 +56,26 @@ def phrase_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers.where(hit).select("doc_id", "Title", "Source")
 
 
+def _subscription_sums(found: DataFrame) -> DataFrame:
+    return found.groupBy("doc_id").agg(F.count("*").alias("subscriptions"), F.sum("item_id").alias("items"))
+
+
+def subscription_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 for a table of subscriptions: how many match each paper by a substring, short keywords among them."""
+    papers = S.document_papers(spark, sf_dir)
+    wanted = S.subscriptions(spark, sf_dir)
+    found = subscriptions.keyword_matches(papers, wanted, "doc_id")
+    return _subscription_sums(subscriptions.subscribed(found, wanted, "doc_id", "item_id"))
+
+
+def subscription_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same subscriptions by whole words."""
+    papers = S.document_papers(spark, sf_dir)
+    wanted = S.subscriptions(spark, sf_dir)
+    found = subscriptions.word_matches(papers, wanted, "doc_id")
+    return _subscription_sums(subscriptions.subscribed(found, wanted, "doc_id", "item_id"))
+
+
 def term_and_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F6 with F1: look-back window on the event time, all words of the term in the type."""
     events = S.table(spark, sf_dir, "events")
@@ -578,6 +598,8 @@ def digest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "kw_any_filter": kw_any_filter,
     "phrase_filter": phrase_filter,
+    "subscription_matches": subscription_matches,
+    "subscription_words": subscription_words,
     "term_and_date": term_and_date,
     "date_window_lookback": date_window_lookback,
     "search_ids": search_ids,

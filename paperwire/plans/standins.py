@@ -43,6 +43,14 @@ def document_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``benchmark`` as subscriptions: three words of the middle of each text, of every fifth a beginning of two letters."""
+    words = F.slice(F.split("text", " "), 4, 3)
+    short = F.when(F.col("item_id") % 5 == 0, F.array(F.substring(F.element_at(words, 1), 1, 2)))
+    few = F.concat(words, F.coalesce(short, F.array().cast("array<string>")))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(few).alias("keyword"))
+
+
 def order_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as one author per row: the supplier, with its nation as institution."""
     nations = table(spark, sf_dir, "nation").select(

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from paperwire import constants as K
 from paperwire.functions import windows as D
-from paperwire.operators import joins, keywords, outbox, requests
+from paperwire.functions import text as X
+from paperwire.operators import joins, keywords, outbox, requests, subscriptions
 from paperwire.operators.author_rows import author_labels
 from paperwire.operators.counts import source_counts
 from paperwire.operators.numbering import number_rows
@@ -109,7 +110,7 @@ def test_day_windows(spark):
         return sorted(r["d"].day for r in rows)
 
     ts = F.col("ts")
-    assert days(D.pubmed_window(ts, RUN, 1)) == [10, 11, 12, 13, 14, 15]
+    assert days(D.pubmed_window(ts, RUN, 1)) == [10, 11]
     assert days(D.arxiv_window(ts, RUN, 3)) == [8]
     assert days(D.arxiv_window(ts, RUN, 3, include_upper=True)) == [8, 9]
     assert days(D.biorxiv_window(ts, RUN, 1)) == [9, 10]
@@ -169,6 +170,29 @@ def test_numbering_splits_a_crowd_of_copies(spark, plan):
     assert max(g["count"] for g in groups) < 1600
 
 
+@pytest.mark.parametrize("kind", ["text", "null"])
+def test_numbering_splits_a_crowd_with_a_text_tie(spark, kind):
+    """3000 rows on one place, told apart by their key alone."""
+    key = F.concat(F.lit("p"), (F.col("id") * 7919 % 3001).cast("string"))
+    rows = spark.range(3000).select(
+        F.lit(0).alias("source_rank"),
+        (F.lit(None) if kind == "null" else F.lit(7)).cast("bigint").alias("source_seq"),
+        F.when(F.col("id") != 5, key).alias("paper_key"),
+    )
+    numbered = number_rows(rows, blocks=30)
+    got = numbered.orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(1, 3001))
+    keys = [r["paper_key"] or "" for r in got]
+    assert keys == sorted(keys)
+    # The position is used, so that its window stays in the plan; small partitions stay apart.
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    used = number_rows(rows, blocks=30).where(F.col("position") > 0)
+    groups = used.groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset(key)
+    assert len(groups) > 2 and max(g["count"] for g in groups) < 1700
+
+
 def test_numbering_of_nothing_and_of_one_row(spark):
     assert number_rows(papers_for_numbers(spark, [])).count() == 0
     row = number_rows(papers_for_numbers(spark, [(0, 5, "p")])).first()
@@ -251,8 +275,7 @@ def corpus(spark):
 
 
 def tfidf_spec(texts, k=10):
-    counts = [Counter(w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split()
-                      if len(w) >= 3) for t in texts]
+    counts = [Counter("".join(c if c.isalnum() else " " for c in t.lower()).split()) for t in texts]
     df = Counter(w for c in counts for w in c)
     n = sum(1 for t in texts if t)
     out = {}
@@ -281,7 +304,7 @@ def test_attach_gives_blank_where_there_is_no_summary(spark):
     papers, texts = corpus(spark)
     got = summaries(keywords.attach_summaries(papers, keywords.tfidf_keywords(papers)))
     assert len(got) == len(texts)
-    assert got["p120"] == got["p121"] == ""
+    assert (got["p120"], got["p121"]) == ("", "a, b")
 
 
 def test_default_plans_run_no_python(spark, plan):
@@ -371,3 +394,92 @@ def test_fan_out_reads_the_papers_once(spark, plan, tmp_path):
     papers = spark.read.parquet(str(tmp_path / "p"))
     rows = outbox.fan_out(papers, dt.datetime(2024, 1, 1), "label", ("teams", "line"))
     assert plan(rows).count("FileScan") == 1 and rows.count() == 4
+
+
+# --- subscriptions ---------------------------------------------------------------------
+
+
+def test_subscriptions_equal_every_pair_searched(spark, plan):
+    pick = random.Random(8)
+    texts = ["".join(pick.choices("ab cé", k=pick.randrange(0, 30))) for _ in range(150)] + ["", None, "ABBA Éc", "x" * 500 + "abc"]
+    papers = [(n, t, texts[-1 - n]) for n, t in enumerate(texts)]
+    words = ["", "a", "B", "bé", "abc", "abca", "a b", "zzz", "xxxxabc", "abba", "éc", "b  a", "cabba"]
+    df = spark.createDataFrame(papers, "paper_key BIGINT, Title STRING, Abstract STRING")
+    wanted = spark.createDataFrame([(w,) for w in [*words, "abc", None]], "keyword STRING")
+
+    def matches(words):
+        return {(n, w.lower()) for n, t, a in papers for w in words if w.lower() in (t or "").lower() or w.lower() in (a or "").lower()}
+
+    found = subscriptions.keyword_matches(df, wanted, sample=40)
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == matches(words)
+    assert "NestedLoop" not in plan(found) and "Cartesian" not in plan(found)
+    only = wanted.where("keyword = 'abca'")
+    assert {tuple(r) for r in subscriptions.keyword_matches(df, only).collect()} == matches(["abca"])
+    assert subscriptions.keyword_matches(df, wanted.limit(0)).count() == 0
+    whole = {(n, w) for n, t, a in papers for w in {x.lower() for x in words} if w and w in (t or "").lower().split() + (a or "").lower().split()}
+    by_word = subscriptions.word_matches(df, wanted)
+    assert {tuple(r) for r in by_word.collect()} == whole and "NestedLoop" not in plan(by_word)
+    subs = spark.createDataFrame([(1, "abc"), (1, "ABCA"), (2, "zzz"), (3, "")], "sub INT, keyword STRING")
+    got = {tuple(r) for r in subscriptions.subscribed(found, subs, "paper_key", "sub").collect()}
+    assert got == {(n, 1) for n, _ in matches(["abc"])} | {(n, 3) for n, _, _ in papers}
+
+
+# --- the ledger of requests --------------------------------------------------------------
+
+
+def reply(text):
+    return json.dumps({"choices": [{"message": {"content": text}}]})
+
+
+def test_requests_are_asked_until_they_are_answered(spark, tmp_path):
+    rows = [(n, f"p{n}", f"abstract {n % 7}" if n % 5 else "") for n in range(60)]
+    papers = spark.createDataFrame(rows, "row_id BIGINT, paper_key STRING, Abstract STRING")
+    path = str(tmp_path / "requests")
+    first = requests.asking(path)(papers)
+    assert {r["SummaryAbstract"] for r in first.collect()} == {""}
+    sent = spark.read.json(path)
+    asked = {r["custom_id"]: r["body"]["messages"][1]["content"] for r in sent.collect()}
+    assert sent.count() == len(asked) == 7  # equal questions once
+    assert asked.keys() == {r["request_id"] for r in requests.with_id(requests.prompt_requests(papers)).collect()}
+    known = sorted(asked)[:4]
+    replies = [(k, reply(f"words of {asked[k][-1]} ")) for k in known[:3]] + [(known[3], "{}"), (known[0], "broken")]
+    table = spark.createDataFrame(replies, "request_id STRING, body STRING")
+    second = requests.asking(path, table)(papers).collect()
+    assert {r["custom_id"] for r in spark.read.json(path).collect()} == set(asked) - set(known[:3])
+    done = {asked[k][-1] for k in known[:3]}
+    assert len(second) == 60
+    for r in second:
+        last = r["Abstract"][-1:]
+        assert r["SummaryAbstract"] == (f"words of {last}" if last in done else "")
+    everything = spark.createDataFrame([(k, reply("all")) for k in asked], "request_id STRING, body STRING")
+    assert requests.write_requests(requests.with_id(requests.prompt_requests(papers)), path, everything) == 0
+
+
+def test_request_files_have_bounded_bytes(spark, tmp_path):
+    papers = spark.range(300).select(
+        F.col("id").cast("string").alias("paper_key"), F.concat(F.lit("x" * 200), F.col("id").cast("string")).alias("Abstract")
+    ).coalesce(1)
+    path = tmp_path / "requests"
+    asked = requests.with_id(requests.prompt_requests(papers))
+    assert requests.write_requests(asked, str(path), file_bytes=20_000) == 300
+    sizes = [f.stat().st_size for f in path.glob("part-*")]
+    assert len(sizes) > 5 and max(sizes) <= 20_000
+
+
+# --- words of all scripts ----------------------------------------------------------------
+
+
+def test_words_of_spaced_and_unspaced_scripts(spark):
+    texts = ["AI AI AI ML 3D robot", "自動化ラボ用AIロボット", "データ", "私 x", "ภาษาไทย!", "", "naïve Ümlaut"]
+    want = [
+        ["ai", "ai", "ai", "ml", "3d", "robot"],
+        ["自動", "動化", "化ラ", "ラボ", "ボ用", "ai", "ロボ", "ボッ", "ット"],
+        ["デー", "ータ"], ["私", "x"], ["ภา", "าษ", "ษา", "าไ", "ไท", "ทย"], [], ["naïve", "ümlaut"],
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", X.words(F.col("t")).alias("w"))
+    got = {r["t"]: [w for w in r["w"] if w] for r in df.collect()}
+    assert [got[t] for t in texts] == want
+    papers = spark.createDataFrame([("a", texts[0]), ("b", "robot")], "paper_key STRING, Abstract STRING")
+    found = {r["paper_key"]: r["SummaryAbstract"] for r in keywords.tfidf_keywords(papers).collect()}
+    assert found["a"] == "ai, 3d, ml, robot"
