@@ -8,6 +8,7 @@ import os
 from collections import ChainMap
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.errors import PySparkException
@@ -54,11 +55,46 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def semi_filter(df: DataFrame, keys: DataFrame, on: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of ``df`` among ``keys`` if that list can be broadcast, else all: a saving only."""
-    if keys.count() > limit:
-        return df
-    return df.join(F.broadcast(keys), on, "left_semi")
+#: Bits of a sieve, the same at every size, and places a key sets. More keys than it is made for let more rows through.
+SIEVE_BITS, SIEVE_PLACES = 1 << 26, 3
+
+
+def sieve(keys: DataFrame, on: list[str]) -> Callable[[DataFrame], Column]:
+    """A test for rows with columns ``on``: true for all that are among ``keys``, and for few others.
+
+    A Bloom filter of fixed size, so that rows without a partner need not be moved to find that out. Its bits are
+    set by Spark, one sum for each word of bits; the driver and the workers hold ``SIEVE_BITS``, whatever the
+    input. What the test lets through still has to be joined.
+    """
+    on_workers(keys.sparkSession)
+
+    def places(df: DataFrame) -> list[Column]:
+        columns = [df[c] for c in on]
+        return [F.pmod(F.xxhash64(F.lit(k), *columns), F.lit(SIEVE_BITS)).cast("int") for k in range(SIEVE_PLACES)]
+
+    place = keys.select(F.explode(F.array(*places(keys))).alias("at"))
+    bit = F.expr("shiftleft(1, at & 31)")
+    words = place.groupBy(F.expr("shiftright(at, 5)").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(SIEVE_BITS // 32, np.uint32)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint32)
+    held = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def among(*at: pa.Array) -> pa.Array:
+        found = None
+        for column in at:
+            p = column.to_numpy(zero_copy_only=False)
+            hit = held.value[p >> 5] >> (p & 31).astype(np.uint32) & 1
+            found = hit if found is None else found & hit
+        return pa.array(found.astype(bool))
+
+    return lambda df: among(*places(df))
+
+
+def parted(df: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` that may be among ``keys``, and those that surely are not; ``df`` is read for each."""
+    test = sieve(keys, on)
+    return df.where(test(df)), df.where(~test(df))
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -89,13 +125,12 @@ def identified(df: DataFrame, name: str = "__row") -> DataFrame:
 def drop_rows(df: DataFrame, places: DataFrame, name: str = "__row") -> DataFrame:
     """Rows of an ``identified`` table that are not among ``places``, without that column.
 
-    The list is broadcast up to its checked bound; beyond it both sides are shuffled by place,
-    which has no repeats.
+    One plan for all sizes: rows that a sieve says are not listed stay where they are, and only the others, little
+    more than those to be dropped, are shuffled by place, which has no repeats.
     """
-    file, i = free_name(df, "__file"), free_name(df, "__i")
-    listed = places.select(F.col(f"{name}.file").alias(file), F.col(f"{name}.i").alias(i))
-    gone = bounded(checkpointed(listed))
-    return df.join(gone, (F.col(f"{name}.file") == F.col(file)) & (F.col(f"{name}.i") == F.col(i)), "left_anti").drop(name)
+    listed = checkpointed(places.select(name))
+    maybe, kept = parted(df, listed, [name])
+    return kept.unionByName(maybe.join(listed.hint("shuffle_hash"), name, "left_anti").select(df.columns)).drop(name)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
