@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperwire.llm.common import BROADCAST_ROWS, checkpointed, on_workers, semi_filter
+from paperwire.llm.common import checkpointed, forget_at_new_stage, on_workers, parted
+from paperwire.session import write_once
 
 #: Words of a window that must repeat; words of a seed.
 LENGTH, SEED = 50, 8
@@ -99,6 +100,7 @@ def seeds(text: Column, length: int = LENGTH, seed: int = SEED) -> Column:
 
     @F.arrow_udf(kind)
     def found(texts: pa.Array) -> pa.Array:
+        forget_at_new_stage(_words.cache_clear)
         columns, ends = [[np.empty(0, np.int64)] for _ in range(3)], [0]
         for text in texts:
             words = _text_words(text)
@@ -121,6 +123,7 @@ def windows(text: Column, spans: Column, length: int = LENGTH) -> Column:
 
     @F.arrow_udf(kind)
     def found(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        forget_at_new_stage(_words.cache_clear)
         hashes, rests, ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [0]
         for text, some in zip(texts, lists):
             words = _hashed(_text_words(text))
@@ -142,12 +145,12 @@ def _keyed(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def repeats(df: DataFrame, text: str = "text", length: int = LENGTH, seed: int = SEED, limit: int = BROADCAST_ROWS) -> DataFrame:
+def repeats(df: DataFrame, text: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """``_id``, ``_hash``, ``spans``: for each row with any, the windows that a smaller id holds too."""
     on_workers(df.sparkSession)
     rows = _keyed(df, text)
     found = rows.select("_id", "_hash", F.explode(seeds(F.col("_text"), length, seed)).alias("_s"))
-    found = checkpointed(found.select("_id", "_hash", "_s.*"))
+    found = write_once(found.select("_id", "_hash", "_s.*"), "stretches")
     # One row for each different stretch of a seed, with the least and greatest id that has it.
     kinds = found.groupBy("seed", "stretch").agg(F.min("_id").alias("least"), F.max("_id").alias("most"))
     kinds = kinds.repartition("seed")
@@ -159,10 +162,10 @@ def repeats(df: DataFrame, text: str = "text", length: int = LENGTH, seed: int =
     # The least id of a stretch stands for it where other stretches of the seed may hold some of its windows.
     ask = met.where("_id = least").groupBy("_id", "_hash").agg(F.collect_set("span").alias("spans"))
     ask = checkpointed(ask)
-    read = semi_filter(rows, ask.select("_id", "_hash"), ["_id", "_hash"], limit)
+    read, _ = parted(rows, ask, ["_id", "_hash"])
     asked = read.join(ask.hint("shuffle_hash"), ["_id", "_hash"])
     held = asked.select("_id", "_hash", F.explode(windows(F.col("_text"), F.col("spans"), length)).alias("_w"))
-    held = checkpointed(held.select("_id", "_hash", "_w.*"))
+    held = write_once(held.select("_id", "_hash", "_w.*"), "windows")
     window = [F.col("hash"), F.expr("shiftright(rest, 32)").alias("more")]
     least = held.groupBy(*window).agg(F.min("_id").alias("least"), F.max("_id").alias("most")).where("least < most")
     part = held.select("_id", "_hash", *window, F.expr("rest & 4294967295").alias("at"))
@@ -177,6 +180,7 @@ def cut_repeats(text: Column, spans: Column, length: int = LENGTH) -> Column:
 
     @F.arrow_udf(kind)
     def made(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        forget_at_new_stage()
         rows = []
         for text, some in zip(texts, lists):
             words = _text_words(text)
@@ -202,21 +206,18 @@ def cut_repeats(text: Column, spans: Column, length: int = LENGTH) -> Column:
     return made(text.cast("binary"), spans)
 
 
-def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, seed: int = SEED, limit: int = BROADCAST_ROWS) -> DataFrame:
+def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """``doc_id`` and for each row ``n_words``, ``n_removed``, ``cut`` (maximal repeats) and ``kept`` (bytes of the words left).
 
     A word goes if a window over it also starts in a row with a smaller id; all is judged on the input. NULL
     counts as no words; NULL ids come last and do not take from each other; repeated ids do not either.
-    Texts shorter than a window are never cut. Rows with nothing to cut, if the others
-    are few enough to be broadcast, do not pass the shuffle. Other columns are not read.
+    Texts shorter than a window are never cut; very long ones are hashed in one piece of up to 2^30 words; an empty
+    table stays empty. Windows are equal if 96 bits of their hash are, stretches if 64 bits and the seed's are: a
+    bound on error far below that of the hardware, not a comparison of words. A text passes the
+    shuffle only if it may have something to cut, at every size. Other columns are not read.
     """
-    found = checkpointed(repeats(df, text, length, seed, limit))
-    rows, keys = _keyed(df, text), found.select("_id", "_hash")
-    if found.count() <= limit:
-        near = F.broadcast(keys)
-        plain = rows.join(near, ["_id", "_hash"], "left_anti").withColumn("spans", F.lit(None).cast("array<bigint>"))
-        rows = rows.join(near, ["_id", "_hash"], "left_semi").join(found.hint("shuffle_hash"), ["_id", "_hash"])
-        rows = plain.unionByName(rows)
-    else:
-        rows = rows.join(found.hint("shuffle_hash"), ["_id", "_hash"], "left")
+    found = checkpointed(repeats(df, text, length, seed))
+    maybe, plain = parted(_keyed(df, text), found, ["_id", "_hash"])
+    plain = plain.withColumn("spans", F.lit(None).cast("array<bigint>"))
+    rows = plain.unionByName(maybe.join(found.hint("shuffle_hash"), ["_id", "_hash"], "left").select(plain.columns))
     return rows.select("doc_id", cut_repeats(F.col("_text"), F.col("spans"), length).alias("_c")).select("doc_id", "_c.*")
