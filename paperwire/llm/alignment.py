@@ -7,8 +7,8 @@ Offsets where tokens of both end cut the text into groups; tokens whose bytes ov
 
 Both tokenizers begin anew where white space follows other text, so a text is cut there first. Segments are encoded
 once for as long as a worker remembers them; the alignment of a text is that of its segments laid end to end.
-How often a pair of ids is linked over the corpus is counted by Spark, and looked up again in
-blocks of pairs of bounded size.
+The pairs of ids that a text links are written, counted over the corpus by Spark, and looked up again in blocks of
+bounded size.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import hashlib
 import os
 import re
 import uuid
-from collections import Counter
 from functools import lru_cache
 from itertools import accumulate
 
@@ -32,12 +31,10 @@ from paperwire.session import write_once
 
 BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-#: Ids of the second tokenizer stay below this; a pair of ids is one number.
-SPAN = 1 << 20
-#: Pairs looked up at once (16 bytes each); pairs a task adds up before it hands them on.
-BLOCK, HELD = 4_000_000, 500_000
+#: Pairs looked up at once (about 16 bytes each).
+BLOCK = 4_000_000
 #: Bytes of segments a worker remembers; texts that look for new ones together; longest segment remembered.
-MEMORY, TEXTS, LONGEST = 96 << 20, 200, 1024
+MEMORY, TEXTS, LONGEST = 64 << 20, 200, 1024
 #: A run of white space and what follows, up to the next blank or line feed; other white space stays inside.
 SEGMENT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 
@@ -97,9 +94,6 @@ class Aligned:
             i, j = x, y
         return ";".join(out)
 
-    def keys(self) -> np.ndarray:
-        return np.array([self.a[i] * SPAN + self.b[j] for i, j in self.links], np.int64)
-
 
 class Aligner:
     """Both tokenizers and the bytes of their tokens."""
@@ -116,7 +110,7 @@ class Aligner:
         names = self.a.get_vocab(with_added_tokens=True)
         self.a_bytes = {i: bytes(alphabet[c] for c in name) if all(c in alphabet for c in name) else name.encode() for name, i in names.items()}
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.blank = self.b.piece_to_id("▁")
+        self.blank, self.span = self.b.piece_to_id("▁"), self.b.get_piece_size()
         ordinary = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_byte(i)]
         #: Whether no piece goes on over a blank or holds a line feed, so that texts may be cut there.
         self.separable = not any("▁" in p.lstrip("▁") or "\n" in p for p in ordinary)
@@ -167,111 +161,95 @@ def _remembered(name: str) -> Remembered:
     return Remembered(MEMORY, LONGEST)
 
 
-def _texts(batches, tool: Aligner):
-    """Batches in runs of a few texts: the batch, first and last row, and the segments of each text."""
-    for batch in batches:
-        texts = batch.column(0)
-        for at in range(0, batch.num_rows, TEXTS):
-            yield batch, at, [tool.segments(t.as_py()) if t.is_valid and t.as_py() else [] for t in texts[at : at + TEXTS]]
-
+def _encoded(tool: Aligner, segments: list[str], kind: type) -> list[tuple[bytes, bytes, bytes]]:
+    """Of each segment four numbers, the pairs of its links and its groups as text; nothing where the bytes differ."""
+    out = []
+    for x in tool.align(segments):
+        if not x.fits:
+            out.append(())
+            continue
+        numbers = np.array([len(x.a), len(x.b), len(x.groups), len(x.links)], np.int64)
+        out.append((numbers.tobytes(), np.array([x.a[i] * tool.span + x.b[j] for i, j in x.links], kind).tobytes(), x.text().encode()))
+    return out
 
-def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    found, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return found, np.bincount(place, np.concatenate(counts), len(found)).astype(np.int64)
 
+def aligned_texts(df: DataFrame, text: str = "text", byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
+    """``doc_id``, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``groups_sha256`` and ``links``, the pair of ids of each link.
 
-def pair_counts(df: DataFrame, text: str = "text", byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
-    """``key``, ``b``, ``n``: how many links over all texts hold each pair of ids."""
+    A pair is one number: the first id times the size of the second vocabulary, plus the second id.
+    """
     on_workers(df.sparkSession)
+    tool = aligner(byte_level, pieces)
+    small = tool.span * (max(tool.a_bytes) + 1) < 1 << 31
 
-    def counted(batches):
+    def encoded(batches):
         tool, name = aligner(byte_level, pieces), uuid.uuid4().hex
         forget_at_new_stage(_remembered.cache_clear)
-        known = _remembered(name)
-
-        def make(segments: list[str]) -> list[bytes]:
-            return [x.keys().tobytes() if x.fits else b"-" for x in tool.align(segments)]
-
-        keys, counts = [np.empty(0, np.int64)], [np.empty(0)]
-        for _, _, lists in _texts(batches, tool):
-            found = known.get(lists, make)
-            uses: Counter[str] = Counter()
-            for segments in lists:
-                if b"-" not in map(found.__getitem__, segments):
-                    uses.update(segments)
-            links = [np.frombuffer(found[s], np.int64) for s in uses]
-            if links:
-                keys.append(np.concatenate(links))
-                counts.append(np.repeat(np.fromiter(uses.values(), float, len(uses)), list(map(len, links))))
-            if sum(map(len, keys)) >= 4 * HELD:
-                some, sums = _added(keys, counts)
-                keys, counts = [some], [sums.astype(float)]
-                if len(some) >= HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums)], ["key", "n"])
-                    keys, counts = [np.empty(0, np.int64)], [np.empty(0)]
-        some, sums = _added(keys, counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums)], ["key", "n"])
-
-    rows = df.select(F.col(text).alias("text")).mapInArrow(counted, "key bigint, n bigint")
-    return rows.groupBy("key").agg(F.sum("n").alias("n")).withColumn("b", F.col("key") % SPAN)
-
-
-def _lookup(rows: DataFrame, block: pa.Table, first: bool, byte_level: str, pieces: str) -> DataFrame:
-    """Adds what the links of each row come to by a block of pairs (``_best``, ``_sum``), and with the first what no count is needed for."""
+        known, kind = _remembered(name), np.int32 if small else np.int64
+        for batch in batches:
+            texts = batch.column(1)
+            for at in range(0, batch.num_rows, TEXTS):
+                some = texts[at : at + TEXTS]
+                lists = [tool.segments(t.as_py()) if t.is_valid and t.as_py() else [] for t in some]
+                found = known.get(lists, lambda segments: _encoded(tool, segments, kind))
+                totals, links, ends, digests = np.zeros((len(lists), 4), np.int64), [], [0], []
+                for row, segments in enumerate(lists):
+                    values = list(map(found.__getitem__, segments))
+                    if not values or () in values:  # no tokens
+                        digests.append("")
+                        ends.append(ends[-1])
+                        continue
+                    numbers, pairs, groups = zip(*values)
+                    totals[row] = np.frombuffer(b"".join(numbers), np.int64).reshape(-1, 4).sum(axis=0)
+                    links.append(b"".join(pairs))
+                    ends.append(ends[-1] + int(totals[row, 3]))
+                    digests.append(hashlib.sha256(b";".join(groups)).hexdigest())
+                pairs = pa.array(np.frombuffer(b"".join(links), kind))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(at, len(lists)),
+                        *(pa.array(totals[:, k]) for k in range(4)),
+                        pa.array(digests, pa.string()),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
+                    ],
+                    ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"],
+                )
+
+    rows = df.select("doc_id", F.col(text).alias("text"))
+    numbers = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {numbers}, links array<{'int' if small else 'bigint'}>"
+    return rows.mapInArrow(encoded, schema)
+
+
+def pair_counts(rows: DataFrame, span: int) -> DataFrame:
+    """``key``, ``n``, ``best``: how many links of ``rows`` hold each pair, and whether it is the most common of its second id."""
+    counts = checkpointed(rows.select(F.explode("links").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    counts = counts.withColumn("b", F.col("key") % span)
+    most = counts.groupBy(F.col("b").alias("_b")).agg(F.max("n").alias("_most"))  # a row per id of a vocabulary
+    return counts.join(F.broadcast(most), F.col("b") == F.col("_b")).select("key", "n", (F.col("n") == F.col("_most")).alias("best"))
+
+
+def _looked_up(rows: DataFrame, block: pa.Table) -> DataFrame:
+    """Adds to ``n_best`` and ``count_sum`` what the links of each row come to by a block of pairs."""
     held = rows.sparkSession.sparkContext.broadcast(tuple(block.column(c).to_numpy() for c in ("key", "n", "best")))
-    name = uuid.uuid4().hex
-    own = [f for f in rows.schema.fields if f.name not in ("_best", "_sum")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
-    if first:
-        schema += ", n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
-    schema += ", _best bigint, _sum bigint"
-
-    def looked(batches):
-        tool = aligner(byte_level, pieces)
-        forget_at_new_stage(_remembered.cache_clear)
-        known, (keys, n, best) = _remembered(name), held.value
-
-        def make(segments: list[str]) -> list[bytes]:
-            """Six numbers of each segment, then its groups as text."""
-            found = tool.align(segments)
-            links = [x.keys() for x in found]
-            asked = np.concatenate(links) if links else np.empty(0, np.int64)
-            at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
-            hit = keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
-            ends = np.cumsum([0, *map(len, links)])
-            sums = np.append(0, np.cumsum(np.where(hit, n[at], 0) if len(keys) else asked * 0))[ends]
-            bests = np.append(0, np.cumsum(hit & best[at] if len(keys) else hit))[ends]
-            out = []
-            for k, x in enumerate(found):
-                if not x.fits:
-                    out.append(b"-")
-                    continue
-                numbers = len(x.a), len(x.b), len(x.groups), len(x.links), bests[k + 1] - bests[k], sums[k + 1] - sums[k]
-                out.append(np.array(numbers, np.int64).tobytes() + x.text().encode())
-            return out
-
-        none = np.zeros((1, 6), np.int64)
-        for batch, at, lists in _texts(batches, tool):
-            found, totals, digests = known.get(lists, make), [], []
-            for segments in lists:
-                values = list(map(found.__getitem__, segments))
-                if not values or b"-" in values:
-                    totals.append(none[0])
-                    digests.append("")
-                    continue
-                totals.append(np.frombuffer(b"".join([v[:48] for v in values]), np.int64).reshape(-1, 6).sum(axis=0))
-                digests.append(hashlib.sha256(b";".join([v[48:] for v in values])).hexdigest())
-            totals = np.array(totals) if totals else none[:0]
-            part = batch.slice(at, len(lists))
-            arrays = [part.column(f.name) for f in own]
-            if first:
-                arrays += [*(pa.array(totals[:, k]) for k in range(4)), pa.array(digests, pa.string())]
-            before = [part.column(c).to_numpy() if c in part.schema.names else 0 for c in ("_best", "_sum")]
-            arrays += [pa.array(totals[:, 4] + before[0]), pa.array(totals[:, 5] + before[1])]
-            names = [f.name for f in own] + ["n_a", "n_b", "n_groups", "n_links", "groups_sha256"] * first + ["_best", "_sum"]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    return rows.mapInArrow(looked, schema)
+
+    @F.arrow_udf("struct<best: bigint, sum: bigint>")
+    def sums(lists: pa.Array) -> pa.Array:
+        forget_at_new_stage()
+        keys, n, best = held.value
+        lists = pa.concat_arrays([lists])
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        asked = lists.values.to_numpy()[ends[0] : ends[-1]]
+        at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+        hit = keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
+        found = []
+        for values in (hit & best[at], np.where(hit, n[at], 0)) if len(keys) else (hit, hit):
+            running = np.append(0, np.cumsum(values, dtype=np.int64))[ends - ends[0]]
+            found.append(pa.array(np.diff(running)))
+        return pa.StructArray.from_arrays(found, ["best", "sum"])
+
+    made = rows.withColumn("_sums", sums(F.col("links")))
+    return made.withColumns({"n_best": F.col("n_best") + F.col("_sums.best"), "count_sum": F.col("count_sum") + F.col("_sums.sum")}).drop("_sums")
 
 
 def align(df: DataFrame, text: str = "text", block: int = BLOCK, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
@@ -279,21 +257,17 @@ def align(df: DataFrame, text: str = "text", block: int = BLOCK, byte_level: str
 
     A NULL or empty text, and one whose tokens' bytes are not its own, has no tokens: zeros and an empty
     digest, and it adds nothing to the counts. Very long texts are aligned segment by segment; repeated rows
-    each count; NULL ids stay; an empty table stays empty. Other columns are not read. The counted
-    pairs are at most the product of the vocabularies; ``block`` of them are held at a time, and with more
-    the texts are read once for each block.
+    each count; NULL ids stay; an empty table stays empty. Other columns are not read. Texts are read and
+    encoded once; their links are written, counted and looked up. The counted pairs are at most the product of
+    the vocabularies; ``block`` of them are held at a time, and with more the links are read once for each block.
     """
-    on_workers(df.sparkSession)
-    counts = checkpointed(pair_counts(df, text, byte_level, pieces))
-    most = counts.groupBy(F.col("b").alias("_b")).agg(F.max("n").alias("_most"))  # a row per id of a vocabulary
-    counts = counts.join(F.broadcast(most), F.col("b") == F.col("_b")).select("key", "n", (F.col("n") == F.col("_most")).alias("best"))
+    rows = write_once(aligned_texts(df, text, byte_level, pieces), "links")
+    counts = checkpointed(pair_counts(rows, aligner(byte_level, pieces).span))
     blocks = max(1, -(-counts.count() // block))
-    rows = df.select(F.col(text).alias("text"), "doc_id")
+    rows = rows.withColumns({"n_best": F.lit(0).cast("bigint"), "count_sum": F.lit(0).cast("bigint")})
     for k in range(blocks):
         table = counts.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k).toArrow().sort_by("key")
-        rows = _lookup(rows, table, k == 0, byte_level, pieces)
+        rows = _looked_up(rows, table)
         if k + 1 < blocks:
-            rows = write_once(rows, "aligned")
-    return rows.select(
-        "doc_id", "n_a", "n_b", "n_groups", "n_links", F.col("_best").alias("n_best"), F.col("_sum").alias("count_sum"), "groups_sha256"
-    )
+            rows = write_once(rows, "links")
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -218,8 +218,8 @@ class Remembered:
     """What a worker has worked out for its latest words, in two generations of bounded size.
 
     Words that still come up move to the young generation when it is full; the rest are forgotten, and worked
-    out again if need be. A generation holds about ``limit`` bytes: keys, values (as bytes) and what Python
-    adds to each. Words longer than ``longest`` characters are worked out each time. A bound on memory
+    out again if need be. A generation holds about ``limit`` bytes: keys, values (bytes, or tuples of them) and what
+    Python adds to each. Words longer than ``longest`` characters are worked out each time. A bound on memory
     alone: answers do not depend on it.
     """
 
@@ -238,7 +238,8 @@ class Remembered:
     def _keep(self, found) -> None:
         for word, value in found:
             self.young[word] = value
-            self.held += self.ENTRY + len(word) + len(value)
+            size = len(value) if isinstance(value, bytes) else sum(map(len, value)) + 56 * (len(value) + 1)
+            self.held += self.ENTRY + len(word) + size
 
     def get(self, lists: list, make) -> dict:
         """A dictionary that has all words of the lists; ``make`` takes a list of new ones and gives their values."""
