@@ -35,6 +35,8 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BLOCK = 4_000_000
 #: Bytes of segments a worker remembers; texts that look for new ones together; longest segment remembered.
 MEMORY, TEXTS, LONGEST = 64 << 20, 200, 1024
+#: Segments encoded as one text.
+JOINED = 4000
 #: A run of white space and what follows, up to the next blank or line feed; other white space stays inside.
 SEGMENT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 
@@ -161,16 +163,88 @@ def _remembered(name: str) -> Remembered:
     return Remembered(MEMORY, LONGEST)
 
 
+def _byte_ends(ends: list[int], data: str, size: int) -> np.ndarray:
+    """Byte offsets of character offsets."""
+    if len(data) == size:
+        return np.array(ends, np.int64)
+    points = np.frombuffer(data.encode("utf-32-le"), np.uint32)
+    width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+    return np.append(0, np.cumsum(width))[ends]
+
+
+def _refined(spans: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray | None:
+    """Byte offset at which each token ends: that of its span, or inside a character that of its decoded bytes.
+
+    None if the cuts do not fit together: every span must end where some token's bytes do.
+    """
+    decoded = np.cumsum(lengths)
+    if not len(decoded) or decoded[-1] != size or not np.isin(spans, decoded).all():
+        return None
+    return np.where(spans == decoded, spans, decoded)
+
+
+def _joined(tool: Aligner, segments: list[str], kind: type) -> list[tuple[bytes, bytes, bytes]] | None:
+    """What ``_encoded`` gives, for segments laid end to end and encoded as one text; None if bytes differ anywhere.
+
+    Each segment but the first begins with white space behind other text, where both tokenizers begin anew.
+    """
+    data = "".join(segments)
+    raw = data.encode()
+    a = tool.a.encode(data, add_special_tokens=False)
+    proto = tool.b.encode(data[1:] if data[0] == " " else data, return_type="proto")
+    b, b_ends = [p.id for p in proto.pieces], [p.end for p in proto.pieces]
+    if data[0] != " ":  # the blank that is put before a line feed
+        b, b_ends = b[1:], b_ends[1:]
+    a_bytes, b_bytes = list(map(tool.a_bytes.__getitem__, a.ids)), list(map(tool.b_bytes.__getitem__, b))
+    if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
+        return None
+    b_spans = np.array(b_ends, np.int64) + (data[0] == " ")
+    a_ends = _refined(_byte_ends([end for _, end in a.offsets], data, len(raw)), np.fromiter(map(len, a_bytes), np.int64, len(a_bytes)), len(raw))
+    b_ends = _refined(b_spans, np.fromiter(map(len, b_bytes), np.int64, len(b_bytes)), len(raw))
+    if a_ends is None or b_ends is None:
+        return None
+    # Between two neighbouring ends, of either tokenizer, lies one link.
+    ends, both = np.union1d(a_ends, b_ends), np.intersect1d(a_ends, b_ends)
+    pairs = np.array(a.ids, np.int64)[np.searchsorted(a_ends, ends)] * tool.span + np.array(b, np.int64)[np.searchsorted(b_ends, ends)]
+    pairs = pairs.astype(kind)
+    a_text, b_text = list(map(str, a.ids)), list(map(str, b))
+    a_cut, b_cut = (np.searchsorted(e, both, "right").tolist() for e in (a_ends, b_ends))
+    groups, i, j = [], 0, 0
+    for x, y in zip(a_cut, b_cut):
+        groups.append(f"{a_text[i]}|{b_text[j]}" if x - i == y - j == 1 else f"{','.join(a_text[i:x])}|{','.join(b_text[j:y])}")
+        i, j = x, y
+    # The ends of the segments are ends of both; what lies between two of them is one segment's.
+    edges = np.cumsum([len(s) if s.isascii() else len(s.encode()) for s in segments])
+    cut = np.array([np.searchsorted(e, edges, "right") for e in (a_ends, b_ends, both, ends)]).T
+    numbers = np.diff(cut, axis=0, prepend=0)
+    links, places = np.cumsum(numbers[:, 3]).tolist(), cut[:, 2].tolist()
+    out, l, g = [], 0, 0
+    numbers, size = numbers.astype(np.int64), pairs.itemsize
+    packed, flat = numbers.tobytes(), pairs.tobytes()
+    for k, (m, h) in enumerate(zip(links, places)):
+        out.append((packed[32 * k : 32 * k + 32], flat[l * size : m * size], ";".join(groups[g:h]).encode()))
+        l, g = m, h
+    return out
+
+
 def _encoded(tool: Aligner, segments: list[str], kind: type) -> list[tuple[bytes, bytes, bytes]]:
     """Of each segment four numbers, the pairs of its links and its groups as text; nothing where the bytes differ."""
-    out = []
-    for x in tool.align(segments):
-        if not x.fits:
-            out.append(())
-            continue
+    found: dict[str, tuple] = {}
+    whole = [s for s in segments if tool.separable and not s[-1].isspace()]
+    todo = [whole[at : at + JOINED] for at in range(0, len(whole), JOINED)]
+    while todo:
+        some = todo.pop()
+        made = _joined(tool, some, kind) if len(some) > 8 else None
+        if made is not None:
+            found.update(zip(some, made))
+        elif len(some) > 8:  # some bytes differ: find out where
+            todo += [some[: len(some) // 2], some[len(some) // 2 :]]
+    rest = [s for s in segments if s not in found]
+    for segment, x in zip(rest, tool.align(rest) if rest else ()):
         numbers = np.array([len(x.a), len(x.b), len(x.groups), len(x.links)], np.int64)
-        out.append((numbers.tobytes(), np.array([x.a[i] * tool.span + x.b[j] for i, j in x.links], kind).tobytes(), x.text().encode()))
-    return out
+        links = np.array([x.a[i] * tool.span + x.b[j] for i, j in x.links], kind)
+        found[segment] = (numbers.tobytes(), links.tobytes(), x.text().encode()) if x.fits else ()
+    return list(map(found.__getitem__, segments))
 
 
 def aligned_texts(df: DataFrame, text: str = "text", byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
