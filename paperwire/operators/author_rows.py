@@ -10,35 +10,49 @@ from paperwire.functions.authors import short_list, with_institution
 from paperwire.functions.text import let
 
 
+# Parts that the authors of one key are first cut into.
+SALTS = 8
+
+
 def author_labels(authors: DataFrame, key: str, *order: str) -> DataFrame:
     """``key, authors, author_label`` from rows ``key, name, institution``.
 
-    The label shows three authors at most: the first ones, or the first two and the last.
-    Only those and the count are gathered, whatever the number of authors of one key, and
-    both are cut down in each task before the shuffle.
+    The label shows three authors at most: the first ones, or the first two and the last.  So a
+    summary of four rows will do, and summaries of parts merge into that of the whole: the first
+    three, and the last, whose place is the count.  Each key is summed up in ``SALTS`` parts, so that no
+    task sees all authors of a large one, and the few rows that are left meet by key.  The input
+    is read once.
     """
-    place = (*order, "name", "institution")
+    place = F.struct(*order, "name", "institution")
     named = authors.select(
-        key, *place, with_institution(F.col("name"), F.col("institution")).alias("named")
-    )
-    first = F.row_number().over(Window.partitionBy(key).orderBy(*place))
-    heads = (
-        named.select(key, "named", first.alias("place"))
-        .where(F.col("place") <= 3)
-        .groupBy(key)
-        # Three rows per key at most.
-        .agg(F.sort_array(F.collect_list(F.struct("place", "named"))).alias("heads"))
+        key,
+        place.alias("place"),
+        with_institution(F.col("name"), F.col("institution")).alias("named"),
+        F.pmod(F.xxhash64(place), F.lit(SALTS)).alias("part"),
     )
-    tails = named.groupBy(key).agg(
-        F.count("*").alias("authors"), F.max_by("named", F.struct(*place)).alias("tail")
+    first, is_last = F.row_number(), F.lead(F.lit(1)).over
+    in_part = Window.partitionBy(key, "part").orderBy("place")
+    parts = named.select(
+        key, "place", "named", first.over(in_part).alias("n"), is_last(in_part).isNull().alias("last")
+    ).where("n <= 3 OR last")
+    in_key, of_key = Window.partitionBy(key).orderBy("place"), Window.partitionBy(key)
+    shown = parts.select(
+        key,
+        F.struct(first.over(in_key).alias("at"), "named").alias("shown"),
+        is_last(in_key).isNull().alias("tail"),
+        F.sum(F.when(F.col("last"), F.col("n"))).over(of_key).alias("authors"),
+    ).where("shown.at <= 3 OR tail")
+    # Four rows per key at most, already partitioned by it.
+    names = shown.groupBy(key).agg(
+        F.first("authors").cast("bigint").alias("authors"),
+        F.sort_array(F.collect_list("shown"))["named"].alias("names"),
     )
-    shown = F.when(
+    label = F.when(
         F.col("authors") > 3,
-        F.concat(F.slice(F.col("heads")["named"], 1, 2), F.array("tail")),
-    ).otherwise(F.col("heads")["named"])
-    # Both sides are already partitioned by the key.
-    return heads.join(tails, key).select(
+        F.concat(F.slice(F.col("names"), 1, 2), F.array(F.element_at("names", -1))),
+    ).otherwise(F.col("names"))
+    return names.select(
         key,
         "authors",
-        let(shown, lambda names: short_list(names, F.col("authors"))).alias("author_label"),
+        let(label, lambda few: short_list(few, F.col("authors"))).alias("author_label"),
     )

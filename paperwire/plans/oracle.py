@@ -417,6 +417,10 @@ SELECT event_id,
        strftime(ts, '%Y%m%d') AS day
 FROM events""",
     "medline_scan": medline(UNFOLDED),
+    "blank_abstracts": rf"""
+SELECT CAST(doc_id AS VARCHAR) AS "PMID",
+       CASE WHEN doc_id % 7 = 0 THEN '' ELSE {UNFOLDED} END AS "Abstract", doc_id % 7 <> 0 AS asked
+FROM documents""",
     "atom_scan": f"""
 {with_(TURNS)}
 SELECT id, day, title AS "Title", authors AS "Authors", 'arXiv' AS "Source",

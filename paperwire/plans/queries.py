@@ -279,6 +279,16 @@ def medline_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(medline.medline_papers(medline.read_medline(spark, path)))
 
 
+def blank_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5, E5: of every seventh record the abstract is missing; it gives a blank one and no request."""
+    records = S.document_records(spark, sf_dir)
+    blank = records.withColumn("AB", F.when(F.col("PMID").cast("bigint") % 7 != 0, F.col("AB")).otherwise(""))
+    papers = write_once(medline.medline_papers(medline.read_medline(spark, S.write_medline(blank))), "papers")
+    asked = requests.prompt_requests(papers).select("paper_key", F.lit(True).alias("asked"))
+    marked = attach(papers, asked, "paper_key", "paper_key")
+    return marked.select("PMID", "Abstract", F.coalesce("asked", F.lit(False)).alias("asked"))
+
+
 def atom_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns landed as Atom feeds and read back."""
     path = S.write_landing(S.turn_replies(spark, sf_dir))
@@ -616,6 +626,7 @@ QUERIES: dict[str, Query] = {
     "strip_text": strip_text,
     "jst_header": jst_header,
     "medline_scan": medline_scan,
+    "blank_abstracts": blank_abstracts,
     "atom_scan": atom_scan,
     "landing_rejects": landing_rejects,
     "landing_pages": landing_pages,

@@ -136,11 +136,12 @@ def write_medline(records: DataFrame) -> str:
     def folded(value: Column) -> Column:
         return F.regexp_replace(F.trim(value), r"\s*\n\s*", "\n      ")
 
+    none = F.array().cast("array<string>")
     authors = F.transform("AU", lambda v: tagged("AU", v))
     addresses = F.transform("AD", lambda v: tagged("AD", v))
     lines = F.concat(
         F.array(tagged("PMID", F.col("PMID")), tagged("TI", F.col("TI"))),
-        F.array(tagged("AB", folded(F.col("AB")))),
+        F.when(F.col("AB") != "", F.array(tagged("AB", folded(F.col("AB"))))).otherwise(none),
         authors,
         addresses,
         F.array(

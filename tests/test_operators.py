@@ -396,6 +396,21 @@ def test_fan_out_reads_the_papers_once(spark, plan, tmp_path):
     assert plan(rows).count("FileScan") == 1 and rows.count() == 4
 
 
+def test_author_labels_read_their_input_once(spark, plan, no_broadcast, tmp_path):
+    """Also a key with very many authors, and places alike."""
+    rows = [(1, n, f"a{n:05}", "") for n in range(3000)] + [(2, 1, "b", "U"), (2, 1, "b", "U"), (3, 2, "d", None), (3, 1, "c", "V")]
+    rows += [(4, n, f"e{n}", "W" if n == 3 else "") for n in range(4)] + [(5, n, f"f{n}", "") for n in range(3)]
+    path = str(tmp_path / "authors")
+    spark.createDataFrame(rows, "k INT, seq INT, name STRING, institution STRING").repartition(5).write.parquet(path)
+    made = author_labels(spark.read.parquet(path), "k", "seq")
+    got = {r["k"]: (r["authors"], r["author_label"]) for r in made.collect()}
+    assert got == {
+        1: (3000, "a00000, a00001 ... a02999"), 2: (2, "b (U), b (U)"), 3: (2, "c (V), d"), 4: (4, "e0, e1 ... e3 (W)"),
+        5: (3, "f0, f1, f2"),
+    }
+    assert plan(made).count("FileScan") == 1
+
+
 # --- subscriptions ---------------------------------------------------------------------
 
 
