@@ -436,7 +436,7 @@ FROM events WHERE event_type IN ('error', 'signup') GROUP BY ALL""",
     "landing_current": f"""
 {with_(UNEVEN)}
 SELECT CAST(CAST(fetched AS DATE) AS VARCHAR) AS query_key, event_id AS cursor,
-       200 AS status, fetched_at AS fetched, body
+       CAST(200 AS BIGINT) AS status, strftime(fetched_at, '%Y-%m-%d %H:%M') AS fetched, body
 FROM current
 QUALIFY row_number() OVER (PARTITION BY CAST(fetched AS DATE) ORDER BY event_id) <= 3""",
     "landing_account": f"""
@@ -464,7 +464,8 @@ rows AS (
   UNION ALL SELECT 'item', outcome FROM items)
 SELECT 'biorxiv' AS source, unit, outcome, count(*) AS n FROM rows GROUP BY ALL""",
     "landing_days": """
-SELECT event_id // 20 * 20 AS cursor, min(day) AS first_day, max(day) AS last_day,
+SELECT event_id // 20 * 20 AS cursor, strftime(min(day), '%Y-%m-%d') AS first_day,
+       strftime(max(day), '%Y-%m-%d') AS last_day,
        count(*) FILTER (day IS NULL) AS undated
 FROM (SELECT event_id, CASE WHEN event_id % 173 <> 0 THEN CAST(ts AS DATE) END AS day FROM events)
 GROUP BY ALL""",
@@ -486,7 +487,8 @@ now AS (
          CASE WHEN doc_id % 4 = 1 THEN DATE '2024-01-05' WHEN doc_id % 3 = 0 THEN DATE '2024-01-04'
               ELSE DATE '2024-01-02' END AS mdat
   FROM r)
-SELECT CAST(doc_id AS VARCHAR) AS "PMID", title AS "TI", edat, mdat FROM now
+SELECT CAST(doc_id AS VARCHAR) AS "PMID", title AS "TI", strftime(edat, '%Y-%m-%d') AS edat,
+       strftime(mdat, '%Y-%m-%d') AS mdat FROM now
 WHERE edat BETWEEN DATE '2024-01-06' AND DATE '2024-01-11'
   AND contains(lower(title || chr(10) || text), 'tion') AND contains(lower(title || chr(10) || text), 'the')""",
     "chemrxiv_papers": CHEM_50,
@@ -585,7 +587,7 @@ WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
   WHERE contains(lower(text), 'of the')
      OR contains(lower('Document ' || doc_id || ' (' || lang || ')'), 'of the'))
 UNION ALL
-SELECT 'arxiv:' || coalesce(doi, id) || ':', 'arxiv', CAST(3 AS BIGINT), NULL, title, authors, 'arXiv',
+SELECT 'arxiv:' || coalesce(doi, id) || ':', 'arxiv', CAST(3 AS BIGINT), CAST(-1 AS BIGINT), title, authors, 'arXiv',
        abstract, '', '|', doi, id
 FROM turns WHERE contains(lower(title || chr(10) || abstract), 'tion')
              AND contains(lower(title || chr(10) || abstract), 'the')""",

@@ -317,7 +317,8 @@ def landing_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One good reply per page, of the first three good pages a day; failed and repeated pages among them."""
     landed = landing.read_landing(spark, S.write_landing(S.uneven_replies(spark, sf_dir), "query_key"))
     pages = landing.current_pages(landing.landed_until(landed, RUN_TS), 3)
-    return pages.select("query_key", "cursor", "status", "fetched", "body")
+    fetched = F.date_format("fetched", "yyyy-MM-dd HH:mm").alias("fetched")
+    return pages.select("query_key", "cursor", F.col("status").cast("bigint").alias("status"), fetched, "body")
 
 
 def landing_account(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,7 +335,8 @@ def landing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The map that each reply gets when it lands."""
     path = fresh_path(spark, "landing")
     landing.land(S.event_pages(spark, sf_dir), path)
-    return landing.read_landing(spark, path).select("cursor", "first_day", "last_day", "undated")
+    days = [F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("first_day", "last_day")]
+    return landing.read_landing(spark, path).select("cursor", *days, "undated")
 
 
 def landing_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,7 +358,7 @@ def pubmed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = corpus.read_corpus(spark, name)
     ids = medline.search_ids(records, "tion the", "edat", 5, RUN_DATE, current=True)
     found = medline.fetch_by_id(records, ids, current=True)
-    return found.select("PMID", "TI", "edat", "mdat")
+    return found.select("PMID", "TI", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("edat", "mdat")])
 
 
 def chemrxiv_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -563,7 +565,8 @@ def incremental_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = fresh_path(spark, "papers")
         intake.run_available(papers, out, fresh_path(spark, "stream"))
         found.append(flat(spark.read.schema(papers.schema).parquet(out)))
-    return union_sources(*found)
+    # arXiv's papers have no place in a list here.
+    return union_sources(*found).withColumn("source_seq", F.coalesce("source_seq", F.lit(-1).cast("bigint")))
 
 
 # --- whole runs ------------------------------------------------------------------------
