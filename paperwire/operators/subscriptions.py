@@ -11,18 +11,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperwire.functions import text as X
+from paperwire.operators.sizing import spread_small
 from paperwire.session import write_once
 
 #: Letters of a piece; papers that are looked at, about, to tell rare pieces from common ones.
-PIECE, SAMPLE = 3, 20_000
+PIECE, SAMPLE = 3, 2_000
 
 
-def _pieces(text: Column, size: Column | int) -> Column:
-    """All runs of ``size`` characters; none of a shorter text."""
-    size = F.lit(size) if isinstance(size, int) else size
-    last = F.char_length(text) - size + 1
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, size))
-    return F.when(last >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+def _pieces(text: Column, size: int) -> Column:
+    """All distinct runs of ``size`` characters, none of a shorter text.
+
+    The text is taken apart once; a substring or a match at each place would each walk it again.
+    """
+
+    def runs(chars: Column) -> Column:
+        joined = F.transform(chars, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, size)]))
+        return F.array_distinct(F.filter(joined, lambda run: F.char_length(run) == size))
+
+    return X.let(F.split(text, ""), runs)
+
+
+def _own_pieces(keyword: Column) -> Column:
+    """The pieces of a keyword; one of fewer letters than ``PIECE`` is its own."""
+    return F.when(F.char_length(keyword) < PIECE, F.array(keyword)).otherwise(_pieces(keyword, PIECE))
 
 
 def _lowered(texts: tuple[str, ...]) -> Column:
@@ -31,7 +42,9 @@ def _lowered(texts: tuple[str, ...]) -> Column:
 
 def _paper_pieces(papers: DataFrame, key: str, texts: tuple[str, ...], sizes: list[int]) -> DataFrame:
     runs = F.flatten(F.transform(_lowered(texts), lambda t: F.concat(*[_pieces(t, n) for n in sizes])))
-    return papers.select(key, F.explode(F.array_distinct(runs)).alias("_piece"))
+    return spread_small(papers.select(key, *texts), key).select(
+        key, F.explode(F.array_distinct(runs)).alias("_piece")
+    )
 
 
 def _rarest(papers: DataFrame, words: DataFrame, key: str, texts: tuple[str, ...], sizes: list[int], sample: int) -> DataFrame:
@@ -41,7 +54,7 @@ def _rarest(papers: DataFrame, words: DataFrame, key: str, texts: tuple[str, ...
     """
     share = min(1.0, sample / max(1, papers.count()))
     part = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20)) < int(share * (1 << 20))
-    pieces = words.select("keyword", F.explode(_pieces(F.col("keyword"), F.least(F.char_length("keyword"), F.lit(PIECE)))).alias("_piece"))
+    pieces = words.select("keyword", F.explode(_own_pieces(F.col("keyword"))).alias("_piece"))
     seen = _paper_pieces(papers.where(part), key, texts, sizes).groupBy("_piece").agg(F.count("*").alias("_papers"))
     known = pieces.join(seen, "_piece", "left")
     best = F.min(F.struct(F.coalesce("_papers", F.lit(0)).alias("n"), F.col("_piece").alias("piece")))

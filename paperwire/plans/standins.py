@@ -44,10 +44,11 @@ def document_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``benchmark`` as subscriptions: three words of the middle of each text, of every fifth a beginning of two letters."""
-    words = F.slice(F.split("text", " "), 4, 3)
-    short = F.when(F.col("item_id") % 5 == 0, F.array(F.substring(F.element_at(words, 1), 1, 2)))
-    few = F.concat(words, F.coalesce(short, F.array().cast("array<string>")))
+    """``benchmark`` as subscriptions: the longest word of each text, of every fifth also two letters."""
+    words = F.split("text", " ")
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.char_length(w), w.alias("word"))))["word"]
+    short = F.when(F.col("item_id") % 5 == 0, F.substring(longest, 1, 2))
+    few = F.array_compact(F.array(longest, short))
     return table(spark, sf_dir, "benchmark").select("item_id", F.explode(few).alias("keyword"))
 
 
