@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over documents, each written and read again before the next.
 
 Language identification, exact and near duplicates, mixing, and tokens. The stages change no column; the
-last adds the token ids.
+last adds the token ids. In all of them a NULL id or source is a value like any other, repeated rows are rows of
+their own until the exact duplicates go, very long texts are read whole, an empty table stays empty, and extra
+columns are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,10 @@ from paperwire.session import write_once
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the documents' own labels and drops those without a language: NULL, or no letter at all."""
+    """Learns from the documents' own labels and drops those without a language: NULL or empty, or no letter at all.
+
+    Without a label all rows are without a language, and go.
+    """
     languages, model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*columns).alias("document"), F.col("text"))
@@ -26,12 +31,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space, the longest stays."""
+    """Of texts that are equal but for white space, the longest stays; at a tie the least id, then the first row."""
     return exact.drop_exact_duplicates(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their SimHash, the one with the least id stays."""
+    """Of documents linked by their SimHash, the one with the least id stays; NULL ids come last, then the first row."""
     place = free_name(docs, "__row")
     rows = identified(docs, place)
     found = simhash.near_duplicates(rows, carry=(place,))

@@ -288,8 +288,9 @@ def round_trip(text: Column, path: str = VOCABULARY, pattern: str = public_token
 def with_tokens(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str | None = None, path: str = VOCABULARY) -> DataFrame:
     """``df`` with the token ids of a text column and, if ``decoded`` names a column, the bytes they decode to.
 
-    NULL and empty texts get an empty array and no bytes; columns of these names are replaced; repeated
-    rows are each encoded; an empty table stays empty.
+    NULL and empty texts get an empty array and no bytes; a very long text is split like any other and its long
+    pieces are not remembered; columns of these names are replaced; repeated rows are each encoded; an
+    empty table stays empty.
     """
     on_workers(df.sparkSession)
     if decoded is None:

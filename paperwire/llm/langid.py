@@ -216,7 +216,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAM
 def predict(df: DataFrame, languages: list[str], model, text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """``df`` with ``lang_pred`` and ``score``, the posterior probability of that language at equal priors.
 
-    Whole texts are scored. ``und`` with score 0 where the text is NULL or has no letter, or no language is
+    Whole texts are scored, also very long ones, a bounded number of new words at a time. ``und`` with score 0 where the text is NULL or has no letter, or no language is
     known. At a tie the first language by name. Columns of these names are replaced; repeated rows
     get the same answer; an empty table stays empty.
     """

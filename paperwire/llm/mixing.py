@@ -101,8 +101,8 @@ def mix(df: DataFrame, text: str = "text", seed: int = SEED, **options) -> DataF
 
     The order depends on ``doc_id`` alone, so reruns agree. The row at the cut gives the words
     that are missing, and rows alike in id and size share them evenly. A NULL or empty text has size 0 and
-    gives nothing; NULL is a source of its own; NULL ids are alike; an empty table stays empty.
-    Other columns are not read.
+    gives nothing; NULL is a source of its own; NULL ids are alike; the words of a very long text are all counted; an
+    empty table stays empty. Other columns are not read.
     """
     rows = checkpointed(df.select("doc_id", "source", word_count(F.col(text)).alias("size")))
     found = _joined(rows, plan(rows, seed, **options), seed)
@@ -114,7 +114,9 @@ def take(df: DataFrame, text: str = "text", seed: int = SEED, **options) -> Data
     """The mix itself: rows of ``df`` repeated as often as ``mix`` takes them, columns unchanged.
 
     The row at a cut comes once more with its first words only, white space as it was. Rows
-    without words cost nothing and come once for each epoch begun; if there is none, they are left out.
+    without words, NULL texts among them, cost nothing and come once for each epoch begun; if there is none, they are
+    left out. A very long text is cut at any word. Repeated rows are rows of their own; NULL is a source
+    and NULL ids are alike; an empty table stays empty.
     """
     narrow = checkpointed(df.select("doc_id", "source", word_count(F.col(text)).alias("size")))
     made = plan(narrow, seed, **options)

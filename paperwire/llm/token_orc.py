@@ -121,8 +121,8 @@ def write_tokens(df: DataFrame, path: str, text: str = "text", vocabulary: str =
     """Write ``doc_id``, ``seq`` (rising in the order of the files) and ``ids`` in ascending ``doc_id`` order.
 
     NULL ids come last; equal ids lie in the order of a hash of their texts, repeated rows one after
-    another. A NULL or empty text has the end id alone. An empty table gives files without rows. Other
-    columns are not written.
+    another. A NULL or empty text has the end id alone; a very long text is one row, encoded in whole pieces. An empty
+    table gives files without rows. Other columns are not written.
     """
     on_workers(df.sparkSession)
     rows = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_tie"))

@@ -99,8 +99,8 @@ def neighbours(
 
     Rows with a query's id are its own and no candidates; a query with a NULL id has none of its own. Vectors that are NULL, empty, zero or not finite take
     no part; vectors of another length than the query's are not compared. Ties go to the smaller id, NULL ids last. Repeated rows are
-    candidates of their own, repeated queries count once. Fewer than k candidates are all returned. Other columns are
-    not read.
+    candidates of their own, repeated queries count once. Fewer than k candidates are all returned; an empty table gives
+    none. Other columns, texts of any length among them, are not read.
     """
     on_workers(df.sparkSession)
     held = F.transform(F.col(vector), lambda x: x.cast("double"))

@@ -262,7 +262,10 @@ def test_neighbours_are_exact_at_factor_one(spark, shard, block):
 def test_neighbours_with_a_factor(spark):
     df = spark.createDataFrame(vectors(), "vec_id bigint, embedding array<float>")
     asked = df.where("vec_id % 100 = 0")
-    assert vptree.recall(vptree.neighbours(df, asked, 10, 1.5), vptree.exact_neighbours(df, asked)) > 0.8
+    assert vptree.recall(vptree.neighbours(df, asked, 10, 1.2), vptree.exact_neighbours(df, asked)) >= 0.9
+    table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    asked = table.where("vec_id % 20 = 0")
+    assert vptree.recall(vptree.neighbours(table, asked, 10, 3.0), vptree.exact_neighbours(table, asked)) >= 0.9
 
 
 # Token files
