@@ -110,9 +110,12 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         alphabet = byte_level_alphabet()
         names = self.a.get_vocab(with_added_tokens=True)
-        self.a_bytes = {i: bytes(alphabet[c] for c in name) if all(c in alphabet for c in name) else name.encode() for name, i in names.items()}
+        self.a_bytes = [b""] * (max(names.values()) + 1)
+        for name, i in names.items():
+            self.a_bytes[i] = bytes(alphabet[c] for c in name) if all(c in alphabet for c in name) else name.encode()
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.blank, self.span = self.b.piece_to_id("▁"), self.b.get_piece_size()
+        self.digits = [str(i) for i in range(max(len(self.a_bytes), self.span))]
         ordinary = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_byte(i)]
         #: Whether no piece goes on over a blank or holds a line feed, so that texts may be cut there.
         self.separable = not any("▁" in p.lstrip("▁") or "\n" in p for p in ordinary)
@@ -178,9 +181,13 @@ def _refined(spans: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray |
     None if the cuts do not fit together: every span must end where some token's bytes do.
     """
     decoded = np.cumsum(lengths)
-    if not len(decoded) or decoded[-1] != size or not np.isin(spans, decoded).all():
+    if not len(decoded) or decoded[-1] != size:
         return None
-    return np.where(spans == decoded, spans, decoded)
+    same = spans == decoded
+    inside = spans[~same]
+    if len(inside) and (decoded[np.minimum(np.searchsorted(decoded, inside), len(decoded) - 1)] != inside).any():
+        return None
+    return np.where(same, spans, decoded)
 
 
 def _joined(tool: Aligner, segments: list[str], kind: type) -> list[tuple[bytes, bytes, bytes]] | None:
@@ -191,11 +198,13 @@ def _joined(tool: Aligner, segments: list[str], kind: type) -> list[tuple[bytes,
     data = "".join(segments)
     raw = data.encode()
     a = tool.a.encode(data, add_special_tokens=False)
+    ids = a.ids
     proto = tool.b.encode(data[1:] if data[0] == " " else data, return_type="proto")
-    b, b_ends = [p.id for p in proto.pieces], [p.end for p in proto.pieces]
+    found = list(proto.pieces)
+    b, b_ends = [p.id for p in found], [p.end for p in found]
     if data[0] != " ":  # the blank that is put before a line feed
         b, b_ends = b[1:], b_ends[1:]
-    a_bytes, b_bytes = list(map(tool.a_bytes.__getitem__, a.ids)), list(map(tool.b_bytes.__getitem__, b))
+    a_bytes, b_bytes = list(map(tool.a_bytes.__getitem__, ids)), list(map(tool.b_bytes.__getitem__, b))
     if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
         return None
     b_spans = np.array(b_ends, np.int64) + (data[0] == " ")
@@ -204,10 +213,12 @@ def _joined(tool: Aligner, segments: list[str], kind: type) -> list[tuple[bytes,
     if a_ends is None or b_ends is None:
         return None
     # Between two neighbouring ends, of either tokenizer, lies one link.
-    ends, both = np.union1d(a_ends, b_ends), np.intersect1d(a_ends, b_ends)
-    pairs = np.array(a.ids, np.int64)[np.searchsorted(a_ends, ends)] * tool.span + np.array(b, np.int64)[np.searchsorted(b_ends, ends)]
+    ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")  # two sorted runs
+    twice = ends[1:] == ends[:-1]
+    ends, both = np.delete(ends, np.flatnonzero(twice)), ends[1:][twice]
+    pairs = np.array(ids, np.int64)[np.searchsorted(a_ends, ends)] * tool.span + np.array(b, np.int64)[np.searchsorted(b_ends, ends)]
     pairs = pairs.astype(kind)
-    a_text, b_text = list(map(str, a.ids)), list(map(str, b))
+    a_text, b_text = list(map(tool.digits.__getitem__, ids)), list(map(tool.digits.__getitem__, b))
     a_cut, b_cut = (np.searchsorted(e, both, "right").tolist() for e in (a_ends, b_ends))
     groups, i, j = [], 0, 0
     for x, y in zip(a_cut, b_cut):
@@ -254,7 +265,7 @@ def aligned_texts(df: DataFrame, text: str = "text", byte_level: str = BYTE_LEVE
     """
     on_workers(df.sparkSession)
     tool = aligner(byte_level, pieces)
-    small = tool.span * (max(tool.a_bytes) + 1) < 1 << 31
+    small = tool.span * len(tool.a_bytes) < 1 << 31
 
     def encoded(batches):
         tool, name = aligner(byte_level, pieces), uuid.uuid4().hex
