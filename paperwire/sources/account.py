@@ -14,7 +14,8 @@ USED = "used"
 class Account:
     """Counts by outcome, taken while the rows pass, so that nothing is read a second time for them.
 
-    A watched table is counted in the job that reads it; ask for the sums after that job.  Such counts are
+    A watched table is counted in the job that reads it; ask for the sums after that job, and watch nothing that
+    a join above may find to be empty and leave out of the plan, as its counts would never come.  Such counts are
     accumulators: a task that is run again, because its executor was lost after it had ended, is counted
     again.  Deliveries never depend on them.
     """

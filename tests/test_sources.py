@@ -357,6 +357,21 @@ def test_account_of_a_run_adds_up(spark, tmp_path):
     assert papers.count() == 7
 
 
+@pytest.mark.parametrize("bodies", [[], [json.dumps({"collection": []})], [json.dumps({"collection": [BIORXIV[3]]})]])
+def test_account_of_a_day_without_papers(spark, no_broadcast, bodies):
+    """Nothing landed, nothing listed, nothing of the day: the run ends and all counts are there."""
+    rows = [("biorxiv", "q", n, "u", 200, b, dt.datetime(2024, 1, 11)) for n, b in enumerate(bodies)]
+    landed = G.Landed(replies=landed_rows(spark, rows))
+    config = JobConfig(term="lab", term_biorxiv="Lab", term_chemrxiv="on", run_ts=dt.datetime(2024, 1, 11, 15),
+                       sources=("biorxiv", "chemrxiv", "arxiv"))
+    account = Account()
+    papers = G.land_papers(G.select_papers(landed, config, account))
+    sums = {k: n for k, n in G.settled(account).items() if n}
+    assert papers.count() == 0
+    assert sums == ({("biorxiv", "reply", "used"): 1} if bodies else {}) | (
+        {("biorxiv", "item", "other day"): 1} if bodies and "10.1/d" in bodies[0] else {})
+
+
 def test_the_map_of_a_reply_prunes_before_the_parse(spark, tmp_path, plan):
     def body(*days):
         return json.dumps({"collection": [biorxiv_item(f"10.1/{d}", "Lab", "x", "A", "U", d) for d in days]})
