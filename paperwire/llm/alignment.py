@@ -34,7 +34,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Pairs looked up at once (about 16 bytes each).
 BLOCK = 4_000_000
 #: Bytes of segments a worker remembers; texts that look for new ones together; longest segment remembered.
-MEMORY, TEXTS, LONGEST = 64 << 20, 200, 1024
+MEMORY, TEXTS, LONGEST = 96 << 20, 200, 1024
 #: Segments encoded as one text.
 JOINED = 4000
 #: A run of white space and what follows, up to the next blank or line feed; other white space stays inside.
@@ -190,7 +190,7 @@ def _refined(spans: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray |
     return np.where(same, spans, decoded)
 
 
-def _joined(tool: Aligner, segments: list[str], kind: type) -> list[tuple[bytes, bytes, bytes]] | None:
+def _joined(tool: Aligner, segments: list[str], kind: type) -> list[bytes] | None:
     """What ``_encoded`` gives, for segments laid end to end and encoded as one text; None if bytes differ anywhere.
 
     Each segment but the first begins with white space behind other text, where both tokenizers begin anew.
@@ -233,14 +233,14 @@ def _joined(tool: Aligner, segments: list[str], kind: type) -> list[tuple[bytes,
     numbers, size = numbers.astype(np.int64), pairs.itemsize
     packed, flat = numbers.tobytes(), pairs.tobytes()
     for k, (m, h) in enumerate(zip(links, places)):
-        out.append((packed[32 * k : 32 * k + 32], flat[l * size : m * size], ";".join(groups[g:h]).encode()))
+        out.append(packed[32 * k : 32 * k + 32] + flat[l * size : m * size] + ";".join(groups[g:h]).encode())
         l, g = m, h
     return out
 
 
-def _encoded(tool: Aligner, segments: list[str], kind: type) -> list[tuple[bytes, bytes, bytes]]:
-    """Of each segment four numbers, the pairs of its links and its groups as text; nothing where the bytes differ."""
-    found: dict[str, tuple] = {}
+def _encoded(tool: Aligner, segments: list[str], kind: type) -> list[bytes]:
+    """Of each segment four numbers (of 8 bytes), the pairs of its links and its groups as text; nothing where the bytes differ."""
+    found: dict[str, bytes] = {}
     whole = [s for s in segments if tool.separable and not s[-1].isspace()]
     todo = [whole[at : at + JOINED] for at in range(0, len(whole), JOINED)]
     while todo:
@@ -254,7 +254,7 @@ def _encoded(tool: Aligner, segments: list[str], kind: type) -> list[tuple[bytes
     for segment, x in zip(rest, tool.align(rest) if rest else ()):
         numbers = np.array([len(x.a), len(x.b), len(x.groups), len(x.links)], np.int64)
         links = np.array([x.a[i] * tool.span + x.b[j] for i, j in x.links], kind)
-        found[segment] = (numbers.tobytes(), links.tobytes(), x.text().encode()) if x.fits else ()
+        found[segment] = numbers.tobytes() + links.tobytes() + x.text().encode() if x.fits else b""
     return list(map(found.__getitem__, segments))
 
 
@@ -270,7 +270,7 @@ def aligned_texts(df: DataFrame, text: str = "text", byte_level: str = BYTE_LEVE
     def encoded(batches):
         tool, name = aligner(byte_level, pieces), uuid.uuid4().hex
         forget_at_new_stage(_remembered.cache_clear)
-        known, kind = _remembered(name), np.int32 if small else np.int64
+        known, kind, width = _remembered(name), *((np.int32, 4) if small else (np.int64, 8))
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, batch.num_rows, TEXTS):
@@ -280,15 +280,16 @@ def aligned_texts(df: DataFrame, text: str = "text", byte_level: str = BYTE_LEVE
                 totals, links, ends, digests = np.zeros((len(lists), 4), np.int64), [], [0], []
                 for row, segments in enumerate(lists):
                     values = list(map(found.__getitem__, segments))
-                    if not values or () in values:  # no tokens
+                    if not values or b"" in values:  # no tokens
                         digests.append("")
                         ends.append(ends[-1])
                         continue
-                    numbers, pairs, groups = zip(*values)
-                    totals[row] = np.frombuffer(b"".join(numbers), np.int64).reshape(-1, 4).sum(axis=0)
-                    links.append(b"".join(pairs))
+                    numbers = np.frombuffer(b"".join([v[:32] for v in values]), np.int64).reshape(-1, 4)
+                    totals[row] = numbers.sum(axis=0)
+                    cut = (32 + numbers[:, 3] * width).tolist()
+                    links.append(b"".join([v[32:n] for v, n in zip(values, cut)]))
                     ends.append(ends[-1] + int(totals[row, 3]))
-                    digests.append(hashlib.sha256(b";".join(groups)).hexdigest())
+                    digests.append(hashlib.sha256(b";".join([v[n:] for v, n in zip(values, cut)])).hexdigest())
                 pairs = pa.array(np.frombuffer(b"".join(links), kind))
                 yield pa.RecordBatch.from_arrays(
                     [

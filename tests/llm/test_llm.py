@@ -406,12 +406,12 @@ def test_workers_forget_at_a_new_stage(monkeypatch):
         def __init__(self, stage):
             self.stageId = lambda: stage
 
-    known = common.Remembered(10)
-    for stage, left in ((1, {}), (1, {"a": 1}), (2, {})):
+    known = common.Remembered(10_000)
+    for stage, left in ((1, {}), (1, {"a": b"1"}), (2, {})):
         monkeypatch.setattr(common.TaskContext, "get", lambda stage=stage: Context(stage))
         common.forget_at_new_stage(known.clear)
         assert known.young == left
-        assert known.get([["a"]], lambda words: [1 for _ in words]) == {"a": 1}
+        assert known.get([["a"]], lambda words: [b"1" for _ in words]) == {"a": b"1"}
     monkeypatch.setattr(common.TaskContext, "get", lambda: Context(3))
     common.forget_at_new_stage()
     assert not known.young
