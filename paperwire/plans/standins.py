@@ -13,7 +13,7 @@ from paperwire.functions.text import doi_link
 from paperwire.operators.author_rows import author_labels
 from paperwire.operators.joins import attach
 from paperwire.operators.numbering import number_rows
-from paperwire.operators.sizing import spread_small
+from paperwire.operators.sizing import tasks_for
 from paperwire.session import fresh_path
 
 
@@ -60,11 +60,8 @@ def order_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("l_suppkey"), "s_name", "s_nationkey"
     )
-    lines = spread_small(
-        table(spark, sf_dir, "lineitem").select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"
-        ),
-        "l_orderkey",
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"
     )
     supplied = attach(lines, suppliers, "l_suppkey", "l_partkey")
     return attach(supplied, nations, "s_nationkey", "l_partkey").select(
@@ -77,8 +74,9 @@ def order_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_author_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    authors = order_authors(spark, sf_dir)
     return author_labels(
-        order_authors(spark, sf_dir), "l_orderkey", "l_linenumber", "l_partkey"
+        authors, "l_orderkey", "l_linenumber", "l_partkey", tasks=tasks_for(authors)
     )
 
 

@@ -411,6 +411,24 @@ def test_author_labels_read_their_input_once(spark, plan, no_broadcast, tmp_path
     }
 
 
+def test_more_input_gives_more_tasks(spark, tmp_path, monkeypatch):
+    """The author step is dealt by the size of what is read, not by the cores."""
+    from paperwire.operators import sizing
+
+    path = str(tmp_path / "authors")
+    spark.range(20000).select(
+        (F.col("id") % 5000).alias("k"), F.col("id").alias("seq"), F.sha2(F.col("id").cast("string"), 256).alias("name"),
+        F.lit("").alias("institution"),
+    ).write.parquet(path)
+    rows = spark.read.parquet(path)
+    assert sizing.tasks_for(rows) == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(sizing, "TASK_BYTES", 1 << 16)
+    tasks = sizing.tasks_for(rows)
+    assert tasks > 15 and sizing.tasks_for(rows.crossJoin(rows.select("k").alias("other"))) <= 2 * tasks
+    made = author_labels(rows, "k", "seq", tasks=tasks)
+    assert made.rdd.getNumPartitions() == tasks and made.count() == 5000
+
+
 # --- subscriptions ---------------------------------------------------------------------
 
 
