@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperwire.functions import text as X
-from paperwire.operators.joins import MAX_HOT_KEYS, attach_hot_safe
-from paperwire.operators.sizing import fits_broadcast, spread_small
+from paperwire.operators.sizing import fits_broadcast, spread_small, tasks_for
 from paperwire.session import write_once
 
 KEYWORDS = 10
+#: Words whose frequencies are broadcast at most, about 16 MB; the most frequent ones.
+COMMON = 200_000
 
 # Adds ``SummaryAbstract`` to papers.
 Extractor = Callable[[DataFrame], DataFrame]
@@ -28,12 +29,12 @@ def term_counts(papers: DataFrame, key: str) -> DataFrame:
     """``key, term, tf``: how often each word occurs in an abstract (E5: if it has one).
 
     The texts are partitioned by paper first.  That moves less than the far more numerous
-    counts would, and these then stay where they are until they meet the frequencies.
+    counts would, and these then stay where they are until they meet the frequencies.  More
+    text gives more tasks, so the counts of one are sorted in memory.
     """
+    texts = papers.where(F.col("Abstract") != "").select(key, "Abstract")
     return (
-        papers.where(F.col("Abstract") != "")
-        .select(key, "Abstract")
-        .repartition(key)
+        texts.repartition(tasks_for(texts), key)
         .select(key, F.explode(X.words(F.col("Abstract"))).alias("term"))
         .where(F.col("term") != EVERY)
         .groupBy(key, "term")
@@ -57,36 +58,84 @@ def document_frequencies(papers: DataFrame, key: str) -> DataFrame:
     )
 
 
-def weigh(terms: DataFrame, frequencies: DataFrame, key: str) -> DataFrame:
-    """Attach ``df`` to each term count; common words are the hot keys of this join.
+def split_by_frequency(repeated: DataFrame, common: int) -> int:
+    """The ``df`` above which there are at most ``common`` words, or 1 if these are all.
+
+    One less than a power of two, so at most 64 rows are looked at.
+    """
+    level = F.length(F.bin("df")).alias("level")
+    words = {r["level"]: r["count"] for r in repeated.groupBy(level).count().collect()}
+    room, cut = common, 0
+    for found in sorted(words, reverse=True):
+        room -= words[found]
+        if room < 0:
+            cut = found
+            break
+    return 2**cut - 1 if cut else 1
+
+
+def contenders(terms: DataFrame, score: Callable[[Column, Column], Column], key: str, keywords: int, cut: int) -> DataFrame:
+    """Rows that may be among the best of their paper, where NULL ``df`` is between 1 and ``cut``.
+
+    The bar of a paper is the score that ``keywords`` of its words reach at least.  A word that stays
+    below it even if no other paper has it is not among the best.
+    """
+    least = score(F.col("tf"), F.coalesce("df", F.lit(cut)))
+    most = score(F.col("tf"), F.coalesce("df", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_least")))
+    bar = F.max(F.when(F.col("_place") == keywords, F.col("_least"))).over(Window.partitionBy(key))
+    return (
+        terms.withColumn("_least", least)
+        .withColumn("_place", place)
+        .withColumn("_bar", bar)
+        .where(F.col("_bar").isNull() | (most >= F.col("_bar")))
+        .select(*terms.columns)
+    )
+
+
+def weigh(
+    terms: DataFrame, frequencies: DataFrame, score: Callable[[Column, Column], Column], key: str,
+    keywords: int = KEYWORDS, common: int = COMMON,
+) -> DataFrame:
+    """Attach ``df`` to the term counts that may be among the best of their paper.
 
     Words of one abstract only, most of any vocabulary, are left out of the right side: a
-    term that finds no partner there is one of them.
+    term that finds no partner there is one of them.  Up to ``common`` words, which are nearly all
+    occurrences, are answered where the counts lie.  Only what is left, and may still win,
+    is shuffled to the other words; none of these is in more than a small share of all rows.
     """
-    repeated = frequencies.where(F.col("df") > 1)
-    if fits_broadcast(repeated):
-        weighed = terms.join(repeated, "term", "left")
-    else:
-        rows = frequencies.where(F.col("term") != EVERY).agg(F.sum("df").alias("rows")).scalar()
-        common = repeated.where(F.col("df") > rows / MAX_HOT_KEYS).select("term")
-        weighed = attach_hot_safe(terms, repeated, "term", common, spread=key)
-    return weighed.withColumn("df", F.coalesce("df", F.lit(1)))
+    repeated = frequencies.where((F.col("df") > 1) & (F.col("term") != EVERY))
+    cut = 1 if fits_broadcast(repeated) else split_by_frequency(repeated, common)
+    told = terms.join(F.broadcast(repeated.where(F.col("df") > cut)), "term", "left")
+    if cut == 1:
+        return told.withColumn("df", F.coalesce("df", F.lit(1)))
+    # Read twice below, and a sort of all counts: written once.
+    told = write_once(contenders(told, score, key, keywords, cut), "contenders")
+    rare = repeated.where(F.col("df") <= cut)
+    found = told.where(F.col("df").isNull()).drop("df").join(rare, "term", "left")
+    return told.where(F.col("df").isNotNull()).unionByName(found.withColumn("df", F.coalesce("df", F.lit(1))))
 
 
 def tfidf_keywords(
     papers: DataFrame,
     key: str = "paper_key",
     keywords: int = KEYWORDS,
+    common: int = COMMON,
 ) -> DataFrame:
     """``key, SummaryAbstract``: the best words of each abstract joined by ``", "``.
 
     ``key`` names one row.  Score = tf * ln(n / df) to six places, ties in word order.  The
-    frequencies are written once; all else is one lazy plan over them and the texts.
+    frequencies are written once, and so are the words that may win if not all frequencies
+    can be broadcast; all else is one lazy plan over them and the texts.
     """
     frequencies = write_once(document_frequencies(papers, key), "frequencies")
     total = frequencies.where(F.col("term") == EVERY).select("df").scalar()
-    score = F.round(F.col("tf") * F.log(total / F.col("df")), 6)
-    scored = weigh(term_counts(papers, key), frequencies, key).withColumn("score", score)
+
+    def score(tf: Column, df: Column) -> Column:
+        return F.round(tf * F.log(total / df), 6)
+
+    weighed = weigh(term_counts(papers, key), frequencies, score, key, keywords, common)
+    scored = weighed.withColumn("score", score(F.col("tf"), F.col("df")))
     best = Window.partitionBy(key).orderBy(F.desc("score"), "term")
     return (
         scored.withColumn("place", F.row_number().over(best))

@@ -300,6 +300,46 @@ def test_tfidf_without_broadcast(spark, no_broadcast):
     assert summaries(keywords.tfidf_keywords(papers, keywords=4)) == tfidf_spec(texts, 4)
 
 
+@pytest.mark.parametrize("common", [0, 5, 100])
+def test_tfidf_shuffles_only_rare_words_that_may_win(spark, no_broadcast, monkeypatch, common):
+    """Of words that all papers share, no row meets the table of the rare ones; the best are the same."""
+    papers, texts = corpus(spark)
+    left = []
+    write = keywords.write_once
+
+    def counted(rows, name):
+        written = write(rows, name)
+        if name == "contenders":
+            left.append(written.count())
+        return written
+
+    monkeypatch.setattr(keywords, "write_once", counted)
+    assert summaries(keywords.tfidf_keywords(papers, keywords=4, common=common)) == tfidf_spec(texts, 4)
+    occurrences = sum(len(set(t.lower().replace(",", "").replace(".", "").split())) for t in texts)
+    # Without a common word nothing is known of any score but its bounds.
+    assert len(left) == 1 and (left[0] <= occurrences if not common else left[0] < occurrences)
+
+
+def test_frequencies_are_cut_at_a_bounded_table(spark):
+    words = spark.range(1, 1001).select(F.concat(F.lit("w"), "id").alias("term"), (F.lit(1000) / F.col("id") + 1).cast("bigint").alias("df"))
+    for common in (0, 1, 10, 100, 999):
+        cut = keywords.split_by_frequency(words, common)
+        assert words.where(F.col("df") > cut).count() <= common
+    assert keywords.split_by_frequency(words, 1000) == 1
+
+
+def test_more_texts_give_more_tasks(spark, tmp_path, monkeypatch):
+    from paperwire.operators import sizing
+
+    path = str(tmp_path / "papers")
+    corpus(spark)[0].write.parquet(path)
+    monkeypatch.setattr(sizing, "TASK_BYTES", 1 << 10)
+    papers = spark.read.parquet(path)
+    tasks = sizing.tasks_for(papers)
+    assert tasks > spark.sparkContext.defaultParallelism
+    assert keywords.term_counts(papers, "paper_key").rdd.getNumPartitions() == tasks
+
+
 def test_attach_gives_blank_where_there_is_no_summary(spark):
     papers, texts = corpus(spark)
     got = summaries(keywords.attach_summaries(papers, keywords.tfidf_keywords(papers)))
