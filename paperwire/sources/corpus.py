@@ -56,7 +56,7 @@ def upsert(spark: SparkSession, table: str, records: DataFrame, buckets: int = B
     of the corpus are read whole; the batch is what is joined to them.
     """
     rows = records.select(*[F.col(c).cast(kind).alias(c) if c in records.columns else F.lit(None).cast(kind).alias(c) for c, kind in COLUMNS.items()])
-    incoming = write_once(one_per_id(rows), "records")
+    incoming = one_per_id(rows)
     old = _stored(spark, table).select(F.col(KEY).alias("_old"), F.col("mdat").alias("_mdat"), F.col(DAY).alias("_day"))
     met = incoming.join(old, F.col(KEY) == F.col("_old"), "left")
     earliest = F.lit("0001-01-01").cast("date")
@@ -66,14 +66,15 @@ def upsert(spark: SparkSession, table: str, records: DataFrame, buckets: int = B
     # A row per day of the calendar at most.
     days = write_once(days.distinct(), "days")
     touched = _stored(spark, table).join(F.broadcast(days), F.col(DAY).eqNullSafe(F.col("_touched")), "left_semi")
-    kept = touched.join(fresh.select(KEY), KEY, "left_anti").select(*COLUMNS)
+    # No sort, and no shuffle of the stored texts: the ids come to their buckets.
+    kept = touched.join(fresh.select(KEY).hint("shuffle_hash"), KEY, "left_anti").select(*COLUMNS)
     blank = days.select(*[F.lit(None).cast(kind).alias(c) if c != DAY else F.col("_touched").alias(c) for c, kind in COLUMNS.items()])
-    # Written apart first: a partition is read whole before it is replaced.
-    merged = write_once(kept.unionByName(fresh.select(*COLUMNS)).unionByName(blank), "merged")
+    # The batch alone is dealt by bucket, as what is kept lies so already.
+    added = fresh.select(*COLUMNS).unionByName(blank).repartition(buckets, KEY)
     mode = "spark.sql.sources.partitionOverwriteMode"
     usual = spark.conf.get(mode)
     spark.conf.set(mode, "dynamic")
-    try:  # as many files per day as buckets
-        merged.repartition(buckets, KEY).write.insertInto(table, overwrite=True)
+    try:  # written apart by Spark, which replaces the partitions when all of it is there
+        kept.unionByName(added).write.insertInto(table, overwrite=True)
     finally:
         spark.conf.set(mode, usual)

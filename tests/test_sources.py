@@ -469,3 +469,22 @@ def test_corpus_is_kept_current(spark, corpus_table, plan, no_broadcast, tmp_pat
     assert "Exchange" not in plan(searched) and "edat" in plan(searched).split("PartitionFilters")[1]
     got = medline.fetch_by_id(records, medline.search_ids(records, "b2", "edat", 9, RUN, current=True), current=True)
     assert [r["PMID"] for r in got.collect()] == ["2"]
+
+
+def test_a_batch_is_written_once_beside_the_corpus(spark, corpus_table, no_broadcast, monkeypatch):
+    """Of whole records only those of the batch that stay are written apart, whatever is stored."""
+    written = {}
+    write = corpus.write_once
+
+    def counted(rows, name):
+        made = write(rows, name)
+        written[name] = made.count()
+        return made
+
+    monkeypatch.setattr(corpus, "write_once", counted)
+    day = dt.date(2024, 1, 1)
+    for batch in ([(str(n), "a", day, None) for n in range(30)], [("3", "b", day, day), ("3", "c", day, None), ("40", "d", day, None)]):
+        corpus.upsert(spark, corpus_table, spark.createDataFrame(batch, "PMID STRING, TI STRING, edat DATE, mdat DATE"), 4)
+    assert written == {"fresh": 2, "days": 1}
+    stored = {r["PMID"]: r["TI"] for r in corpus.read_corpus(spark, corpus_table).collect()}
+    assert stored == {str(n): "a" for n in range(30)} | {"3": "b", "40": "d"}
