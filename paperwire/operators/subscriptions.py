@@ -7,15 +7,20 @@ searched for the whole keyword.  Keywords of one or two letters are pieces thems
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperwire.functions import text as X
-from paperwire.operators.sizing import spread_small
+from paperwire.operators.sizing import fits_broadcast, spread_small
 from paperwire.session import write_once
 
 #: Letters of a piece; papers that are looked at, about, to tell rare pieces from common ones.
 PIECE, SAMPLE = 3, 2_000
+#: Up to here it is faster to search a text for each piece than to take it apart.
+LISTED = 300
 
 
 def _pieces(text: Column, size: int) -> Column:
@@ -36,15 +41,35 @@ def _own_pieces(keyword: Column) -> Column:
     return F.when(F.char_length(keyword) < PIECE, F.array(keyword)).otherwise(_pieces(keyword, PIECE))
 
 
-def _lowered(texts: tuple[str, ...]) -> Column:
-    return F.array(*[F.lower(X.or_blank(F.col(t))) for t in texts])
+def _lowered(texts: tuple[str, ...]) -> list[Column]:
+    return [F.lower(X.or_blank(F.col(t))) for t in texts]
+
+
+def _text_pieces(texts: list[Column], sizes: list[int]) -> Column:
+    """Runs of the given sizes, one pass over each text for each size.
+
+    A run may begin inside a character of two UTF-16 units; it then has ``?`` in its place.
+    """
+    return F.concat(*[F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for t in texts for n in sizes])
+
+
+def _paper_pieces(
+    papers: DataFrame, key: str, texts: tuple[str, ...], sizes: list[int], only: list[str] | None = None
+) -> DataFrame:
+    """``key``, the lowered texts ``_text0, …`` and one row per distinct ``_piece`` of them, of ``only`` these if given."""
+    lowered = {f"_text{i}": t for i, t in enumerate(_lowered(texts))}
+    dealt = spread_small(papers.select(key, *texts), key).select(key, *[t.alias(n) for n, t in lowered.items()])
+    if only is None:
+        runs = F.array_distinct(_text_pieces([F.col(n) for n in lowered], sizes))
+    else:
+        runs = F.filter(F.array(*[F.lit(p) for p in only]), lambda piece: _held(lowered, piece))
+    # Outer, as a plain explode first asks whether there is a piece: all are then made twice.
+    pieces = dealt.select("*", runs.alias("_runs")).select(key, *lowered, F.explode_outer("_runs").alias("_piece"))
+    return pieces.where(~F.col("_piece").startswith("?") | _held(lowered, F.col("_piece")))
 
 
-def _paper_pieces(papers: DataFrame, key: str, texts: tuple[str, ...], sizes: list[int]) -> DataFrame:
-    runs = F.flatten(F.transform(_lowered(texts), lambda t: F.concat(*[_pieces(t, n) for n in sizes])))
-    return spread_small(papers.select(key, *texts), key).select(
-        key, F.explode(F.array_distinct(runs)).alias("_piece")
-    )
+def _held(texts: Iterable[str], part: Column) -> Column:
+    return reduce(Column.__or__, [F.contains(F.col(t), part) for t in texts])
 
 
 def _rarest(papers: DataFrame, words: DataFrame, key: str, texts: tuple[str, ...], sizes: list[int], sample: int) -> DataFrame:
@@ -81,11 +106,19 @@ def keyword_matches(
     if not sizes:  # three at most
         return found
     chosen = write_once(_rarest(papers, words.where("keyword <> ''"), key, texts, sorted(sizes), sample), "pieces")
-    candidates = _paper_pieces(papers, key, texts, sorted(sizes)).join(chosen, "_piece").select(key, "keyword")
-    short = F.char_length("keyword") <= PIECE
     # Short keywords are their own piece; the others are looked for in the text, once per candidate.
-    searched = candidates.where(~short).join(papers.select(key, _lowered(texts).alias("_texts")), key)
-    hits = searched.where(F.exists("_texts", lambda t: F.contains(t, F.col("keyword")))).select(key, "keyword")
+    short = F.char_length("keyword") <= PIECE
+    # A few pieces are searched for in the row; more of them meet all pieces of a paper.
+    listed = [r["_piece"] for r in chosen.select("_piece").distinct().limit(LISTED + 1).collect()]
+    pieces = _paper_pieces(papers, key, texts, sorted(sizes), listed if len(listed) <= LISTED else None)
+    held = _held([c for c in pieces.columns if c.startswith("_text")], F.col("keyword"))
+    if fits_broadcast(chosen):
+        # The texts stay where they are.  A paper without a key meets short keywords alone, as in a join by key.
+        met = pieces.join(F.broadcast(chosen), "_piece").where(short | (F.col(key).isNotNull() & held))
+        return found.unionByName(met.select(key, "keyword"))
+    candidates = pieces.select(key, "_piece").join(chosen, "_piece").select(key, "keyword")
+    lowered = [t.alias(f"_text{i}") for i, t in enumerate(_lowered(texts))]
+    hits = candidates.where(~short).join(papers.select(key, *lowered), key).where(held).select(key, "keyword")
     return found.unionByName(candidates.where(short)).unionByName(hits)
 
 

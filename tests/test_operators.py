@@ -498,6 +498,30 @@ def test_subscriptions_equal_every_pair_searched(spark, plan):
     assert got == {(n, 1) for n, _ in matches(["abc"])} | {(n, 3) for n, _, _ in papers}
 
 
+@pytest.mark.parametrize("listed", [1000, 2])
+def test_subscriptions_move_no_text(spark, plan, monkeypatch, listed):
+    """Texts are searched where they lie; the way for more keywords than can be broadcast gives the same."""
+    texts = ["a\U0001F600b?cd", "?cd x", "\U0001F600", "abcdef", None]
+    df = spark.createDataFrame([(n if n else None, t, "") for n, t in enumerate(texts)], "paper_key BIGINT, Title STRING, Abstract STRING")
+    wanted = spark.createDataFrame([(w,) for w in ("\U0001F600b", "?", "?b", "?cd", "bcde", "\U0001F600")], "keyword STRING")
+    monkeypatch.setattr(subscriptions, "LISTED", listed)
+    found = subscriptions.keyword_matches(df, wanted)
+    assert "SortMergeJoin" not in plan(found)
+    rows = {tuple(r) for r in found.collect()}
+    # A paper without a key is met by short keywords alone.
+    assert rows == {
+        (None, "\U0001F600b"), (None, "\U0001F600"), (None, "?"), (None, "?cd"), (1, "?"), (1, "?cd"), (2, "\U0001F600"), (3, "bcde"),
+    }
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        large = {tuple(r) for r in subscriptions.keyword_matches(df, wanted).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert large == rows
+
+
 # --- the ledger of requests --------------------------------------------------------------
 
 
