@@ -17,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from paperwire.llm.common import Remembered, bounded, checkpointed, forget_at_ne
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END = 1
 #: Bytes of a generation of pieces that a worker remembers; texts that look for new ones together.
-CACHE, BLOCK = 110 << 20, 500
+CACHE, BLOCK = 110 << 20, 2000
 # The tokenizer's own cut of lower-case text, in characters before U+0558, where its letters, numbers and white
 # space are these; beyond, libraries follow different versions of Unicode.
 WHITE, FRACTIONS = r"\t-\r \x85\xa0", "\u00b2\u00b3\u00b9\u00bc-\u00be"
@@ -81,38 +82,53 @@ def _pieces_encoded(tokenizer, last: np.ndarray, pieces: list[str]) -> list[byte
     return [found[p] for p in pieces]
 
 
+def _numbered(texts: list[str]) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Where each text's words begin, and all words by number: the texts with A to Z in lower case, cut at ASCII white space."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.string())))
+    return parts.offsets.to_numpy(), parts.flatten().dictionary_encode()
+
+
 def encode(text: Column, path: str = VOCABULARY, end: int = END) -> Column:
     """Ids of the whole text and the end id.
 
     The tokenizer puts a text in lower case and cuts it into pieces that no token crosses, so pieces are encoded
-    apart and remembered. Where letters are not all of the first alphabets or not in composed form, words
-    between ASCII white space take the place of pieces, and a text with one of the tokenizer's special strings is
-    encoded whole.
+    apart and remembered. None goes over white space: the words of many texts are counted off first, and each
+    different one is cut and put together once for all of them. Where letters are not all of the first alphabets or not in
+    composed form, words between ASCII white space take the place of pieces, and a text with one of the tokenizer's
+    special strings is encoded whole.
     """
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         forget_at_new_stage(_tokenizer.cache_clear)
         tokenizer, last, known = _tokenizer(path)
-        special, split, composed = _special(tokenizer), ONE.findall, unicodedata.is_normalized
-        words_of, ends, found, stop = re.compile(r"[^\t-\r ]+").findall, [0], [], array("i", [end]).tobytes()
+        special, composed = _special(tokenizer), unicodedata.is_normalized
+        words_of, stop, ends, data = re.compile(r"[^\t-\r ]+").findall, array("i", [end]).tobytes(), [np.zeros(1, np.int64)], []
 
-        def cut(text: str) -> list[str]:
-            small = text.lower() if text.isascii() else text.encode().lower().decode()  # A to Z alone
-            if text.isascii() or not OTHER.search(text) and composed("NFC", text) and composed("NFC", small):
-                return split(small)
-            return words_of(text)
+        def plain(text: str) -> bool:
+            if special.search(text):
+                return False
+            return text.isascii() or not OTHER.search(text) and composed("NFC", text) and composed("NFC", text.encode().lower().decode())
 
         def make(pieces: list[str]) -> list[bytes]:
             return _pieces_encoded(tokenizer, last, pieces)
 
         for at in range(0, len(texts), BLOCK):
-            lists = [[t] if special.search(t) else cut(t) for t in (text.as_py() or "" for text in texts[at : at + BLOCK])]
-            values = known.get(lists, make)
-            for pieces in lists:
-                found.append(b"".join(map(values.__getitem__, pieces)) + stop)
-                ends.append(ends[-1] + len(found[-1]) // 4)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+            some = [text or "" for text in texts[at : at + BLOCK].to_pylist()]
+            whole = [None if plain(t) else [t] if special.search(t) else words_of(t) for t in some]
+            places, words = _numbered([t if w is None else "" for t, w in zip(some, whole)])
+            cut = list(map(ONE.findall, words.dictionary.to_pylist()))
+            found = known.get(cut + [w for w in whole if w], make)
+            odd = [None if w is None else b"".join(map(found.__getitem__, w)) for w in whole]
+            values = [found[p[0]] if len(p) == 1 else b"".join(map(found.__getitem__, p)) for p in cut]
+            flat = pa.array(values, pa.binary()).take(words.indices)
+            sizes = np.frombuffer(flat.buffers()[1], np.int32)[: len(flat) + 1]
+            bounds = sizes[places].tolist()
+            raw = memoryview(flat.buffers()[2] or b"")
+            made = [raw[a:b] if o is None else o for o, a, b in zip(odd, bounds, bounds[1:])]
+            data += [x for ids in made for x in (ids, stop)]
+            ends.append(ends[-1][-1] + np.cumsum([len(ids) // 4 + 1 for ids in made]))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.frombuffer(b"".join(data), np.int32)))
 
     return ids(text)
 

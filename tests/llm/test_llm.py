@@ -415,3 +415,11 @@ def test_workers_forget_at_a_new_stage(monkeypatch):
     monkeypatch.setattr(common.TaskContext, "get", lambda: Context(3))
     common.forget_at_new_stage()
     assert not known.young
+
+
+def test_different_words_are_cut_once():
+    places, words = token_orc._numbered(["Ab ab\x0bAB", "", "ab\xa0x\x1cc  ab "])
+    assert sorted(words.dictionary.to_pylist()) == ["", "ab", "ab\xa0x\x1cc"]
+    text = words.to_pylist()
+    found = [[w for w in text[a:b] if w] for a, b in zip(places, places[1:])]
+    assert found == [["ab", "ab", "ab"], [], ["ab\xa0x\x1cc", "ab"]]
