@@ -34,7 +34,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Pairs looked up at once (about 16 bytes each).
 BLOCK = 4_000_000
 #: Bytes of segments a worker remembers; texts that look for new ones together; longest segment remembered.
-MEMORY, TEXTS, LONGEST = 96 << 20, 200, 1024
+MEMORY, TEXTS, LONGEST = 112 << 20, 200, 1024
 #: Segments encoded as one text.
 JOINED = 4000
 #: A run of white space and what follows, up to the next blank or line feed; other white space stays inside.
@@ -114,6 +114,7 @@ class Aligner:
         for name, i in names.items():
             self.a_bytes[i] = bytes(alphabet[c] for c in name) if all(c in alphabet for c in name) else name.encode()
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         self.blank, self.span = self.b.piece_to_id("▁"), self.b.get_piece_size()
         self.digits = [str(i) for i in range(max(len(self.a_bytes), self.span))]
         ordinary = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_byte(i)]
@@ -208,8 +209,8 @@ def _joined(tool: Aligner, segments: list[str], kind: type) -> list[bytes] | Non
     if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
         return None
     b_spans = np.array(b_ends, np.int64) + (data[0] == " ")
-    a_ends = _refined(_byte_ends([end for _, end in a.offsets], data, len(raw)), np.fromiter(map(len, a_bytes), np.int64, len(a_bytes)), len(raw))
-    b_ends = _refined(b_spans, np.fromiter(map(len, b_bytes), np.int64, len(b_bytes)), len(raw))
+    a_ends = _refined(_byte_ends([end for _, end in a.offsets], data, len(raw)), tool.a_sizes[ids], len(raw))
+    b_ends = _refined(b_spans, tool.b_sizes[b], len(raw))
     if a_ends is None or b_ends is None:
         return None
     # Between two neighbouring ends, of either tokenizer, lies one link.
@@ -220,20 +221,23 @@ def _joined(tool: Aligner, segments: list[str], kind: type) -> list[bytes] | Non
     pairs = pairs.astype(kind)
     a_text, b_text = list(map(tool.digits.__getitem__, ids)), list(map(tool.digits.__getitem__, b))
     a_cut, b_cut = (np.searchsorted(e, both, "right").tolist() for e in (a_ends, b_ends))
-    groups, i, j = [], 0, 0
-    for x, y in zip(a_cut, b_cut):
-        groups.append(f"{a_text[i]}|{b_text[j]}" if x - i == y - j == 1 else f"{','.join(a_text[i:x])}|{','.join(b_text[j:y])}")
-        i, j = x, y
+    groups = [
+        f"{a_text[i]}|{b_text[j]}" if x - i == 1 == y - j else f"{','.join(a_text[i:x])}|{','.join(b_text[j:y])}"
+        for i, x, j, y in zip([0, *a_cut], a_cut, [0, *b_cut], b_cut)
+    ]
+    # Where each group begins in the text of all of them.
+    begins = np.append(0, np.cumsum(np.fromiter(map(len, groups), np.int64, len(groups)) + 1))
+    text = ";".join(groups).encode()
     # The ends of the segments are ends of both; what lies between two of them is one segment's.
     edges = np.cumsum([len(s) if s.isascii() else len(s.encode()) for s in segments])
     cut = np.array([np.searchsorted(e, edges, "right") for e in (a_ends, b_ends, both, ends)]).T
     numbers = np.diff(cut, axis=0, prepend=0)
-    links, places = np.cumsum(numbers[:, 3]).tolist(), cut[:, 2].tolist()
+    size = pairs.itemsize
+    links, places = (np.cumsum(numbers[:, 3]) * size).tolist(), begins[cut[:, 2]].tolist()
     out, l, g = [], 0, 0
-    numbers, size = numbers.astype(np.int64), pairs.itemsize
-    packed, flat = numbers.tobytes(), pairs.tobytes()
+    packed, flat = numbers.astype(np.int64).tobytes(), pairs.tobytes()
     for k, (m, h) in enumerate(zip(links, places)):
-        out.append(packed[32 * k : 32 * k + 32] + flat[l * size : m * size] + ";".join(groups[g:h]).encode())
+        out.append(packed[32 * k : 32 * k + 32] + flat[l:m] + text[g : max(h - 1, g)])
         l, g = m, h
     return out
 

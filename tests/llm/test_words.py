@@ -273,3 +273,8 @@ def test_sample_is_bounded_whatever_repeats(spark):
     finally:
         toxicity.train = original
     assert 300 < seen[0] < 500
+
+
+def test_token_sizes_are_known():
+    tool = alignment.aligner()
+    assert tool.a_sizes.tolist() == list(map(len, tool.a_bytes)) and tool.b_sizes.tolist() == list(map(len, tool.b_bytes))
