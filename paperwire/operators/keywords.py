@@ -82,11 +82,12 @@ def contenders(terms: DataFrame, score: Callable[[Column, Column], Column], key:
     """
     least = score(F.col("tf"), F.coalesce("df", F.lit(cut)))
     most = score(F.col("tf"), F.coalesce("df", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_least")))
-    bar = F.max(F.when(F.col("_place") == keywords, F.col("_least"))).over(Window.partitionBy(key))
+    # One pass over the paper's words, which are in order already; NULL if there are fewer.
+    of_paper = Window.partitionBy(key).orderBy(F.desc("_least"))
+    whole = of_paper.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    bar = F.nth_value("_least", keywords).over(whole)
     return (
         terms.withColumn("_least", least)
-        .withColumn("_place", place)
         .withColumn("_bar", bar)
         .where(F.col("_bar").isNull() | (most >= F.col("_bar")))
         .select(*terms.columns)

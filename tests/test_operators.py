@@ -580,3 +580,13 @@ def test_words_of_spaced_and_unspaced_scripts(spark):
     papers = spark.createDataFrame([("a", texts[0]), ("b", "robot")], "paper_key STRING, Abstract STRING")
     found = {r["paper_key"]: r["SummaryAbstract"] for r in keywords.tfidf_keywords(papers).collect()}
     assert found["a"] == "ai, 3d, ml, robot"
+
+
+def test_the_bar_of_a_paper_is_one_pass(spark):
+    """Four words, the bar at the second: a rare word stays if it may reach the bar; a short paper keeps all."""
+    rows = [(1, "a", 3, 2), (1, "b", 2, 2), (1, "c", 1, 2), (1, "d", 1, None), (2, "e", 1, 5)]
+    terms = spark.createDataFrame(rows, "key bigint, term string, tf bigint, df bigint")
+    found = keywords.contenders(terms, lambda tf, df: tf * 10.0 / df, "key", 2, 4)
+    assert {r["term"] for r in found.collect()} == {"a", "b", "d", "e"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
